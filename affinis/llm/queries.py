@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import quality
+from affinis.llm import quality, simhash
 from affinis.llm.common import table
 
 
@@ -15,4 +15,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.METRICS, "base_failed", "kept", "kept_words")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_simhash_near_dedup)}
