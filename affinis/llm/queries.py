@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import quality, simhash
+from affinis.llm import pii, quality, simhash
 from affinis.llm.common import table
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [pii.count_of(F.col("pii_spans"), k).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    base = F.sha2(pii.listing(F.col("pii_spans"), base_only=True), 256)
+    return found.select("doc_id", *n, base.alias("base_sha256"), pii.listing(F.col("pii_spans")).alias("spans"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = quality.assess(docs)
@@ -20,4 +27,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_pii, op9_quality_rules, op10_simhash_near_dedup)}

@@ -1,0 +1,81 @@
+import hashlib
+import re
+
+import pytest
+
+from affinis.llm import pii, queries
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def naive(text):
+    text, out = text or "", []
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(d):
+        v = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return sum(x - 9 if x > 9 else x for x in v) % 10 == 0
+
+    tests = [
+        ("email", EMAIL, lambda m: True),
+        ("ip", IP, lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", CARD, lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", PHONE, lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    for rank, (kind, pattern, good) in enumerate(tests):
+        out += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text) if good(m[0])]
+    return [x[2] for x in sorted(out)]
+
+
+TEXTS = [
+    None,
+    "",
+    "no data here",
+    "mail a.b@c.de, x@y.com_z@w.org and @@ a@b a@b.c.d-e..f",
+    "é𝄞 é𝄞 joe@x.org 𝄞 1.2.3.4 1.2.3.4.5.6.7.8 999.1.1.1 0255.0.0.000255 256.1.1.1",
+    "4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111 5500005555555559 1 2 3 4 5 6 7 8 9 0 1 2",
+    "+49 (30) 1234-567 +1 +12 +1234567 8 +44 20 7946 0958. +123456789012345678",
+    "192.168.0.1 4111 1111 1111 1111+49 30 12345678",
+    "9" * 30000,
+    "1 " * 20000,
+    "a@" * 3000 + "b.c",
+    "a.b-" * 5000 + "@x" + ".y" * 5000,
+    "+1" + "(2." * 9000,
+]
+
+
+def test_base_spans_match_plain_regexes(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, kind string")
+    found = pii.detect(docs).select("doc_id", pii.listing(pii.F.col("pii_spans"), True).alias("base")).collect()
+    assert {r.doc_id: r.base for r in found} == {i: ",".join(naive(t)) for i, t in enumerate(TEXTS)}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("pay DE89 3704 0044 0532 0130 00 now", "iban:4:31"),
+        ("pay DE88 3704 0044 0532 0130 00 now", ""),
+        ("her SSN: 123-45-6789.", "ssn:9:20"),
+        ("part 123-45-6789.", ""),
+        ("tel. 030 1234567!", "local:5:16"),
+        ("sum 030 1234567!", ""),
+    ],
+)
+def test_checksums_and_context(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [s for s in pii.detect(df).select(pii.listing(pii.F.col("pii_spans"))).first()[0].split(",") if not s.startswith("card")] == [want]
+
+
+def test_masking_keeps_all_other_text(spark):
+    df = spark.createDataFrame([(1, "a joe@x.org b 1.2.3.4"), (2, None), (3, "none"), (4, "")], "start long, text string")
+    assert [tuple(r) for r in pii.mask_documents(df).orderBy("start").collect()] == [(1, "a <EMAIL> b <IP>"), (2, None), (3, "none"), (4, "")]
+
+
+def test_query_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op3_pii(spark, "/root/testdata/sf0.001").collect()}
+    for d in docs:
+        assert got[d.doc_id].base_sha256 == hashlib.sha256(",".join(naive(d.text)).encode()).hexdigest()
