@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from affinis.llm import mixing
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: Counts from word and line lists; a line is boilerplate above 20 documents and a tenth of its host's.
@@ -38,4 +40,51 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM counted
 """
 
-ORACLE = {"op9_quality_rules": OP9}
+
+
+def _fill(name: str, source: str, parent: str, key: str, budget: str, out: str) -> str:
+    """A table `name`: water filling of each parent's budget over its children in order of capacity / weight."""
+    rows = f"PARTITION BY {parent} ORDER BY cap / w, {key} ROWS BETWEEN"
+    return f"""{name}_level AS (
+  SELECT *, ({budget} - coalesce(sum(cap) OVER ({rows} UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER ({rows} CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {source}
+), {name}_first AS (
+  SELECT *, first_value(CASE WHEN level * w < cap THEN level END IGNORE NULLS) OVER ({rows} UNBOUNDED PRECEDING AND CURRENT ROW) AS first FROM {name}_level
+), {name} AS (
+  SELECT *, CASE WHEN first IS NULL THEN cap ELSE least(cap, CAST(floor(first * w) AS BIGINT)) END AS {out} FROM {name}_first
+)"""
+
+
+def mixing_ctes(documents: str, share: float, epochs: int, seed: int, weights: dict[str, float]) -> str:
+    """CTEs that end in `mixed`: doc_id, domain, n and copies of each document with a token."""
+    given = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in sorted(weights.items()))
+    return f"""given(path, gw) AS (VALUES {given}
+), slim AS (
+  SELECT doc_id, 'd' || (CAST('0x' || substr(md5(coalesce(source, '')), 1, 1) AS BIGINT) % 4) AS domain, coalesce(lang, '') AS language,
+         coalesce(source, '') AS origin, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n FROM {documents}
+), leaf0 AS (
+  SELECT domain, language, origin, CAST(sum(n) AS BIGINT) AS t, CAST(sum(n) * {epochs} AS BIGINT) AS cap FROM slim WHERE n > 0 GROUP BY ALL
+), dom0 AS (
+  SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, CAST(floor((SELECT sum(t) FROM leaf0) * CAST({share} AS DOUBLE)) AS BIGINT) AS b FROM leaf0 GROUP BY domain
+), dom1 AS (SELECT d.*, 0 AS top, coalesce(gw, CAST(1 AS DOUBLE)) AS w FROM dom0 d LEFT JOIN given ON path = domain
+), {_fill("dom", "dom1", "top", "domain", "b", "d_got")}, lang0 AS (
+  SELECT domain, language, CAST(sum(cap) AS BIGINT) AS cap FROM leaf0 GROUP BY ALL
+), lang1 AS (SELECT l.*, d_got, coalesce(gw, CAST(1 AS DOUBLE)) AS w FROM lang0 l JOIN dom USING (domain) LEFT JOIN given ON path = domain || '/' || language
+), {_fill("lng", "lang1", "domain", "language", "d_got", "l_got")}, leaf1 AS (
+  SELECT f.*, l_got, coalesce(gw, CAST(1 AS DOUBLE)) AS w FROM leaf0 f JOIN lng USING (domain, language)
+  LEFT JOIN given ON path = domain || '/' || language || '/' || origin
+), {_fill("leaf", "leaf1", "domain, language", "origin", "l_got", "budget")}, ordered AS (
+  SELECT s.*, budget // t AS times, budget % t AS rest,
+         CAST('0x' || substr(md5('{seed}:' || (budget // t + 1) || ':' || doc_id), 1, 10) AS BIGINT) AS o
+  FROM slim s JOIN leaf USING (domain, language, origin) WHERE n > 0
+), mixed AS (
+  SELECT doc_id, domain, n, CAST(times + CASE WHEN sum(n) OVER (PARTITION BY domain, language, origin ORDER BY o, doc_id) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM ordered
+)"""
+
+
+OP8 = f"""WITH {mixing_ctes("documents", mixing.SHARE, mixing.EPOCHS, mixing.SEED, mixing.WEIGHTS)}
+SELECT doc_id, domain AS mix_domain, n AS mix_tokens, copies AS mix_copies FROM mixed
+UNION ALL SELECT doc_id, domain, n, 0 FROM slim WHERE n = 0"""
+
+ORACLE = {"op8_mixing": OP8, "op9_quality_rules": OP9}
