@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import mixing, pii, quality, simhash
+from affinis.llm import bpe, mixing, pii, quality, simhash
 from affinis.llm.common import table
 
 
@@ -16,6 +16,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, base.alias("base_sha256"), pii.listing(F.col("pii_spans")).alias("spans"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
@@ -31,4 +38,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_pii, op5_byte_bpe, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
