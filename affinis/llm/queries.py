@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, mixing, pii, quality, simhash, substring
+from affinis.llm import bpe, mixing, pii, quality, simhash, substring, suffixes
 from affinis.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_byte_bpe, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_pii, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
