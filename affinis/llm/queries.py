@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, mixing, pii, quality, simhash, substring, suffixes
+from affinis.llm import bpe, maxscore, mixing, pii, quality, simhash, substring, suffixes
 from affinis.llm.common import table
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "embeddings").select("vec_id", maxscore.quantise(F.col("embedding")).alias("weights"))
+    return maxscore.top_k(items.where("vec_id % 50 = 0"), items, 5)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [pii.count_of(F.col("pii_spans"), k).cast("long").alias(f"n_{k}") for k in pii.BASE]
@@ -46,4 +51,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op3_pii, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}

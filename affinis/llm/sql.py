@@ -87,4 +87,17 @@ OP8 = f"""WITH {mixing_ctes("documents", mixing.SHARE, mixing.EPOCHS, mixing.SEE
 SELECT doc_id, domain AS mix_domain, n AS mix_tokens, copies AS mix_copies FROM mixed
 UNION ALL SELECT doc_id, domain, n, 0 FROM slim WHERE n = 0"""
 
-ORACLE = {"op8_mixing": OP8, "op9_quality_rules": OP9}
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+ORACLE = {"op1_top_k": OP1, "op8_mixing": OP8, "op9_quality_rules": OP9}
