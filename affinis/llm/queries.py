@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, maxscore, mixing, pii, quality, simhash, substring, suffixes
+from affinis.llm import bpe, maxscore, mixing, pii, quality, simhash, substring, suffixes, warc
 from affinis.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, base.alias("base_sha256"), pii.listing(F.col("pii_spans")).alias("spans"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,4 +56,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_pii, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op3_pii, op4_warc, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
