@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, maxscore, mixing, pii, quality, simhash, substring, suffixes, warc
+from affinis.llm import bpe, langid, maxscore, mixing, pii, quality, simhash, substring, suffixes, warc
 from affinis.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(items.where("vec_id % 50 = 0"), items, 5)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [pii.count_of(F.col("pii_spans"), k).cast("long").alias(f"n_{k}") for k in pii.BASE]
@@ -56,4 +60,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_pii, op4_warc, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii, op4_warc, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup)}
