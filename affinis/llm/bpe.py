@@ -169,8 +169,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], column: str = "ids") ->
     return encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`")).mapInArrow(over_texts(make, [pa.binary()]), _schema(encoded, rest, "`decoded` binary"))
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids are encoded, then decoded, within one pass."""
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, n_tokens, ids_sha256, decoded_sha256: ids are encoded, then decoded, within one pass."""
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
@@ -184,7 +184,9 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
 
         return one
 
-    return docs.select("doc_id", "text").mapInArrow(over_texts(make, [pa.int64(), pa.string(), pa.string()]), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = [pa.int64(), pa.string(), pa.string()]
+    schema = _schema(docs.select(*keep), list(keep), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*keep, "text").mapInArrow(over_texts(make, kinds), schema)
 
 
 def _rank_table(ranks: dict[bytes, int], buckets: int) -> Column:
