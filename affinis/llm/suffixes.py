@@ -188,7 +188,7 @@ def matches(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> DataFrame:
     order = ["key", "side", "context", "doc", "at"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = "doc long, start int, end int, partner long"
-    between = rows.mapInArrow(_ends, SUFFIX).coalesce(1).sortWithinPartitions(*order)
+    between = rows.mapInArrow(_ends, SUFFIX).repartition(1).sortWithinPartitions(*order)
     return rows.mapInArrow(_neighbours(size), found).union(between.mapInArrow(_neighbours(size), found))
 
 
