@@ -42,8 +42,7 @@ ROWS = 256
 
 def _runs(batch: pa.RecordBatch, size: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per run of texts: (word hashes, owner of each word, windows' starts, anchor places of these, gram hashes)."""
-    texts = [(x.as_py() or "").encode() for x in batch.column(1)]
-    for _, _, h, owner in W.texts(texts):
+    for h, owner in W.runs(batch.column(1)):
         grams = W.windows(h, gram)
         at = W.minimisers(grams, size - gram + 1)
         if len(at):

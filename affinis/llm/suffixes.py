@@ -41,9 +41,9 @@ SUFFIX = "key long, side byte, context binary, doc long, at int"
 RIGHT, LEFT = np.uint64(0x51ED270B), np.uint64(0x2545F491)
 
 
-def _anchors(texts: list[bytes], size: int) -> Iterator[tuple]:
+def _anchors(texts: pa.Array, size: int) -> Iterator[tuple]:
     """Per run of texts: word hashes, owner, kept places, and of each place its room left and right in words."""
-    for _, _, h, owner in W.texts(texts):
+    for h, owner in W.runs(texts):
         grams = W.windows(h, GRAM)
         at = W.minimisers(grams, WINDOW)
         inside = np.flatnonzero(owner[: len(at)] == owner[WINDOW + GRAM - 2 : WINDOW + GRAM - 2 + len(at)]) if len(at) else at
@@ -65,7 +65,7 @@ def _count_keys(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for h, _, places, left, right in _anchors([(x.as_py() or "").encode() for x in batch.column(1)], size):
+            for h, _, places, left, right in _anchors(batch.column(1), size):
                 _, a, _, b = _half_keys(h, places, left, right, size // 2)
                 found += [a, b]
             values, n = np.unique(np.concatenate(found) if found else np.array([], np.uint64), return_counts=True)
@@ -89,7 +89,7 @@ def _suffixes(shipped, size: int, bits: int) -> Callable[[Iterator[pa.RecordBatc
         bitmap = shipped.value
         for batch in batches:
             ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-            for h, owner, places, left, right in _anchors([(x.as_py() or "").encode() for x in batch.column(1)], size):
+            for h, owner, places, left, right in _anchors(batch.column(1), size):
                 r, a, x, b = _half_keys(h, places, left, right, half)
                 for side, kept, key in ((0, r, a), (1, x, b)):
                     twice = in_bitmap(bitmap, key, bits)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -18,8 +19,8 @@ _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _WORD_ODD = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at once: bounds the arrays of a step to some tens of MB.
-CHUNK = 1 << 20
+#: Bytes hashed at once: bounds the arrays of a step to some MB.
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -101,6 +102,13 @@ def texts(doc_texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int
         i = j
 
 
+def runs(column: pa.Array, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, owner) of successive runs of a column's texts; few texts are held as Python objects at a time."""
+    for i in range(0, len(column), rows):
+        for _, _, h, owner in texts([(x.as_py() or "").encode() for x in column.slice(i, rows)]):
+            yield h, owner + i
+
+
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     """For each run of `window` gram hashes, the place of the smallest (the leftmost of equal ones)."""
     n = len(grams) - window + 1
