@@ -9,7 +9,7 @@ from affinis.functions.columns import average_rank, bh, bits, holm, r, ratio, st
 from affinis.operators import association, graphs, population, recode
 from affinis.operators.tables import settle
 from affinis.plans import sqlbase as S
-from affinis.plans.register import registered
+from affinis.plans.register import registered, shared
 from affinis.sources import bridge
 from affinis.sources.bridge import CONDITIONS, load
 
@@ -24,27 +24,35 @@ def populations(spark: SparkSession, d: str) -> DataFrame:
     return population.with_graph_id(people(spark, d))
 
 
+@shared
 def registry(spark: SparkSession, d: str, paired: bool = True) -> DataFrame:
     states = load(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("state_code")).union(spark.sql("SELECT 99"))
     return population.registry(people(spark, d), bridge.thresholds(spark, d)["population"], states, paired)
 
 
-def pair_table(spark: SparkSession, d: str) -> DataFrame:
+def pair_estimates(spark: SparkSession, d: str) -> DataFrame:
     return association.edge_table(populations(spark, d), bridge.thresholds(spark, d), 0.12)
 
 
+@shared
+def pair_table(spark: SparkSession, d: str) -> DataFrame:
+    return settle(pair_estimates(spark, d))
+
+
 def rule_edges(spark: SparkSession, d: str) -> DataFrame:
-    return association.scenarios(settle(pair_table(spark, d)), RULES)
+    return association.scenarios(pair_table(spark, d), RULES)
 
 
 def described(m: DataFrame) -> DataFrame:
     return m.withColumn("geography_code", F.substring("graph_id", 6, 2).cast("int")).withColumn("ses_category", F.substring_index("graph_id", "_", -1))
 
 
+@shared
 def all_graphs(spark: SparkSession, d: str) -> DataFrame:
-    return described(graphs.masks(rule_edges(spark, d), ("graph_id", "rule_id")))
+    return settle(described(graphs.masks(rule_edges(spark, d), ("graph_id", "rule_id"))))
 
 
+@shared
 def population_graphs(spark: SparkSession, d: str) -> DataFrame:
     """Graphs at 0.12 of all populations of the registry that are eligible."""
     g = described(graphs.masks(pair_table(spark, d)))
@@ -52,6 +60,7 @@ def population_graphs(spark: SparkSession, d: str) -> DataFrame:
     return settle(g.join(ok, "graph_id", "left_semi"))
 
 
+@shared
 def similar(spark: SparkSession, d: str) -> DataFrame:
     return settle(graphs.density_null(graphs.similarity(population_graphs(spark, d), 45), 45))
 
@@ -231,7 +240,7 @@ def _pair(df: DataFrame) -> DataFrame:
 
 @registered(S.query("pairs", f"SELECT {_PAIR}, exclusion_reason, pair_eligible, pair_eligible AND coalesce(association >= CAST(0.12 AS DOUBLE), false) AS edge_present FROM pairs"))
 def edge_phi(spark, d):
-    return _pair(pair_table(spark, d).drop("p_value", "q_value"))
+    return _pair(pair_estimates(spark, d).drop("p_value", "q_value"))
 
 
 @registered(S.query("scen", f"SELECT rule_id, graph_id, source_condition, target_condition, {S.r('association')} AS association, minimum_effect, pair_eligible, edge_present FROM scen"))
@@ -430,7 +439,7 @@ _KEYS = ["transition_type", "from_rule_id", "to_rule_id", "from_threshold", "to_
 
 @registered(S.query("steps", f"SELECT graph_id, geography_code, ses_category, {', '.join(_KEYS)}, from_edge_count, to_edge_count, edges_removed, nested, component_count_change, isolate_count_change, " + ", ".join(f"{S.r(c)} AS {c}" for c in _STEP) + " FROM steps"))
 def threshold_topology(spark, d):
-    t = graphs.transitions(settle(all_graphs(spark, d)), RULES)
+    t = graphs.transitions(all_graphs(spark, d), RULES)
     return t.withColumns({c: r(c) for c in _STEP})
 
 
@@ -439,5 +448,5 @@ _TS = {"median_edge_jaccard": "median(edge_jaccard)", "minimum_edge_jaccard": "m
 
 @registered(S.query("steps", f"SELECT {', '.join(_KEYS)}, count(*) AS graph_count, {S.big('sum(edges_removed)')} AS total_edges_removed, bool_and(nested) AS all_graphs_nested, " + ", ".join(f"{S.r(v)} AS {k}" for k, v in _TS.items()) + f" FROM steps GROUP BY {', '.join(_KEYS)}"))
 def transition_summary(spark, d):
-    t = graphs.transition_summary(graphs.transitions(settle(all_graphs(spark, d)), RULES))
+    t = graphs.transition_summary(graphs.transitions(all_graphs(spark, d), RULES))
     return t.withColumns({k: r(k) for k in _TS})

@@ -10,7 +10,7 @@ from affinis.operators import graphs, inference, motifs
 from affinis.operators.tables import settle
 from affinis.plans import graph_queries as G
 from affinis.plans import sqlbase as S
-from affinis.plans.register import registered
+from affinis.plans.register import registered, shared
 from affinis.sources.bridge import CONDITIONS, MINIMUM_PAIRED_STATES
 
 FRACTIONS = (0.20, 0.30, 0.40)
@@ -56,14 +56,17 @@ S.cte(
 _COUNTS = ["node_count", "edge_count", "paired_state_count", "evaluable_graph_count", "support_count", "distinct_state_support_count", *[f"support_count_{n}" for n in NAMES], *[f"support_{n}" for n in NAMES]]
 
 
+@shared
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     return settle(motifs.mine(G.population_graphs(spark, d), MINIMUM_PAIRED_STATES, FRACTIONS))
 
 
+@shared
 def full_catalog(spark: SparkSession, d: str) -> DataFrame:
     return settle(motifs.redundancy(motifs.named(catalog(spark, d))))
 
 
+@shared
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     return settle(motifs.state_pairs(G.population_graphs(spark, d)))
 
@@ -124,7 +127,7 @@ def swap_invariance(spark, d):
 
 @registered(S.query("graphs un", "SELECT CAST(row_number() OVER (ORDER BY graph_id) - 1 AS INTEGER) AS graph_idx, graph_id, 't # ' || (row_number() OVER (ORDER BY graph_id) - 1) || chr(10) || '" + "' || chr(10) || '".join(f"v {i} {i + 1}" for i in range(10)) + "' || coalesce((SELECT string_agg(chr(10) || 'e ' || (ascii(right(a, 1)) - 65) || ' ' || (ascii(right(b, 1)) - 65) || ' 1', '' ORDER BY edge_idx) FROM un WHERE mask & bit <> 0), '') AS block FROM graphs"))
 def graph_database(spark, d):
-    g = settle(graphs.masks(G.pair_table(spark, d)))
+    g = graphs.masks(G.pair_table(spark, d))
     return motifs.database_lines(g).withColumn("graph_idx", F.col("graph_idx").cast("int"))
 
 
@@ -153,6 +156,7 @@ S.cte("res0", "primary_motifs spairs", _RES.format(m="motif_id", f="primary_moti
 S.cte("res", "res0", "SELECT *, lower_residual - higher_residual AS difference FROM res0")
 
 
+@shared
 def primary(spark: SparkSession, d: str) -> DataFrame:
     return settle(motifs.named(catalog(spark, d)).where("support_30pct").select("motif_id", "mask", "node_count", "edge_count", "support_count"))
 

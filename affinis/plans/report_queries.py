@@ -109,7 +109,7 @@ def selection_verdict(spark, d):
     pop = G.population_graphs(spark, d)
     own = st.join(pop.select("graph_id"), "graph_id", "left_semi")
     g = settle(G.described(graphs.masks(own)))
-    steps = graphs.transition_summary(graphs.transitions(settle(G.all_graphs(spark, d)), G.RULES))
+    steps = graphs.transition_summary(graphs.transitions(G.all_graphs(spark, d), G.RULES))
     v = reports.selection_verdict(graphs.statistics(g), graphs.density_null(graphs.similarity(g, 45), 45), graphs.edge_support(own, ()), st, steps, None, R.EFFECT, R.STABLE, _LIMITS)
     return _rounded(v.select(*_SCOLS, *_SGATES, "decision"))
 

@@ -11,7 +11,7 @@ from affinis.operators.tables import settle
 from affinis.plans import graph_queries as G
 from affinis.plans import motif_queries as M
 from affinis.plans import sqlbase as S
-from affinis.plans.register import registered
+from affinis.plans.register import registered, shared
 from affinis.sources.bridge import CONDITIONS, MINIMUM_PAIRED_STATES
 
 B, SEED, EFFECT, STABLE, SWAPS = 12, 7, 0.12, 0.75, 60
@@ -28,12 +28,14 @@ S.cte("stab", "pairs boot", f"SELECT p.*, p0, p1, valid, sel, coalesce(pair_elig
 _WL = S.wilson("p1", "valid")
 
 
+@shared
 def boot_table(spark: SparkSession, d: str) -> DataFrame:
     p = settle(G.populations(spark, d))
     rep = resample.replicate_phi(p, settle(resample.psu_draws(G.people(spark, d), B, SEED)))
     return settle(resample.bootstrap_summary(rep, EFFECT, B))
 
 
+@shared
 def stable_table(spark: SparkSession, d: str) -> DataFrame:
     return settle(resample.stable(G.pair_table(spark, d), boot_table(spark, d), EFFECT, STABLE))
 
@@ -60,7 +62,7 @@ def stable_edges(spark, d):
 @registered(S.query("pairs", "SELECT CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS doubled"))
 def estimate_agreement(spark, d):
     """The same phi by two routes (patterns of one population table, draws of one each) must agree."""
-    pairs = settle(G.pair_table(spark, d))
+    pairs = G.pair_table(spark, d)
     one = G.people(spark, d).select("state_code", "survey_strata", "survey_psu").distinct().select("*", F.lit(1).alias("replicate"), F.lit(1).alias("times"))
     again = resample.replicate_phi(G.populations(spark, d), one).select("graph_id", "source_condition", "target_condition", "phi")
     return resample.agreement_errors(pairs, again, "association", "phi")
@@ -116,6 +118,7 @@ S.cte("rmasks", "rphi pairs universe", f"SELECT f.graph_id, f.rep, {S.big(f'sum(
 S.cte("frozen", "rmasks pgraphs", "SELECT r.graph_id, r.rep, geography_code, r.mask AS raw_mask, r.mask & g.mask AS mask, opportunity FROM rmasks r JOIN pgraphs g USING (graph_id)")
 
 
+@shared
 def replicate_graphs(spark: SparkSession, d: str, frozen: bool = True) -> DataFrame:
     g = M.paired_opportunity(G.population_graphs(spark, d))
     masks = resample.replicate_masks(stable_table(spark, d)).withColumnRenamed("mask", "raw_mask")
@@ -185,7 +188,7 @@ def rediscovered(spark: SparkSession, d: str) -> DataFrame:
     """Motifs mined anew in each replicate's threshold graphs, with the catalog's opportunity-aware thresholds."""
     from math import ceil
 
-    g = replicate_graphs(spark, d, frozen=False)
+    g = replicate_graphs(spark, d, False)
     masked = g.select("replicate", F.col("mask").bitwiseAND(F.col("paired_opportunity")).alias("mask"))
     floor = ceil(0.3 * 2 * MINIMUM_PAIRED_STATES)
     found = settle(motifs.frequent(masked, floor, ("replicate",)))
