@@ -100,4 +100,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
-ORACLE = {"op1_top_k": OP1, "op8_mixing": OP8, "op9_quality_rules": OP9}
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (v >> {0}) % 32 AS BIGINT), 1)"
+#: Five hex digits of SHA-1 are four base-32 digits.
+OP4 = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, string_agg(q, '' ORDER BY i) AS digest FROM (
+    SELECT page_id, i, {" || ".join(_DIGIT.format(k) for k in (15, 10, 5, 0))} AS q FROM (
+      SELECT page_id, i, CAST('0x' || substr(h, CAST(1 + 5 * i AS BIGINT), 5) AS BIGINT) AS v FROM (SELECT page_id, h, unnest(range(0, 8)) AS i FROM p)
+    )
+  ) GROUP BY page_id
+), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN p.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> first THEN first END AS refers_to
+FROM p JOIN d USING (page_id) JOIN f USING (h)
+"""
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w
+), gone AS (
+  SELECT DISTINCT doc_id, i + o AS j FROM (SELECT doc_id, i, unnest(range(0, 20)) AS o FROM r WHERE k > 1)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.j = x.j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE = {"op4_warc": OP4, "op7_substring_dedup": OP7, "op1_top_k": OP1, "op8_mixing": OP8, "op9_quality_rules": OP9}
