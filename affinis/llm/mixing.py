@@ -7,14 +7,14 @@ full. Per parent that is water filling: with children in order of capacity / wei
 full and the rest share what is left, found by sums over a window of the (few) children.
 
 A leaf with budget b and t tokens takes each document b div t times, and a prefix of b mod t tokens in the
-order of a hash of (seed, epoch, doc_id) once more. A prefix over a leaf of any size comes from two steps:
-tokens per bucket of the leading hash bits are summed up over BUCKETS rows a leaf, then documents only
-within the one bucket that the budget ends in. No leaf's documents meet in one task.
+order of a hash of (seed, epoch, doc_id) once more. A prefix over a leaf of any size comes from sums of
+tokens by the hash's leading byte, then by the next byte where the budget ends (256 rows a leaf each), then
+over the documents that share both bytes with the end: one in 65,536. No leaf's documents meet in one task.
 
 Weights: `weights` maps 'domain', 'domain/lang' or 'domain/lang/source' to a weight; others weigh 1.
 Tokens are words. Defined results: null text has no tokens and is not chosen (0 copies); null lang or source is '';
-an empty table gives no rows; repeated rows are chosen one by one (same order for the same doc_id, ties in
-a bucket taken together); other columns pass through.
+an empty table gives no rows; repeated rows are chosen one by one (same order for the same doc_id, ties
+taken together); other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import cut, only
 
-SEED, SHARE, EPOCHS, BUCKETS = 11, 0.5, 2, 4096
+SEED, SHARE, EPOCHS = 11, 0.5, 2
 #: Leaves that may be broadcast; more are joined by shuffle.
 BROADCAST_LEAVES = 20_000
 #: Weights of the production mixture.
@@ -46,6 +46,11 @@ def order(epoch: Column, doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 10), 16, 10).cast("long")
 
 
+def _lead(n: int) -> Column:
+    """The n leading bytes of a document's place in order."""
+    return F.shiftrightunsigned("o", 40 - 8 * n)
+
+
 def _weight(path: Column, weights: dict[str, float]) -> Column:
     if not weights:
         return F.lit(1.0)
@@ -87,18 +92,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, share: float =
     small = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     hint = F.broadcast if small else (lambda x: x)
     ranked = slim.join(hint(plan), list(LEVELS)).withColumn("o", order(F.col("times") + 1, F.col("doc_id"), seed))
-    ranked = ranked.withColumn("bucket", F.floor(F.col("o") / (2**40 // BUCKETS)))
-    sums = ranked.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n").alias("b"))
-    upto = F.sum("b").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    cuts = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("b")).alias("before"))).alias("c"))
-    cuts = cut(cuts.select(*LEVELS, F.col("c.bucket").alias("cut_bucket"), F.col("c.before").alias("before")))
-    ranked = ranked.join(hint(cuts), list(LEVELS), "left")
-    edge = ranked.where("bucket = cut_bucket").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("o", "doc_id")))
-    extra = F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)
-    sure = ranked.where("cut_bucket IS NULL OR bucket <> cut_bucket")
-    out = edge.select("doc_id", "domain", "n", (F.col("times") + extra).alias("copies")).union(
-        sure.select("doc_id", "domain", "n", (F.col("times") + F.when(F.col("cut_bucket").isNull() & (F.col("rest") == 0), 0).when(F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")), 1).otherwise(0)).alias("copies"))
-    )
+    # the budget's end: among the 256 values of the leading byte, then of the next one within it
+    ends = None
+    for level in range(2):
+        rows = ranked.withColumn("before", F.lit(0).cast("long")) if ends is None else ranked.join(hint(ends), list(LEVELS)).where(_lead(level) == F.col("lead"))
+        sums = rows.groupBy(*LEVELS, "rest", "before", _lead(level + 1).alias("lead")).agg(F.sum("n").alias("b"))
+        upto = F.col("before") + F.sum("b").over(Window.partitionBy(*LEVELS).orderBy("lead"))
+        over = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
+        first = over.groupBy(*LEVELS).agg(F.min(F.struct("lead", (F.col("upto") - F.col("b")).alias("before"))).alias("c"))
+        ends = cut(first.select(*LEVELS, F.col("c.lead").alias("lead"), F.col("c.before").alias("before")))
+    ranked = ranked.join(hint(ends), list(LEVELS)).withColumn("own", _lead(2))
+    edge = ranked.where("own = lead").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("o", "doc_id")))
+    taken = lambda df, more: df.select("doc_id", "domain", "n", (F.col("times") + F.when(more, 1).otherwise(0)).alias("copies"))
+    out = taken(edge, F.col("upto") <= F.col("rest")).union(taken(ranked.where("own <> lead"), F.col("own") < F.col("lead")))
     out = out.union(none)
     return out.select("doc_id", F.col("domain").alias("mix_domain"), F.col("n").alias("mix_tokens"), F.col("copies").alias("mix_copies"))
 

@@ -30,9 +30,8 @@ def test_shortage_goes_to_siblings(spark, budget, weights):
     assert all(want[k] - 1 < got[k] <= want[k] + 1e-6 for k in NODES)
 
 
-def test_prefix_of_a_hot_leaf(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKETS", 8)
-    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "en", "hot", 0) for i in range(500)], "doc_id long, text string, lang string, source string, bucket int")
+def test_prefix_of_a_hot_leaf(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "en", "hot", 0) for i in range(500)], "doc_id long, text string, lang string, source string, lead int")
     out = {r.doc_id: r for r in mixing.mix(docs, {}, share=1.3, epochs=2, seed=5).collect()}
     total = sum(i % 7 + 1 for i in range(500))
     rest, up = int(total * 1.3) - total, 0
