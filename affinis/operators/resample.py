@@ -237,3 +237,80 @@ def chain_diagnostics(chains: DataFrame) -> DataFrame:
     )
 
 
+
+
+# --- many replicates: one matrix per state ---------------------------------------------------------------
+
+CHUNK = 50
+SUMMARY = "graph_id string, source_condition string, target_condition string, p_phi_gt_zero double, p_phi_ge_threshold double, bootstrap_phi_median double, bootstrap_phi_025 double, bootstrap_phi_975 double, bootstrap_replicates_valid int, bootstrap_selection_mask string"
+
+
+def state_replicates(w: np.ndarray, psu: np.ndarray, case: np.ndarray, seen: np.ndarray, times: np.ndarray, k: int) -> np.ndarray:
+    """phi (pairs x replicates) of one population's cells (weight, PSU number, masks), times: PSUs x replicates.
+
+    Cells are summed per answer pattern and replicate, then all pairs' sums of weights are one product.
+    """
+    pattern, at = np.unique(case.astype(np.int64) << 32 | seen.astype(np.int64), return_inverse=True)
+    sums = np.zeros((len(pattern), times.shape[1]))
+    np.add.at(sums, at, w[:, None] * times[psu])
+    case, seen = pattern >> 32, pattern & 0xFFFFFFFF
+    bit = lambda m, i: (m >> i) & 1
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    both = np.array([bit(seen, i) & bit(seen, j) for i, j in pairs], float)
+    a = np.array([bit(case, i) for i, _ in pairs], float) * both
+    b = np.array([bit(case, j) for _, j in pairs], float) * both
+    n, sa, sb, sab = both @ sums, a @ sums, b @ sums, (a * b) @ sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pa, pb, pab = sa / n, sb / n, sab / n
+        spread = pa * (1 - pa) * pb * (1 - pb)
+        return np.where(spread > 1e-15, (pab - pa * pb) / np.sqrt(spread), np.nan)
+
+
+def draw_times(strata: np.ndarray, replicates: int, rng: np.random.Generator) -> np.ndarray:
+    """PSUs x replicates: how often each PSU is drawn, n of n with replacement in its stratum."""
+    out = np.zeros((len(strata), replicates), np.float64)
+    for s in np.unique(strata):
+        at = np.flatnonzero(strata == s)
+        draws = rng.integers(0, len(at), size=(len(at), replicates))
+        flat = np.bincount((draws + np.arange(replicates) * len(at)).ravel(), minlength=len(at) * replicates)
+        out[at] = flat.reshape(replicates, len(at)).T
+    return out
+
+
+def bootstrap_by_state(df: DataFrame, replicates: int, seed: int, threshold: float, conditions: list[str] = CONDITIONS) -> DataFrame:
+    """bootstrap_summary() for many replicates: a state's draws are made in its task, in chunks of CHUNK replicates.
+
+    A task holds a state's (PSU, pattern) cells, not its persons; all populations of a state share its draws.
+    """
+    k = len(conditions)
+    pairs = [(conditions[i], conditions[j]) for i in range(k) for j in range(i + 1, k)]
+    keys = ["graph_id", "state_code", "survey_strata", "survey_psu"]
+    cells = association.masked(df.where(valid_weight("survey_weight")), conditions).groupBy(*keys, "case_mask", "seen_mask").agg(F.sum("survey_weight").alias("w"))
+    design = df.where(valid_weight("survey_weight")).select(*[F.col(c).alias(f"design_{c}") for c in ("state_code", "survey_strata", "survey_psu")]).distinct()
+
+    def run(key, rows: pd.DataFrame, psus: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.Generator(np.random.PCG64([seed, int(key[0])]))
+        psus = psus.rename(columns=lambda c: c.removeprefix("design_")).sort_values(["survey_strata", "survey_psu"]).reset_index(drop=True)
+        number = pd.Series(psus.index.to_numpy(), index=pd.MultiIndex.from_frame(psus[["survey_strata", "survey_psu"]]))
+        at = number.loc[pd.MultiIndex.from_frame(rows[["survey_strata", "survey_psu"]])].to_numpy() if len(rows) else np.array([], int)
+        groups = {g: np.asarray(i) for g, i in rows.groupby("graph_id").indices.items()}
+        found: dict[str, list[np.ndarray]] = {g: [] for g in groups}
+        for first in range(0, replicates, CHUNK):
+            times = draw_times(psus.survey_strata.to_numpy(), min(CHUNK, replicates - first), rng)
+            for g, i in groups.items():
+                found[g].append(state_replicates(rows.w.to_numpy()[i], at[i], rows.case_mask.to_numpy()[i], rows.seen_mask.to_numpy()[i], times, k))
+        out = []
+        for g, parts in found.items():
+            phi_ = np.concatenate(parts, axis=1)
+            for (a, b), v in zip(pairs, phi_, strict=True):
+                ok = v[np.isfinite(v)]
+                mask = "b" + "".join("x" if x != x else "1" if round(x, 9) >= threshold else "0" for x in v.tolist())
+                q = np.quantile(ok, [0.5, 0.025, 0.975]).tolist() if len(ok) else [None] * 3
+                share = ((np.round(ok, 9) > 0).mean(), (np.round(ok, 9) >= threshold).mean()) if len(ok) else (None, None)
+                out.append((g, a, b, *share, *q, len(ok), mask))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in SUMMARY.split(", ")])
+
+    got = cells.groupBy("state_code").cogroup(design.groupBy("design_state_code")).applyInPandas(run, SUMMARY)
+    se, low, high = wilson(F.col("p_phi_ge_threshold"), F.col("bootstrap_replicates_valid"))
+    got = got.withColumns({"selection_stability_standard_error": se, "selection_stability_wilson_low": low, "selection_stability_wilson_high": high})
+    return got.withColumn("bootstrap_replicates_requested", F.lit(replicates)).withColumn("bootstrap_status", F.when(F.col("bootstrap_replicates_valid") > 0, "ok").otherwise("no_valid_replicate"))

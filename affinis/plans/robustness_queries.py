@@ -287,6 +287,12 @@ def _jobs(spark: SparkSession, d: str, states: int) -> DataFrame:
     return e.where(F.col("state_code") < states).select("graph_id", "source_condition", "target_condition", "state_code")
 
 
+@registered()
+def boot_phi_500(spark, d):
+    """500 replicates, drawn and summed in one matrix per state."""
+    return resample.bootstrap_by_state(G.populations(spark, d), 500, 20240905, EFFECT)
+
+
 @registered()
 def adjusted_logit(spark, d):
     df = G.populations(spark, d)
