@@ -4,9 +4,10 @@
 
 Base kinds (score 1 once their check holds): email; ip with parts of at most 255; card with 12 to 19
 digits that pass Luhn; phone with + and 9 to 15 digits. The method adds: iban (mod 97 leaves 1, length 15
-to 34), and ssn and local (a phone number without +) with a low score of their own, which count only where
-a word of their kind within `WINDOW` code points before the span lifts the score to `THRESHOLD`; local and
-ssn spans that overlap a base span or an earlier kind are dropped.
+to 34) and key (an access key id by its fixed form); and secret (a long value), ssn and local (a phone number
+without +) with a low score of their own, which count only where a word of their kind within `WINDOW` code
+points before the span (for a secret: its name and = or : just before it) lifts the score to `THRESHOLD`.
+Spans of ssn and local that overlap a base span are dropped.
 
 Matches come from regexp_extract_all and their places from the lengths of what split() leaves between
 them, so places count code points and matches are leftmost and non-overlapping, as the regex finds them.
@@ -31,6 +32,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9-])"
+KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{12,}+"
+NAMED = r"(?i)(?:token|password|passwd|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?"
 #: Kind, pattern, what a text must hold for a match, score of a confirmed match, words that lift it.
 KINDS = [
     ("email", EMAIL, "@", 1.0, None),
@@ -38,6 +42,8 @@ KINDS = [
     ("card", CARD, r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", 1.0, None),
     ("phone", PHONE, r"\+[0-9]", 1.0, None),
     ("iban", IBAN, r"[A-Z]{2}[0-9]{2}", 1.0, None),
+    ("key", KEY, "AKIA", 0.8, None),
+    ("secret", SECRET, NAMED, 0.4, NAMED + "$"),
     ("ssn", SSN, r"[0-9]-[0-9]{2}-[0-9]", 0.4, r"(?i)\b(?:ssn|social security|security no)"),
     ("local", LOCAL, r"[0-9)][\x20/-]?[0-9]{3}", 0.3, r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|teléfono|téléphone)"),
 ]
@@ -114,11 +120,11 @@ def spans(text: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     base, more = [], []
     for rank, (kind, pattern, needs, score, context) in enumerate(KINDS):
-        hint = F.contains(text, F.lit(needs)) if needs == "@" else text.rlike(needs)
+        hint = F.contains(text, F.lit(needs)) if needs in ("@", "AKIA") else text.rlike(needs)
         (base if kind in BASE else more).append(F.when(hint, _lifted(text, _placed(text, kind, rank, pattern), score, context)).otherwise(none))
-    joined = let(F.concat(*base), lambda b: F.concat(b, *[F.filter(m, lambda s: _free(s, b)) if KINDS[4 + i][0] != "iban" else m for i, m in enumerate(more)]))
+    joined = let(F.concat(*base), lambda b: F.concat(b, *[F.filter(m, lambda s: _free(s, b)) if KINDS[4 + i][0] in ("ssn", "local") else m for i, m in enumerate(more)]))
     by_start = F.transform(joined, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
-    return F.when(text.rlike("[0-9@]"), F.array_sort(by_start)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>"))
+    return F.array_sort(by_start)
 
 
 def _free(s: Column, others: Column) -> Column:
