@@ -34,3 +34,11 @@ def test_nothing_to_learn_nulls_and_extra_columns(spark):
     got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(df).collect()]
     assert sorted(got, key=str) == sorted([(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0), (None, "und", 0.0)], key=str)
     assert langid.identify(df.limit(0)).collect() == []
+
+
+def test_very_long_texts_are_read_whole(spark):
+    rows = [(i, ("the and of " if i % 2 else "der und die ") * 40, "en" if i % 2 else "de") for i in range(120)]
+    rows += [(1000, "1 " * 400_000 + "der und die ", None), (1001, "x" * 300_000 + " the and of" * 40_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert got[1000] == "de" and got[1001] == "en" and all(got[i] == ("en" if i % 2 else "de") for i in range(120))

@@ -56,6 +56,15 @@ def test_query(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op7_substring_dedup(spark, d).collect()} == naive(docs)
 
 
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    long = " ".join("w%d" % rng.randrange(10**6) for _ in range(120_000))
+    part = " ".join(long.split()[70_000:70_100])
+    docs = {1: long, 2: "start " + part + " end", 3: long}
+    df = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(df).collect()} == naive(docs)
+
+
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.digests(df).collect() == []

@@ -57,5 +57,14 @@ def test_query(spark):
     assert all(r.partner in want and r.n_words == len(want[r.doc_id]) for r in rows)
 
 
+def test_very_long_null_and_repeated_rows(spark):
+    rng = random.Random(5)
+    long = " ".join("w%d" % rng.randrange(10**6) for _ in range(120_000))
+    part = " ".join(long.split()[70_000:70_100])
+    df = spark.createDataFrame([(1, long), (2, "start " + part), (None, part), (3, None), (4, "y"), (4, "y")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.spans) for r in suffixes.repeated_passages(df).collect()}
+    assert got == {1: (100, "70000:70100"), 2: (100, "1:101"), None: (100, "0:100")}
+
+
 def test_empty(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
