@@ -24,7 +24,7 @@ def partition_violations(vocabulary: DataFrame, families: DataFrame) -> DataFram
     """Families (occurrence_class_id, motif_id) must hold each motif of the vocabulary once, and no other."""
     v, f = vocabulary.select("motif_id").distinct(), families.select("motif_id")
     missing = v.exceptAll(f.distinct()).agg(F.count("*").alias("missing"))
-    foreign = f.distinct().exceptAll(v).agg(F.count("*").alias("foreign"))
+    foreign = f.distinct().exceptAll(v).agg(F.count("*").alias("unknown"))
     twice = f.groupBy("motif_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("in_two_families"))
     return missing.crossJoin(foreign).crossJoin(twice)
 

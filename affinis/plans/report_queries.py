@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinis.functions.columns import r
-from affinis.operators import association, graphs, motifs, reports
+from affinis.operators import association, graphs, motifs, protocol, reports
 from affinis.operators.tables import settle
 from affinis.plans import graph_queries as G
 from affinis.plans import motif_queries as M
@@ -189,3 +189,22 @@ def definition_sensitivity(spark, d):
 def graph_json(spark, d):
     g = graphs.masks(G.pair_table(spark, d)).where("mask <> 0")
     return g.select("graph_id", F.to_json(motifs.motif_edges(F.col("mask"))).alias("edges_json"))
+
+
+# --- protocol checks -------------------------------------------------------------------------------------
+
+
+@registered(S.query("stab", f"SELECT count(*) FILTER (edge_present) AS frozen_edges, count(*) FILTER (edge_present AND NOT coalesce(association >= CAST({R.EFFECT} AS DOUBLE) AND p1 >= CAST({R.STABLE} AS DOUBLE) AND pair_eligible, false)) AS violations FROM stab"))
+def frozen_graphs(spark, d):
+    return protocol.frozen_violations(R.stable_table(spark, d), R.EFFECT, R.STABLE)
+
+
+@registered(S.query("named patterns", "SELECT count(*) FILTER (motif_id NOT LIKE 'motif_%') AS wrong_ids, count(*) FILTER (mask NOT IN (SELECT mask FROM patterns)) AS unconnected, count(*) FILTER (support_fraction < CAST(0.2 AS DOUBLE)) AS below_support, count(*) - count(DISTINCT motif_id) AS doubled_ids FROM named"))
+def protocol_motifs(spark, d):
+    return protocol.motif_violations(M.full_catalog(spark, d).select("motif_id", "mask", "support_fraction"), 0.2)
+
+
+@registered(S.query("redundant", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unknown, count(*) - count(DISTINCT motif_id) AS in_two_families FROM redundant"))
+def protocol_families(spark, d):
+    c = M.full_catalog(spark, d)
+    return protocol.partition_violations(c.select("motif_id"), c.select("occurrence_class_id", "motif_id"))

@@ -139,7 +139,7 @@ def test_protocol_checks(spark):
     ids = [x.motif_id for x in v.collect()]
     f = spark.createDataFrame([("c1", ids[0]), ("c2", ids[0]), ("c3", "other")], "occurrence_class_id string, motif_id string")
     p = protocol.partition_violations(v, f).first()
-    assert (p.missing, p.foreign, p.in_two_families) == (1, 1, 1)
+    assert (p.missing, p.unknown, p.in_two_families) == (1, 1, 1)
 
 
 def test_logistic_slope_is_the_log_odds_ratio_of_a_2x2_table(spark):
