@@ -105,29 +105,30 @@ def scenarios(pairs: DataFrame, rules: dict[str, float]) -> DataFrame:
     return out.withColumn("edge_present", F.col("pair_eligible") & F.coalesce(F.col("association") >= F.col("minimum_effect"), F.lit(False)))
 
 
-def unpivoted(df: DataFrame, keys: list[str], conditions: list[str] = CONDITIONS) -> DataFrame:
-    """(keys, condition, value, weight columns) rows."""
-    stack = ", ".join(f"'{c}', `{c}`" for c in conditions)
-    return df.selectExpr(*keys, "survey_weight", f"stack({len(conditions)}, {stack}) AS (condition, value)")
-
-
-def prevalence_columns() -> list[Column]:
-    ok = valid_weight("survey_weight") & F.col("value").isNotNull()
-    case = ok & (F.col("value") == 1)
-    w = F.col("survey_weight")
-    return [
-        F.count_if(ok).alias("n_valid"),
-        F.count_if(case).alias("n_cases"),
-        F.avg(F.when(ok, F.col("value"))).alias("unweighted_prevalence"),
-        F.sum(F.when(ok, w).otherwise(0.0)).alias("sw"),
-        F.sum(F.when(ok, w * w).otherwise(0.0)).alias("sw2"),
-        F.sum(F.when(case, w).otherwise(0.0)).alias("swc"),
-    ]
+def prevalence(df: DataFrame, keys: list[str], conditions: list[str] = CONDITIONS) -> DataFrame:
+    """(keys, condition) sums of valid answers: rows are reduced to answer patterns before conditions are listed.
+
+    A row with an invalid weight counts for no condition, but its population stays.
+    """
+    ok = valid_weight("survey_weight")
+    w = F.when(ok, F.col("survey_weight")).otherwise(0.0)
+    df = masked(df, conditions)
+    pattern = [F.when(ok, F.col(c)).otherwise(0).alias(c) for c in ("case_mask", "seen_mask")]
+    prof = df.groupBy(*keys, *pattern).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(1 << i).alias("bit")) for i, c in enumerate(conditions)])).alias("c")
+    return prof.select(*keys, "n", "sw", "sw2", F.col("case_mask"), F.col("seen_mask"), each).select(
+        *keys, "c.condition", "n", "sw", "sw2", (F.col("seen_mask").bitwiseAND(F.col("c.bit")) != 0).alias("seen"), (F.col("case_mask").bitwiseAND(F.col("c.bit")) != 0).alias("case")
+    )
+
+
+def _sums() -> list[Column]:
+    total = lambda value, test: F.sum(F.when(F.col(test), F.col(value)).otherwise(0))
+    return [total("n", "seen").alias("n_valid"), total("n", "case").alias("n_cases"), total("sw", "seen").alias("sw"), total("sw2", "seen").alias("sw2"), total("sw", "case").alias("swc")]
 
 
 def _prevalence(agg: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(
-        *keys, "condition", "n_valid", "n_cases", "unweighted_prevalence",
+        *keys, "condition", "n_valid", "n_cases", ratio(F.col("n_cases"), F.col("n_valid")).alias("unweighted_prevalence"),
         ratio(F.col("swc"), F.col("sw")).alias("weighted_prevalence"),
         F.col("sw").alias("weighted_population_denominator"),
         kish(F.col("sw"), F.col("sw2")).alias("kish_effective_n"),
@@ -136,12 +137,11 @@ def _prevalence(agg: DataFrame, keys: list[str]) -> DataFrame:
 
 def node_prevalence(df: DataFrame, keys: tuple[str, ...] = ("graph_id",), conditions: list[str] = CONDITIONS) -> DataFrame:
     """Counts and prevalences of every condition in every population."""
-    return _prevalence(unpivoted(df, list(keys), conditions).groupBy(*keys, "condition").agg(*prevalence_columns()), list(keys))
+    return _prevalence(prevalence(df, list(keys), conditions).groupBy(*keys, "condition").agg(*_sums()), list(keys))
 
 
 def national_and_state(df: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
-    """Prevalence by state, and of all areas as geography ALL: one pass over grouping sets."""
-    long = unpivoted(df, ["state_code"], conditions)
-    cube = long.select("state_code", "condition", "value", "survey_weight").rollup("condition", "state_code").agg(*prevalence_columns(), F.grouping_id().alias("level"))
+    """Prevalence by state, and of all areas as geography ALL: grouping sets over answer patterns."""
+    cube = prevalence(df, ["state_code"], conditions).rollup("condition", "state_code").agg(*_sums(), F.grouping_id().alias("level"))
     cube = cube.where("level < 3").withColumn("geography_code", F.when(F.col("level") == 1, F.lit("ALL")).otherwise(F.col("state_code").cast("string")))
     return _prevalence(cube, ["geography_code"])

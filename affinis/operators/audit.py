@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.functions.columns import ratio, state_name, valid_weight
-from affinis.operators.association import prevalence_columns, unpivoted
 from affinis.sources.bridge import CONDITIONS
 
 
@@ -31,8 +30,11 @@ def value_counts(df: DataFrame, definition: str, column: str = "ses_category") -
 
 
 def candidate_status(df: DataFrame, least_prevalence: float, most_missing: float, conditions: list[str] = CONDITIONS) -> DataFrame:
-    long = unpivoted(df, [], conditions)
-    agg = long.groupBy("condition").agg(*prevalence_columns(), F.count_if(F.col("value").isNull()).alias("missing"), F.count("*").alias("n"))
-    p, m = ratio(F.col("swc"), F.col("sw")), ratio(F.col("missing"), F.col("n"))
+    """Conditions frequent and answered often enough: all counts in one pass, then one row a condition."""
+    ok = valid_weight("survey_weight")
+    w = lambda test: F.sum(F.when(ok & test, F.col("survey_weight")).otherwise(0.0))
+    sums = df.agg(F.count("*").alias("n"), *[F.struct(w(F.col(c).isNotNull()).alias("sw"), w(F.col(c) == 1).alias("swc"), F.count_if(F.col(c).isNull()).alias("missing")).alias(c) for c in conditions])
+    rows = sums.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.col(c).alias("s")) for c in conditions])).alias("x"))
+    p, m = ratio(F.col("x.s.swc"), F.col("x.s.sw")), ratio(F.col("x.s.missing"), F.col("n"))
     status = F.when((p >= least_prevalence) & (m <= most_missing), "provisional_include").otherwise("review")
-    return agg.select("condition", p.alias("weighted_prevalence"), m.alias("analytic_missing_fraction"), status.alias("prototype_selection_status"))
+    return rows.select("x.condition", p.alias("weighted_prevalence"), m.alias("analytic_missing_fraction"), status.alias("prototype_selection_status"))

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A fresh path in the checkpoint folder that all executors see."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:

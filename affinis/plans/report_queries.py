@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from affinis.functions.columns import r
 from affinis.operators import association, graphs, motifs, protocol, reports
-from affinis.operators.tables import settle
+from affinis.operators.tables import settle, shared_folder
 from affinis.plans import graph_queries as G
 from affinis.plans import motif_queries as M
 from affinis.plans import robustness_queries as R
 from affinis.plans import sqlbase as S
 from affinis.plans.register import registered
 from affinis.sources.bridge import DEFINITION, YEAR
+from affinis.streaming import audit
 
 TARGET = f"{YEAR}_06_{DEFINITION}_lower"
 RULES = sorted(S.RULES)
@@ -208,3 +209,15 @@ def protocol_motifs(spark, d):
 def protocol_families(spark, d):
     c = M.full_catalog(spark, d)
     return protocol.partition_violations(c.select("motif_id"), c.select("occurrence_class_id", "motif_id"))
+
+
+@registered(f"SELECT c_nationkey AS state_code, count(*) AS n_unweighted, {S.r(f'sum(CASE WHEN {S.VALID} THEN survey_weight ELSE 0 END)', 2)} AS weighted_population_estimate, count(*) FILTER (NOT {S.VALID}) AS n_invalid_weight FROM (SELECT c_nationkey, c_acctbal AS survey_weight FROM customer) GROUP BY 1")
+def audit_stream(spark, d):
+    """Running totals by Structured Streaming over the files that are there, then stopped."""
+    path = f"{d.rstrip('/')}/customer.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{path}*").selectExpr("c_nationkey AS state_code", "c_acctbal AS survey_weight")
+    folder = shared_folder(spark, "stream")
+    name = f"totals_{folder[-32:]}"
+    audit.start(stream, name, folder).awaitTermination()
+    return spark.table(name).withColumn("weighted_population_estimate", r("weighted_population_estimate", 2))
