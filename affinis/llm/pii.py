@@ -3,10 +3,11 @@
 (operator 3, in DataFrame functions only)
 
 Base kinds (score 1 once their check holds): email; ip with parts of at most 255; card with 12 to 19
-digits that pass Luhn; phone with + and 9 to 15 digits. The method adds: iban (mod 97 leaves 1, length 15
-to 34) and key (an access key id by its fixed form); and secret (a long value), ssn and local (a phone number
-without +) with a low score of their own, which count only where a word of their kind within `WINDOW` code
-points before the span (for a secret: its name and = or : just before it) lifts the score to `THRESHOLD`.
+digits that pass Luhn; phone with + and 9 to 15 digits. The method adds: iban (mod 97 leaves 1; as long as
+its country's are, 15 to 34 for a country not listed) and key (an access key id by its fixed form); and
+secret (a long value), ssn and local (a phone number without +) with a low score of their own, which count
+only where a word of their kind within `WINDOW` code points before the span (for a secret: its name and = or
+: just before it) lifts the score to `THRESHOLD`.
 Spans of ssn and local that overlap a base span are dropped.
 
 Matches come from regexp_extract_all and their places from the lengths of what split() leaves between
@@ -29,7 +30,23 @@ EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Countries by the length of their IBANs; a match of a listed country ends there.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Groups of four, each after a space or none, to the country's length; 11 to 34 characters for codes not listed."""
+    tail = lambda n: r"(?:\x20?[A-Z0-9]{4}){%d}" % (n // 4 - 1) + (r"\x20?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")
+    listed = [f"(?:{'|'.join(c.split())})[0-9]{{2}}{tail(n)}" for n, c in IBAN_LENGTHS.items()]
+    other = f"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})" + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*listed, other])})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9-])"
 KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"

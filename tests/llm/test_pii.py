@@ -83,3 +83,20 @@ def test_query_on_the_table(spark):
     got = {r.doc_id: r for r in queries.op3_pii(spark, "/root/testdata/sf0.001").collect()}
     for d in docs:
         assert got[d.doc_id].base_sha256 == hashlib.sha256(",".join(naive(d.text)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("ES9121000418450200051332 EUR 50", "iban:0:24"),
+        ("ES91 2100 0418 4502 0005 1332 2024", "iban:0:29"),
+        ("to AT611904300234573201 REF A1, BE68 5390 0754 7034 EUR", "iban:3:23,iban:32:51"),
+        ("ES91 2100 0418 4502 0005 1332 DE89 3704 0044 0532 0130 00 AB", "iban:0:29,iban:30:57"),
+        ("DE89 3704 0044 0532 0130 00 EUR", "iban:0:27"),
+        ("ES91 2100 0418 4502 0005 1333 2024", ""),
+        ("ES91 2100 0418 4502 0005 13322024", ""),
+    ],
+)
+def test_iban_before_a_token_of_capitals_or_digits(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert ",".join(s for s in pii.detect(df).select(pii.listing(pii.F.col("pii_spans"))).first()[0].split(",") if s.startswith("iban")) == want
