@@ -5,6 +5,12 @@ normalised lines (lower case, white space runs as one space), counts each host's
 per line, calls a line boilerplate where that count is above both `min_docs` and `share` of the host's
 documents, and rejects documents of which less than `keep_share` of the words stay once such lines go.
 
+With `by_class` (the pipeline) a line counts once per sketch of its host's texts, the smallest hash of a text's
+3-word windows, and a host's size is its number of distinct texts. Copies have one sketch; near copies have that
+of the original unless an edit makes a smaller window (about 3 in 100 where one word in 100 differs). So copies
+of one document don't make its own lines boilerplate, and near-duplicate removal finds them and keeps one.
+Without it (op9, whose SQL counts rows) a group of copies above both limits is rejected whole.
+
 A host has at most (mean lines of a document) / share boilerplate lines, whatever the corpus size, as
 each takes up more than `share` of its documents; the list per host is therefore short. Lists are
 broadcast only while hosts number at most `broadcast_hosts`; beyond that hosts are joined by shuffle.
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from affinis.llm.common import cut, let, words
 
 SYMBOLS = r"[#*$%&|<>]"
-DEFAULTS = {"min_words": 50, "repeat_percent": 50, "min_docs": 20, "share": 0.10, "keep_share": 0.5, "broadcast_hosts": 20_000}
+DEFAULTS = {"min_words": 50, "repeat_percent": 50, "min_docs": 20, "share": 0.10, "keep_share": 0.5, "broadcast_hosts": 20_000, "by_class": False}
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -56,14 +62,22 @@ def _covered(tri: Column) -> Column:
     )
 
 
-def boilerplate(docs: DataFrame, host: str, min_docs: int, share: float) -> DataFrame:
+def sketch(text: Column) -> Column:
+    """The smallest hash of a text's 3-word windows; of a shorter text its own hash."""
+    tri = lambda ws: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    return F.coalesce(F.array_min(let(words(text), tri)), F.xxhash64(F.coalesce(text, F.lit(""))))
+
+
+def boilerplate(docs: DataFrame, host: str, min_docs: int, share: float, by_class: bool = False) -> DataFrame:
     """(host, lines): hashes of the lines that more than min_docs and more than share of the host's documents have."""
-    lines = docs.select(
-        F.coalesce(F.col(host), F.lit("")).alias("host"), "doc_id", F.array_distinct(F.array_compact(line_hashes(F.col("text")))).alias("hs")
-    )
+    own = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), sketch(F.col("text")).alias("class")] if by_class else []
+    lines = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), *own, F.array_distinct(F.array_compact(line_hashes(F.col("text")))).alias("hs"))
+    seen = lines.select("host", *(["class"] if by_class else []), F.explode("hs").alias("line"))
+    if by_class:
+        lines, seen = lines.select("host", "key").distinct(), seen.distinct()
     size = lines.groupBy("host").agg(F.count("*").alias("n_docs"))
     # (host, line) is counted on the map side first, so a hot host or line reaches a reducer as one row per task
-    seen = lines.select("host", F.explode("hs").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    seen = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     return seen.join(size, "host").where(F.col("n") > F.col("n_docs") * F.lit(share)).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
@@ -71,7 +85,7 @@ def assess(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     """docs with the base counts, base_failed, kept_words, kept and clean_text (the text without boilerplate lines)."""
     o = DEFAULTS | options
     spark = docs.sparkSession
-    lists = cut(boilerplate(docs, host, o["min_docs"], o["share"]))
+    lists = cut(boilerplate(docs, host, o["min_docs"], o["share"], o["by_class"]))
     few = lists.limit(o["broadcast_hosts"] + 1).count() <= o["broadcast_hosts"]
     text = F.coalesce(F.col("text"), F.lit(""))
     own = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]

@@ -19,8 +19,8 @@ MIX_SHARE, MIX_EPOCHS = 0.8, 1
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; boilerplate lines of the others go too."""
-    return quality.filter_documents(docs)
+    """Rejected documents go; boilerplate lines of the others go too. Copies of a document count once for its lines."""
+    return quality.filter_documents(docs, by_class=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

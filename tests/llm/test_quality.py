@@ -1,3 +1,4 @@
+import corpus_pipeline
 import pytest
 from test_pipeline import plain_quality
 
@@ -39,3 +40,21 @@ def test_boilerplate_lines_and_depleted_documents(spark, copies):
 
 def test_empty_table(spark):
     assert quality.assess(docs(spark, []).limit(0)).collect() == []
+
+
+def test_a_group_of_copies_leaves_one_document(spark):
+    """A third of all rows are copies, and another third near copies, of several lines; a real common line still goes."""
+    lines = lambda tag: [" ".join(f"{tag}{k}x{j}" for j in range(40)) for k in range(8)]
+    head = "Accept all cookies of this host"
+    near = [[*lines("near"), f"one{i}"] for i in range(40)]
+    rows = ["\n".join(lines("copy"))] * 40 + ["\n".join(x) for x in near] + [head + "\n" + " ".join(f"d{i}x{j}" for j in range(80)) for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = df
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, out, "")
+        if name == "quality_rules":
+            out = out.cache()
+            assert out.count() == 120
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert sorted(i for i in got if i < 80) == [0, 40] and len(got) == 42
+    assert not any(head in t for t in got.values())
