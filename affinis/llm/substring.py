@@ -16,8 +16,9 @@ document, costs (shards x corpus) steps; `automaton.py` has that form for a refe
 README.md the figures.
 
 Defined results: null or empty text has no words; fewer than `size` words make no window; rows of one
-doc_id with equal texts do not repeat each other; null doc_ids come last in order; an empty table gives no
-rows; other columns are ignored.
+doc_id with equal texts do not repeat each other, and rows of one doc_id with different texts are documents
+of their own, told apart by a hash of the text; so are rows with a null doc_id, which come last in order; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SIZE, GRAM = 20, 6
 #: Bits of the bitmap of repeated anchors: 16 MB.
 BITS = 1 << 27
 LAST = 2**63 - 1
+#: Bits of the bitmap of doc_ids that more than one row has: 1 MB.
+ID_BITS = 1 << 23
 #: Texts in one outgoing batch.
 ROWS = 256
 
@@ -77,55 +80,61 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int = BITS) -> np.ndarray
     return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
-def _windows(shipped, size: int, gram: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(shipped, shared_ids, size: int, gram: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shipped.value
         for batch in batches:
             ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+            # the text's hash for ids that several rows may share, 0 (which compresses well) for all others
+            several = (ids == LAST) | in_bitmap(shared_ids.value, batch.column(2).to_numpy().view(np.uint64), ID_BITS)
+            tags = np.where(several, batch.column(3).to_numpy(), 0)
             found = []
             for h, owner, start, at, grams in _runs(batch, size, gram):
                 take = in_bitmap(bitmap, grams[at], bits)
                 i = start[take]
                 first = np.searchsorted(owner, owner[i])  # of the words of the window's text
                 other = W.windows(W.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), size)[i] >> np.uint64(32)
-                found.append((W.windows(h, size)[i], other, ids[owner[i]], i - first))
+                found.append((W.windows(h, size)[i], other, ids[owner[i]], tags[owner[i]], i - first))
             if not found:
                 continue
-            h1, h2, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((at, doc, h2, h1))
-            h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+            h1, h2, doc, tag, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((at, tag, doc, h2, h1))
+            h1, h2, doc, tag, at = h1[order], h2[order], doc[order], tag[order], at[order]
             new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])][: len(h1)]
             head = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
-            own = (doc == doc[head]) & (at == at[head])
-            yield from _emit(h1[own], h2[own], doc[own], at[own], np.ones(int(own.sum()), np.int64), False)
-            doc, at = doc[~own], at[~own]
-            order = np.lexsort((at, doc))
-            doc, at = doc[order], at[order]
-            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)][: len(doc)])
+            own = (doc == doc[head]) & (tag == tag[head]) & (at == at[head])
+            yield from _emit(h1[own], h2[own], doc[own], tag[own], at[own], np.ones(int(own.sum()), np.int64), False)
+            doc, tag, at = doc[~own], tag[~own], at[~own]
+            order = np.lexsort((at, tag, doc))
+            doc, tag, at = doc[order], tag[order], at[order]
+            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1)][: len(doc)])
             last = np.r_[begin[1:], len(doc)] - 1 if len(begin) else begin
             key = W.mix(doc[begin].astype(np.uint64) * np.uint64(31) + at[begin].astype(np.uint64))
-            yield from _emit(key, key >> np.uint64(32), doc[begin], at[begin], at[last] - at[begin] + 1 if len(begin) else begin, True)
+            yield from _emit(key, key >> np.uint64(32), doc[begin], tag[begin], at[begin], at[last] - at[begin] + 1 if len(begin) else begin, True)
 
     return run
 
 
-def _emit(h1, h2, doc, at, run, sure: bool) -> Iterator[pa.RecordBatch]:
+def _emit(h1, h2, doc, tag, at, run, sure: bool) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(h1), 100_000):
         s = slice(i, i + 100_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h1[s].view(np.int64)), pa.array(h2[s].astype(np.uint32).view(np.int32)), pa.array(doc[s].astype(np.int64)), pa.array(at[s].astype(np.int32)), pa.array(run[s].astype(np.int32)), pa.array(np.full(len(h1[s]), sure))],
-            ["h1", "h2", "doc", "at", "run", "sure"],
+            [pa.array(h1[s].view(np.int64)), pa.array(h2[s].astype(np.uint32).view(np.int32)), pa.array(doc[s].astype(np.int64)), pa.array(tag[s].astype(np.int64)), pa.array(at[s].astype(np.int32)), pa.array(run[s].astype(np.int32)), pa.array(np.full(len(h1[s]), sure))],
+            ["h1", "h2", "doc", "tag", "at", "run", "sure"],
         )
 
 
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bits: int = BITS) -> DataFrame:
-    """(doc, at, run): `run` windows from word `at` on, each found earlier too."""
+    """(doc, tag, at, run): `run` windows from word `at` on, each found earlier too; tag is 0 or the hash of the text."""
     slim = docs.select("doc_id", "text")
     keys = slim.mapInArrow(_anchor_counts(size, gram), "h long, n byte")
     shipped = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(keys, bits))
-    rows = slim.mapInArrow(_windows(shipped, size, gram, bits), "h1 long, h2 int, doc long, at int, run int, sure boolean")
-    nth = F.rank().over(Window.partitionBy("sure", "h1", "h2").orderBy("doc", "at"))
-    return rows.withColumn("nth", nth).where("sure OR nth > 1").select("doc", "at", "run")
+    ids = slim.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.lit(1).alias("n"))
+    shared_ids = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(ids, ID_BITS))
+    slim = slim.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("tag"))
+    rows = slim.mapInArrow(_windows(shipped, shared_ids, size, gram, bits), "h1 long, h2 int, doc long, tag long, at int, run int, sure boolean")
+    nth = F.rank().over(Window.partitionBy("sure", "h1", "h2").orderBy("doc", "tag", "at"))
+    return rows.withColumn("nth", nth).where("sure OR nth > 1").select("doc", "tag", "at", "run")
 
 
 def _removed(make_row: Callable[[bytes, list | None], tuple], types: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,9 +169,14 @@ def keep_words(text: bytes, spans: tuple[np.ndarray, np.ndarray] | None, size: i
 
 
 def _joined(docs: DataFrame, size: int, gram: int, bits: int) -> DataFrame:
-    spans = repeats(docs, size, gram, bits).groupBy("doc").agg(F.collect_list(F.struct("at", "run")).alias("spans"))
+    spans = repeats(docs, size, gram, bits).groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "run")).alias("spans"))
+    spans = spans.withColumn("key", F.when(F.col("doc") == LAST, F.col("tag")).otherwise(F.col("doc")))
     slim = docs.select("doc_id", "text")
-    return slim.join(spans, F.coalesce(slim["doc_id"], F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "spans")
+    known = F.coalesce(slim["doc_id"], F.lit(LAST))
+    # rows without an id are joined by their text's hash, so they don't meet in one task
+    same = F.when(known == LAST, F.xxhash64(slim["text"])).otherwise(known) == F.col("key")
+    own = (F.col("tag") == 0) | (F.col("tag") == F.xxhash64(slim["text"]))
+    return slim.join(spans, same & (known == F.col("doc")) & own, "left").select("doc_id", "text", "spans")
 
 
 def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bits: int = BITS) -> DataFrame:

@@ -71,3 +71,16 @@ def test_empty_and_null_ids(spark):
     text = " ".join(map(str, range(25)))
     df = spark.createDataFrame([(None, text), (5, text)], "doc_id long, text string")
     assert {(r.doc_id, r.n_removed) for r in substring.deduplicate(df).collect()} == {(None, 25), (5, 0)}
+
+
+def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
+    text = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    p, q, z = text("p", 25), text("q", 30), text("z", 30)
+    rows = [(None, p + " " + text("a", 40)), (None, p), (1, q), (None, text("b", 100) + " " + q), (7, z), (7, text("c", 3) + " " + z), (8, text("d", 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in substring.deduplicate(df).collect()]
+    left = {n: (gone, t) for i, n, gone, t in got}
+    assert len(got) == 7 and left[130] == (30, text("b", 100)) and left[60][0] == 0
+    assert sorted([left[65][0], left[25][0]]) == [0, 25]  # equal windows at one offset: one of the two goes
+    assert sorted(gone for i, _, gone, _ in got if i == 7) == [0, 30]
+    assert [gone for i, _, gone, _ in got if i == 1] == [0]
