@@ -301,14 +301,14 @@ def adjusted_logit(spark, d):
 
 @registered()
 def adjusted_boot(spark, d):
-    df = G.populations(spark, d).where("state_code < 4")
-    return glm.stability(glm.adjusted_bootstrap(df, _jobs(spark, d, 4), CONDITIONS, 20, 20240901))
+    df = G.populations(spark, d)
+    return glm.stability(glm.adjusted_bootstrap(df, _jobs(spark, d, 25), CONDITIONS, 20, 20240901))
 
 
 @registered()
 def sign_stable_edges(spark, d):
-    df = settle(G.populations(spark, d).where("state_code < 4"))
-    jobs = settle(_jobs(spark, d, 4))
+    df = settle(G.populations(spark, d))
+    jobs = settle(_jobs(spark, d, 25))
     adjusted = glm.adjusted_edges(glm.adjusted_models(df, jobs, CONDITIONS))
     return glm.sign_stable(adjusted, glm.adjusted_bootstrap(df, jobs, CONDITIONS, 20, 20240901), 0.90).select("graph_id", "source_condition", "target_condition", "odds_ratio", "q_value", "positive_stability", "edge_present")
 

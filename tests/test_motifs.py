@@ -191,3 +191,13 @@ def test_matrix_bootstrap_equals_the_join_form(spark):
     assert (t[:3].sum(axis=0) == 3).all() and (t[3] == 1).all()
     out = resample.bootstrap_by_state(df, 60, 1, 0.12, names).collect()
     assert len(out) == 6 and all(r.bootstrap_replicates_valid == 60 and len(r.bootstrap_selection_mask) == 61 and r.bootstrap_phi_025 <= r.bootstrap_phi_median <= r.bootstrap_phi_975 for r in out)
+
+
+def test_adjusted_bootstrap_covers_all_states(spark):
+    from affinis.plans import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    states = {r.graph_id[5:7] for r in QUERIES["adjusted_logit"](spark, d).select("graph_id").distinct().collect()}
+    assert len(states) > 4
+    for name in ("adjusted_boot", "sign_stable_edges"):
+        assert {r.graph_id[5:7] for r in QUERIES[name](spark, d).select("graph_id").collect()} == states
