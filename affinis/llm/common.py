@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _test_dir()
+    """The folder all executors see: spark.checkpoint.dir; where that is unset, a temporary one on a single machine only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return _test_dir()
 
 
 def _test_dir(kept: list[str] = []) -> str:  # noqa: B006  one folder for the process

@@ -12,14 +12,16 @@ Shards (partitions) return their k best per query; these are merged by score, th
 Queries are taken in blocks of at most QUERY_BLOCK by hash; each block is broadcast (a size bounded by
 that number) and meets all items; only k rows per query and shard are shuffled.
 
-Defined results: vectors that are null, or hold null or non-finite components or any of 2^20 or more (whose
-products need not fit a long), take no part; vectors of
-different lengths are compared as if padded with zeros; repeated items are items of their own, repeated
-query ids get one merged list; items of the query's id are left out; an empty table gives no rows.
+Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows
+with a null id; a component or one of the k best scores that doesn't fit a long is an error; vectors of
+different lengths are compared as if padded with zeros; repeated items are items of their own; equal query
+rows count once, query rows of one id with different vectors get one merged list; items of the query's id
+are left out; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +39,12 @@ STEP = 4
 
 
 def quantise(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, x as double; null where the vector can't take part."""
+    """floor(scale * x) of each component, x as double; null where the vector can't take part; an error beyond a long."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(2.0**20)))
-    return F.when(fit, F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")))
+    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
+    large = F.raise_error(F.lit("a component does not fit a long")).cast("long")
+    whole = lambda y: F.when(F.abs(y) < F.lit(2.0**63), F.floor(y).cast("long")).otherwise(large)
+    return F.when(fit, F.transform(x, lambda v: whole(v * F.lit(float(scale)))))
 
 
 class Queries:
@@ -51,6 +55,10 @@ class Queries:
         self.weights = padded(vectors)
 
 
+def largest(a: np.ndarray) -> float:
+    return max(float(a.max(initial=0)), -float(a.min(initial=0)))
+
+
 def padded(vectors: list[list[int]], width: int = 0) -> np.ndarray:
     width = max([width, *map(len, vectors)])
     out = np.zeros((len(vectors), width), np.int64)
@@ -115,7 +123,7 @@ def _search(shipped, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             weights = qs.weights if qs.weights.shape[1] == items.shape[1] else np.pad(qs.weights, ((0, 0), (0, items.shape[1] - qs.weights.shape[1])))
             low, high = items.min(axis=0), items.max(axis=0)
             # doubles hold the sums exactly below 2^53, and are multiplied faster; beyond that, integers
-            size = float(np.abs(items).max(initial=0)) * float(np.abs(weights).max(initial=0)) * items.shape[1]
+            size = largest(items) * largest(weights) * items.shape[1]
             kind = np.float64 if size < 2.0**52 else np.int64 if size < 2.0**62 else object
             postings = np.ascontiguousarray(items.T.astype(kind))
             weights, low, high = weights.astype(kind), low.astype(kind), high.astype(kind)
@@ -131,13 +139,13 @@ def _search(shipped, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """queries and items: (vec_id, weights array<long>). Returns (query_id, rank, vec_id, score)."""
     spark = items.sparkSession
-    queries = cut(queries.where("weights IS NOT NULL AND vec_id IS NOT NULL").dropDuplicates(["vec_id"]))
+    queries = cut(queries.where("weights IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "weights").distinct())
     items = items.where("weights IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "weights")
     n_blocks = max(1, -(-queries.count() // (QUERY_BLOCK * 3 // 4)))  # three quarters full on average
     parts = []
     for block in range(n_blocks):
         # one block of queries, bounded, at a time on the driver
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).orderBy("vec_id").collect()
+        rows = queries.where(F.pmod(F.xxhash64("vec_id", "weights"), F.lit(n_blocks)) == block).orderBy("vec_id", "weights").collect()
         shipped = spark.sparkContext.broadcast(Queries([r.vec_id for r in rows], [r.weights for r in rows]))
         part = items.mapInArrow(_search(shipped, k), "query_id long, vec_id long, score long")
         parts.append(part if n_blocks == 1 else cut(part))

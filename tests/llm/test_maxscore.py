@@ -37,6 +37,25 @@ def test_quantise_and_bad_vectors(spark):
     assert maxscore.top_k(df.limit(0), df.limit(0), 5).collect() == []
 
 
+def test_large_components_and_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [2.0**21, 1.0]), (50, [2.0**40, -1.0]), (7, [-(2.0**20), 3.0])], "vec_id long, embedding array<double>").select("vec_id", maxscore.quantise(F.col("embedding")).alias("weights"))
+    items = [(r.vec_id, r.weights) for r in df.collect()]
+    small = df.where("vec_id <> 50")
+    two = [x for x in items if x[0] != 50]
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in maxscore.top_k(small.where("vec_id = 0"), small, 5).collect()} == naive(two, two[:1]) == {(0, 1): (7, -(2**57) + 256 * 768)}
+    with pytest.raises(Exception, match="(?i)too large|overflow|to big|int"):
+        maxscore.top_k(df.where("vec_id = 0"), df, 5).collect()
+    with pytest.raises(Exception, match="does not fit a long"):
+        spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>").select(maxscore.quantise(F.col("embedding"))).collect()
+
+
+def test_repeated_ids_null_ids_and_extra_columns(spark):
+    items = [(0, [1, 2], "x"), (0, [1, 2], "y"), (0, [5, 0], "x"), (3, [2, 2], "x"), (3, [2, 2], "x"), (4, [9, 9], "z"), (None, [99, 99], "x")]
+    df = spark.createDataFrame(items, "vec_id long, weights array<long>, query_id string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in maxscore.top_k(df.where("vec_id = 0"), df, 5).collect())
+    assert got == [(0, 1, 4, 45), (0, 2, 4, 27), (0, 3, 3, 10), (0, 4, 3, 10), (0, 5, 3, 6)]
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     items = [(r.vec_id, [math.floor(256 * float(x)) for x in r.embedding]) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
