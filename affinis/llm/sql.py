@@ -6,10 +6,11 @@ from affinis.llm import mixing
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-#: Counts from word and line lists; a line is boilerplate above 20 documents and a tenth of its host's.
+#: Counts from word and line lists; a line is boilerplate above 20 distinct documents and a tenth of its host's.
 OP9 = rf"""
 WITH d AS (
-  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(source, '') AS host, {_WORDS} AS ws FROM documents
+  SELECT doc_id, r, coalesce(CAST(doc_id AS VARCHAR), 'row ' || r) AS doc, coalesce(text, '') AS t, coalesce(source, '') AS host, {_WORDS} AS ws
+  FROM (SELECT *, row_number() OVER () AS r FROM documents)
 ), tri AS (
   SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)
 ), spots AS (
@@ -17,14 +18,14 @@ WITH d AS (
 ), covered AS (
   SELECT r, count(DISTINCT j) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM spots WHERE n > 1) GROUP BY r
 ), lines AS (
-  SELECT r, doc_id, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+  SELECT r, doc, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
-  FROM (SELECT r, doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d)
+  FROM (SELECT r, doc, host, unnest(string_split(t, chr(10))) AS line FROM d)
 ), lined AS (
   SELECT r, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup FROM lines GROUP BY r
-), hosts AS (SELECT host, count(*) AS n_docs FROM d GROUP BY host
+), hosts AS (SELECT host, count(DISTINCT doc) AS n_docs FROM d GROUP BY host
 ), boiler AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT r) AS c FROM lines WHERE norm <> '' GROUP BY host, norm) JOIN hosts USING (host)
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc) AS c FROM lines WHERE norm <> '' GROUP BY host, norm) JOIN hosts USING (host)
   WHERE c > 20 AND c > n_docs * CAST(0.10 AS DOUBLE)
 ), gone AS (
   SELECT r, sum(n) AS n_gone FROM lines JOIN boiler USING (host, norm) GROUP BY r

@@ -15,9 +15,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def plain_quality(rows):
     norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
-    hosts, seen = Counter(r["source"] or "" for r in rows), Counter()
-    for r in rows:
-        seen.update({(r["source"] or "", norm(x)) for x in (r["text"] or "").split("\n") if norm(x)})
+    docs, holders = {}, {}
+    for i, r in enumerate(rows):
+        host, doc = r["source"] or "", r["doc_id"] if r["doc_id"] is not None else f"row {i}"
+        docs.setdefault(host, set()).add(doc)
+        for x in (r["text"] or "").split("\n"):
+            if norm(x):
+                holders.setdefault((host, norm(x)), set()).add(doc)
+    hosts, seen = Counter({k: len(v) for k, v in docs.items()}), Counter({k: len(v) for k, v in holders.items()})
     out = []
     for r in rows:
         host, ws = r["source"] or "", WORD.findall(r["text"] or "")

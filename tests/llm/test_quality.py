@@ -58,3 +58,40 @@ def test_a_group_of_copies_leaves_one_document(spark):
     got = {r.doc_id: r.text for r in out.collect()}
     assert sorted(i for i in got if i < 80) == [0, 40] and len(got) == 42
     assert not any(head in t for t in got.values())
+
+
+def test_a_line_counts_distinct_documents(spark):
+    """One doc_id 30 times is one document; 30 rows without an id are 30."""
+    head = " ".join(f"h{i}" for i in range(60))
+    rows = [(7, f"{head}\n{LONG}", "s")] * 30 + [(100 + i, " ".join(f"e{i}x{j}" for j in range(60)), "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert quality.boilerplate(df, "source", 20, 0.1).collect() == []
+    out = quality.assess(df).where("doc_id = 7").collect()
+    assert len(out) == 30 and all(r.kept and r.kept_words == r.n_words for r in out)
+    alone = df.selectExpr("nullif(doc_id, 7) AS doc_id", "text", "source")
+    assert [len(r.lines) for r in quality.boilerplate(alone, "source", 20, 0.1).collect()] == [2]
+    assert {r.kept for r in quality.assess(alone).where("doc_id IS NULL").collect()} == {False}
+    assert {r["doc_id"] for r in plain_quality([r.asDict() for r in alone.collect()])} == set(range(100, 140))
+
+
+def test_lists_too_long_to_broadcast_are_joined(spark):
+    rows = [(" ".join(f"x{j}" for j in range(60)) + f"\nown{i} " + LONG, f"s{i % 2}") for i in range(60)]
+    df = docs(spark, rows)
+    want = sorted(map(tuple, quality.assess(df).collect()))
+    assert sorted(map(tuple, quality.assess(df, broadcast_lines=1).collect())) == want and any(r[-3] != r[-5] for r in want)
+
+
+def test_repeated_words_of_very_long_texts_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(200_000))
+    began = time.monotonic()
+    got = quality.assess(docs(spark, [(f"{text} {text}", "s")])).first()
+    assert got.n_repeat_words == 400_000 and time.monotonic() - began < 60
+
+
+def test_columns_named_like_results_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "own", -1, "other")], "doc_id long, text string, source string, kept string, n_words int, t string")
+    got = quality.assess(df).first()
+    assert (got.kept, got.n_words, got.t) == (False, 2, "other")
+    assert quality.filter_documents(df).columns == df.columns
