@@ -4,20 +4,25 @@
    (combined on the map side) and joined back: of equal payloads of at least `min_bytes`, the smallest
    page_id is the response and the others revisit it.
 2. Pages get their decision by page_id and are written as WARC/1.1 records in gzip archives by Spark's text
-   writer, whose commit makes retried tasks harmless. A revisit has fresh headers and no payload.
-3. Archives are read back as whole files of bounded size and parsed record by record by Content-Length, so
-   a payload may hold anything, WARC headers included. Revisits are then joined to their responses.
-
-Payload digests are SHA-1 in base 32. Defined results: null html is an empty payload; pages with null
-page_id are records with an empty id; a repeated page_id with the same payload is one record, written once
-and returned once; an empty table gives no rows; other columns are ignored.
+   writer, whose commit makes retried tasks harmless. A revisit has fresh headers and no payload. Pages are
+   written by classes of payload size (up to STEPS[0], STEPS[1], ... bytes; the classes that occur), each with
+   so many records an archive that their payloads stay within ARCHIVE_BYTES, or one page where that is larger.
+3. Archives are read back one at a time and unpacked as a stream, record by record by Content-Length, so a
+   payload may hold anything, WARC headers included, and a worker holds one packed archive and one record.
+   A record whose payload doesn't have its digest is an error. Revisits are then joined to their responses.
+
+Payload digests are SHA-1 in base 32. Defined results: a record per row; null html is an empty payload; pages
+with null page_id are responses with an empty id, which no other refers to; rows of one page_id with equal
+payloads are all responses if that page_id is the smallest, else all revisits; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +32,12 @@ from pyspark.sql import functions as F
 from affinis.llm.common import cut, fresh_path
 
 MIN_BYTES = 0
-#: Records in one archive at most.
-RECORDS = 4096
+#: Records in one archive at most, and bytes of their payloads (unless one alone has more).
+RECORDS, ARCHIVE_BYTES = 4096, 1 << 28
+#: Rows a reader hands on at once.
+READ_ROWS = 1024
+#: Largest payloads of the size classes but the last.
+STEPS = [ARCHIVE_BYTES // RECORDS << 4 * i for i in range(4)]
 #: A record's fixed header lines.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -50,9 +59,9 @@ def resolve(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return headers.join(groups, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
     """(record): one WARC record per page, without the last of the line ends that close it."""
-    revisits = resolve(pages, min_bytes).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
+    revisits = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
     html = F.coalesce(F.col("html"), F.lit(""))
     page = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), base32_sha1(F.encode(html, "utf-8")).alias("digest"))
     page = page.join(revisits, (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
@@ -74,28 +83,42 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return page.select(F.concat(head, F.when(again, F.lit("")).otherwise(F.col("html")), F.lit("\r\n")).alias("record"))
 
 
+def size_class(n_bytes: Column) -> Column:
+    out = F.lit(0)
+    for i, step in enumerate(STEPS):
+        out = F.when(n_bytes > step, i + 1).otherwise(out)
+    return out
+
+
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    records(pages, min_bytes).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    """Archives of the pages in `path`, a folder for each size class that occurs."""
+    revisits = resolve(pages, min_bytes)
+    kind = size_class(F.coalesce(F.octet_length("html"), F.lit(0)))
+    classes = sorted(r[0] for r in pages.select(kind).distinct().collect())  # len(STEPS) + 1 at most
+    if len(classes) > 1:
+        revisits = cut(revisits)  # joined once for each class
+    for c in classes or [0]:
+        part = pages.where(kind == c) if len(classes) > 1 else pages
+        most = max(1, ARCHIVE_BYTES // STEPS[c]) if c < len(STEPS) else 1
+        records(part, revisits).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={c}")
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of the records of a gzip archive."""
-    data, out = archive, []
-    while data:  # one member or several
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    raw, at = b"".join(out), 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(headers["Content-Length"])
-        payload = raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-        yield headers, payload
+    """(headers, payload) of the records of a gzip archive of one member or several."""
+    with io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(archive)), 1 << 16) as raw:
+        while version := raw.readline():
+            if not version.startswith(b"WARC/"):
+                raise ValueError(f"no record before byte {raw.tell()}")
+            headers = {}
+            while (line := raw.readline()) != b"\r\n":
+                if not line:
+                    raise ValueError("the archive ends within headers")
+                name, value = line.decode().rstrip("\r\n").split(": ", 1)
+                headers[name] = value
+            payload = raw.read(int(headers["Content-Length"]))
+            if len(payload) < int(headers["Content-Length"]) or raw.read(4) != b"\r\n\r\n":
+                raise ValueError(f"a record ends early before byte {raw.tell()}")
+            yield headers, payload
 
 
 def _id(value: str | None) -> int | None:
@@ -105,29 +128,34 @@ def _id(value: str | None) -> int | None:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "intact"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
         for archive in batch.column(0):
             rows = []
             for h, payload in parse(archive.as_py()):
+                if len(rows) == READ_ROWS:
+                    yield pack(rows)
+                    rows = []
                 digest, kind = h["WARC-Payload-Digest"][5:], h["WARC-Type"]
                 whole = kind == "revisit" or base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
                 rows.append((_id(h["WARC-Record-ID"]), h["WARC-Target-URI"], kind, _id(h.get("WARC-Refers-To")), digest, None if kind == "revisit" else len(payload), whole))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pack(rows)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes (null for revisits), intact."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, intact boolean")
 
 
 def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Write the archives, read them back and join revisits to their responses."""
+    """Write the archives, read them back and join revisits to their responses; a record that isn't intact is an error."""
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     write(pages.select("page_id", "url", "html"), path, min_bytes)
-    back = cut(read(spark, path).where("intact"))
+    broken = F.raise_error(F.concat(F.lit("broken record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).cast("boolean")
+    back = cut(read(spark, path).where(F.col("intact") | broken))
     first = cut(back.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full")))
     revisit = back.where("record_type = 'revisit'").join(first, "payload_digest").withColumn("payload_bytes", F.col("full")).select(back.columns)
     return back.where("record_type = 'response'").union(revisit)
