@@ -63,8 +63,10 @@ def test_a_broken_record_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="early"):
         list(warc.parse(gzip.compress(whole[:-6])))
     assert [p for _, p in warc.parse(gzip.compress(whole[:100]) + gzip.compress(whole[100:]))] == [b"abc", b"def"]
+    (file.parent / f".{file.name}.crc").unlink()
+    file.write_bytes(gzip.compress(whole.replace(b"abc", b"abd")))
     with pytest.MonkeyPatch.context() as m, pytest.raises(Exception, match="broken record of page 1"):
-        m.setattr(warc, "write", lambda pages, path, least: file.write_bytes(gzip.compress(whole.replace(b"abc", b"abd"))))
+        m.setattr(warc, "write", lambda *_: None)
         warc.round_trip(df, f"file://{tmp_path}/a")
 
 
