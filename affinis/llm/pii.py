@@ -14,20 +14,24 @@ Matches come from regexp_extract_all and their places from the lengths of what s
 them, so places count code points and matches are leftmost and non-overlapping, as the regex finds them.
 A pattern runs only over texts that hold a character or pair of characters it can't do without.
 
-Patterns are possessive where what follows can't be matched by giving back: the same matches, no recursion
-and no backtracking on long runs. Defined results: null or empty text has no spans; repeated rows are
+Patterns are possessive where what follows can't be matched by giving back, and email and ip start only where
+a run of their first characters does (or where the last match ended): any later start in the run fares alike.
+So matching is linear in the text, long runs included; places, masks and overlaps take sorts and folds over
+blocks of BLOCK values. Defined results: null or empty text has no spans; repeated rows are
 treated one by one; an empty table gives no rows; other columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.common import let
 
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Countries by the length of their IBANs; a match of a listed country ends there.
@@ -66,6 +70,10 @@ KINDS = [
 ]
 BASE = [k[0] for k in KINDS[:4]]
 WINDOW, THRESHOLD, LIFT = 40, 0.7, 0.4
+#: Code points of the shortest match of a kind with context words.
+SHORTEST = 9
+#: Values folded one by one; also the heads whose text is cut from one piece.
+BLOCK = 256
 SPAN = "struct<kind:string,rank:int,start:int,end:int,score:double>"
 
 
@@ -105,31 +113,40 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, kind: str, rank: int, pattern: str) -> Column:
-    """Confirmed matches as spans; places grow by the length of each gap and match."""
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over the values up to each place. An appended array is copied, so folds are over blocks and then over their ends."""
+    fold = lambda v: F.aggregate(v, F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(op(F.get(a, F.size(a) - 1), x), x)))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+    joined = lambda parts, ends: F.flatten(F.transform(parts, lambda p, j: F.when(j == 0, p).otherwise(F.transform(p, lambda x: op(x, F.get(ends, j - 1))))))
+    long = lambda v: let(blocks(v), lambda parts: let(fold(F.transform(parts, lambda p: F.get(p, F.size(p) - 1))), lambda ends: joined(parts, ends)))
+    return let(values, lambda v: F.when(F.size(v) <= BLOCK, fold(v)).otherwise(long(v)))
 
-    def run(pair: Column) -> Column:
-        gaps, found = pair["gaps"], pair["found"]
-        ends = let(
-            F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i))),
-            lambda n: F.aggregate(n, F.array().cast("array<int>"), lambda a, x: F.array_append(a, x + F.coalesce(F.element_at(a, F.when(F.size(a) > 0, -1)), F.lit(0)))),
-        )
-        spans = let(ends, lambda e: F.transform(found, lambda m, i: F.struct(F.get(e, i).alias("end"), m.alias("m"))))
-        good = F.filter(spans, lambda s: _confirmed(kind, s["m"]))
-        return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), (s["end"] - F.length(s["m"])).alias("start"), s["end"].alias("end"), F.lit(0.0).alias("score")))
 
-    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)).alias("found")), run)
+def _tail(text: Column) -> Column:
+    return F.substring(text, -WINDOW, WINDOW)
 
 
-def _lifted(text: Column, spans: Column, score: float, context: str | None) -> Column:
-    def scored(s: Column) -> Column:
-        add = F.lit(0.0)
+def _placed(text: Column, kind: str, rank: int, pattern: str, score: float, context: str | None) -> Column:
+    """Confirmed matches that reach the threshold as spans; places grow by the length of each gap and match."""
+
+    def run(pair: Column) -> Column:
+        gaps, found = pair["gaps"], pair["found"]
+        ends = running(F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i))), lambda x, y: x + y)
+        spans = let(ends, lambda e: F.transform(found, lambda m, i: F.struct(F.get(e, i).alias("end"), m.alias("m"), i.alias("i"))))
+        good = F.filter(spans, lambda s: _confirmed(kind, s["m"]))
+        total = score
         if context:
-            before = F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(F.lit(WINDOW), s["start"]))
-            add = F.when(before.rlike(context), F.lit(LIFT)).otherwise(0.0)
-        return F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(score) + add).alias("score"))
+            # what stands before a match: the gap, and as many earlier gaps and matches as the window may reach
+            pieces = F.transform(found, lambda m, i: _tail(F.concat(F.get(gaps, i), m)))
+            before = lambda p, i: _tail(F.concat_ws("", *[F.get(p, i - k) for k in range(-(-WINDOW // SHORTEST), 0, -1)], _tail(F.get(gaps, i))))
+            confirmed = good
+            good = let(pieces, lambda p: F.filter(confirmed, lambda s: before(p, s["i"]).rlike(context)))
+            total += LIFT
+        if total < THRESHOLD:
+            return F.array().cast(f"array<{SPAN}>")
+        return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), (s["end"] - F.length(s["m"])).alias("start"), s["end"].alias("end"), F.lit(total).alias("score")))
 
-    return F.filter(F.transform(spans, scored), lambda s: s["score"] >= F.lit(THRESHOLD))
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)).alias("found")), run)
 
 
 def spans(text: Column) -> Column:
@@ -138,14 +155,19 @@ def spans(text: Column) -> Column:
     base, more = [], []
     for rank, (kind, pattern, needs, score, context) in enumerate(KINDS):
         hint = F.contains(text, F.lit(needs)) if needs in ("@", "AKIA") else text.rlike(needs)
-        (base if kind in BASE else more).append(F.when(hint, _lifted(text, _placed(text, kind, rank, pattern), score, context)).otherwise(none))
-    joined = let(F.concat(*base), lambda b: F.concat(b, *[F.filter(m, lambda s: _free(s, b)) if KINDS[4 + i][0] in ("ssn", "local") else m for i, m in enumerate(more)]))
+        (base if kind in BASE else more).append(F.when(hint, _placed(text, kind, rank, pattern, score, context)).otherwise(none))
+    joined = let(F.concat(*base), lambda b: F.concat(b, *[_free(m, b) if KINDS[len(BASE) + i][0] in ("ssn", "local") else m for i, m in enumerate(more)]))
     by_start = F.transform(joined, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
     return F.array_sort(by_start)
 
 
-def _free(s: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+def _free(some: Column, others: Column) -> Column:
+    """The spans of `some` that overlap none of the others: of those that start before its end, none reaches beyond its start."""
+    event = lambda at, other, reach, s: F.struct(at.alias("at"), F.lit(other).alias("other"), reach.alias("reach"), s.alias("span"))
+    events = lambda c: F.array_sort(F.concat(F.transform(others, lambda s: event(s["start"], 1, s["end"], s)), F.transform(c, lambda s: event(s["end"], 0, F.lit(0), s))))
+    reached = lambda e: let(running(F.transform(e, lambda x: x["reach"]), F.greatest), lambda r: F.transform(e, lambda x, i: F.struct(x["other"].alias("other"), F.get(r, i).alias("upto"), x["span"].alias("span"))))
+    clear = lambda e: F.transform(F.filter(reached(e), lambda x: (x["other"] == 0) & (x["upto"] <= x["span"]["start"])), lambda x: x["span"])
+    return let(some, lambda c: F.when((F.size(c) == 0) | (F.size(others) == 0), c).otherwise(let(events(c), clear)))
 
 
 def count_of(found: Column, kind: str) -> Column:
@@ -165,15 +187,34 @@ def detect(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def mask(text: Column, found: Column) -> Column:
     """text with each run of overlapping spans replaced by <KIND> of its first span."""
-    step = lambda acc, s: F.when(
-        s["start"] < acc["at"],
-        F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")),
-    ).otherwise(
-        F.struct(F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out"), s["end"].alias("at"))
-    )
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0))))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, done)).otherwise(text)
+
+    def replaced(reach: Column) -> Column:
+        """reach: how far the spans up to each go; a run begins where a span starts at or beyond that of the ones before."""
+        placed = F.transform(found, lambda s, i: F.struct(F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+        heads = F.filter(placed, lambda x: x["start"] >= x["at"])
+        last = F.get(reach, F.size(reach) - 1)
+        return let(heads, lambda h: F.concat(F.array_join(_pieces(text, h, F.lit(0), last), ""), F.substring(text, last + 1, F.greatest(F.length(text) - last, F.lit(0)))))
+
+    return F.when(F.size(found) > 0, let(running(F.transform(found, lambda s: s["end"]), F.greatest), replaced)).otherwise(text)
+
+
+def _pieces(text: Column, heads: Column, base: Column, last: Column, sizes: tuple[int, ...] = (BLOCK**2, BLOCK)) -> Column:
+    """The text before each head, from its `at` on, and <KIND>. text begins at `base` and matters up to `last`.
+
+    A substring is found by counting from the text's start, so the text of many heads is cut into that of groups first.
+    """
+    plain = F.transform(heads, lambda x: F.concat(F.substring(text, x["at"] - base + 1, x["start"] - x["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+    if not sizes:
+        return plain
+    size, *rest = sizes
+
+    def group(g: Column) -> Column:
+        bounds = F.struct(F.get(heads, g * size)["at"].alias("a"), F.coalesce(F.get(heads, (g + 1) * size)["at"], last).alias("b"))
+        part = lambda r: F.struct(F.substring(text, r["a"] - base + 1, r["b"] - r["a"]).alias("t"), F.slice(heads, g * size + 1, F.lit(size)).alias("h"), r["a"].alias("a"), r["b"].alias("b"))
+        return let(bounds, lambda r: let(part(r), lambda p: _pieces(p["t"], p["h"], p["a"], p["b"], tuple(rest))))
+
+    groups = F.sequence(F.lit(0), F.floor((F.size(heads) - 1) / size).cast("int"))
+    return F.when(F.size(heads) <= size, _pieces(text, heads, base, last, tuple(rest))).otherwise(F.flatten(F.transform(groups, group)))
 
 
 def mask_documents(docs: DataFrame, column: str = "text") -> DataFrame:

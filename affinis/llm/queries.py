@@ -22,7 +22,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [pii.count_of(F.col("pii_spans"), k).cast("long").alias(f"n_{k}") for k in pii.BASE]
     base = F.sha2(pii.listing(F.col("pii_spans"), base_only=True), 256)
-    return found.select("doc_id", *n, base.alias("base_sha256"), pii.listing(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *n, base.alias("base_sha256"), pii.listing(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
