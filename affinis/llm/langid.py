@@ -2,7 +2,7 @@
 
 1. Features: the text in lower case, letters kept and all else one space, its 1- to 3-grams of code points
    hashed to DIM places; (1 + log count) * idf, scaled to length 1. Whole texts, in chunks of CHUNK code
-   points whose counts are added up.
+   points whose counts are added up; a chunk starts with the last two code points kept of the one before.
 2. Document frequencies are counted over all training documents: each task adds up one array of DIM counts,
    and the arrays are summed by place, so what reaches the driver has a fixed size.
 3. The classifier is fitted on at most SAMPLE training documents per language, chosen by hash of their id;
@@ -11,9 +11,11 @@
 4. Every text is scored in Arrow batches.
 
 The training set is given by the caller; the language of a document never goes into its own prediction.
-Languages are at most LANGUAGES, the most frequent ones. Defined results: null text, or text without a
-letter, is `und` with score 0; so is everything where nothing can be learned; repeated rows are predicted
-alike; an empty table gives no rows; other columns are ignored.
+Every value of lang can be learned and predicted; a model has DIM weights a language, so the labels in use must be
+a set of names (DIM x 8 bytes each on the driver and on workers), not free text. Defined results: null text, or
+text without a letter, is `und` with score 0; so is everything where nothing can be learned; of languages of equal
+score the first by name; repeated rows are predicted alike, and each counts in training; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 DIM = 1 << 15
 CHUNK = 1 << 18
-SAMPLE, LANGUAGES = 500, 200
+SAMPLE = 500
 ALPHA, BETA, L1, L2, ROUNDS = 0.5, 1.0, 0.02, 0.01, 3
 UNKNOWN = "und"
 
@@ -40,18 +42,20 @@ class Grams:
 
     def __call__(self, text: str) -> np.ndarray | None:
         """DIM counts; null if the text has no letter."""
-        total, found = None, False
+        total, found, text = None, False, text.lower()
+        before = np.array([], np.uint64)  # the last two code points kept so far
         for i in range(0, len(text), CHUNK):
-            c = np.frombuffer(text[i : i + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            c = np.frombuffer(text[i : i + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
             letter = self.letter[c]
-            if not letter.any():
-                continue
-            found = True
-            c = np.where(letter, c, 32)
-            c = c[letter | np.r_[True, letter[:-1]]].astype(np.uint64)
+            found |= bool(letter.any())
+            # of other code points the first of each run stays, as a space
+            keep = letter | np.r_[not len(before) or before[-1] != 32, letter[:-1]]
+            c = np.where(letter, c, 32)[keep].astype(np.uint64)
+            n, c = len(c), np.r_[before, c]
+            before = c[-2:]
             two = c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]
             three = two[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[2:]
-            counts = sum(np.bincount(self.place(g), minlength=DIM) for g in (c, two, three))
+            counts = sum(np.bincount(self.place(g[max(0, len(g) - n) :]), minlength=DIM) for g in (c, two, three))
             total = counts if total is None else total + counts
         return total if found else None
 
@@ -145,7 +149,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: (doc_id, text, lang) of the training documents."""
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("o"))
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = docs.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), np.zeros(DIM))
     seen = {r.place: r.n for r in docs.select("text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}  # DIM + 1 rows at most
@@ -166,7 +170,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, lang_pred and score."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES x DIM weights at most
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, m = Grams(), shipped.value

@@ -13,8 +13,9 @@ over the documents that share both bytes with the end: one in 65,536. No leaf's
 
 Weights: `weights` maps 'domain', 'domain/lang' or 'domain/lang/source' to a weight; others weigh 1.
 Tokens are words. Defined results: null text has no tokens and is not chosen (0 copies); null lang or source is '';
-an empty table gives no rows; repeated rows are chosen one by one (same order for the same doc_id, ties
-taken together); other columns pass through.
+an empty table gives no rows; rows of one doc_id in one leaf have one place in its order and are taken together or
+not at all, in different leaves they are chosen apart; null doc_ids have one place likewise; `mix` returns doc_id
+and its own columns, `sample` the columns of docs.
 """
 
 from __future__ import annotations
@@ -82,10 +83,15 @@ def budgets(leaves: DataFrame, weights: dict[str, float] | None = None, share: f
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with mix_domain, mix_tokens and mix_copies: how often the mixture takes the document."""
+    """Per row of docs doc_id, mix_domain, mix_tokens and mix_copies: how often the mixture takes it."""
+    return chosen(docs, weights, share, epochs, seed).select("doc_id", F.col("domain").alias("mix_domain"), F.col("n").alias("mix_tokens"), F.col("copies").alias("mix_copies"))
+
+
+def chosen(docs: DataFrame, weights: dict[str, float] | None, share: float, epochs: int, seed: int) -> DataFrame:
+    """(doc_id, domain, language, origin, n, copies) of each row of docs."""
     src = F.coalesce(F.col("source"), F.lit(""))
     slim = docs.select("doc_id", domain(src).alias("domain"), F.coalesce("lang", F.lit("")).alias("language"), src.alias("origin"), tokens(F.col("text")).alias("n"))
-    none, slim = slim.where("n = 0").select("doc_id", "domain", "n", F.lit(0).cast("long").alias("copies")), cut(slim.where("n > 0"))
+    none, slim = slim.where("n = 0").select("doc_id", *LEVELS, "n", F.lit(0).cast("long").alias("copies")), cut(slim.where("n > 0"))
     plan = budgets(slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), weights, share, epochs)
     plan = plan.withColumn("times", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("times") * F.col("tokens"))
     plan = cut(plan.select(*LEVELS, "times", "rest"))
@@ -103,16 +109,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, share: float =
         ends = cut(first.select(*LEVELS, F.col("c.lead").alias("lead"), F.col("c.before").alias("before")))
     ranked = ranked.join(hint(ends), list(LEVELS)).withColumn("own", _lead(2))
     edge = ranked.where("own = lead").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("o", "doc_id")))
-    taken = lambda df, more: df.select("doc_id", "domain", "n", (F.col("times") + F.when(more, 1).otherwise(0)).alias("copies"))
+    taken = lambda df, more: df.select("doc_id", *LEVELS, "n", (F.col("times") + F.when(more, 1).otherwise(0)).alias("copies"))
     out = taken(edge, F.col("upto") <= F.col("rest")).union(taken(ranked.where("own <> lead"), F.col("own") < F.col("lead")))
-    out = out.union(none)
-    return out.select("doc_id", F.col("domain").alias("mix_domain"), F.col("n").alias("mix_tokens"), F.col("copies").alias("mix_copies"))
+    return out.union(none)
 
 
 def sample(docs: DataFrame, weights: dict[str, float] | None = None, share: float = SHARE, epochs: int = 1, seed: int = SEED) -> DataFrame:
     """The documents of the mixture, each as often as it is taken, in the columns of docs."""
-    taken = mix(only(docs, "doc_id", "text", "lang", "source"), weights, share, epochs, seed).where("mix_copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("mix_copies").cast("int").alias("mix_copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    own = [docs[f"`{c}`"] for c in docs.columns]
-    return joined.select(*own, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy") if epochs > 1 else joined.select(*own)
+    taken = chosen(only(docs, "doc_id", "text", "lang", "source"), weights, share, epochs, seed).where("copies > 0")
+    # a choice is the same for all rows of a doc_id in a leaf that have a token
+    taken = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("language").alias("mix_lang"), F.col("origin").alias("mix_source")).agg(F.max("copies").cast("int").alias("mix_copies"))
+    # the caller's columns by place, so that no name of theirs clashes
+    own = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)])
+    col = lambda name: F.col(f"in_{docs.columns.index(name)}")
+    leaf = (F.coalesce(col("lang"), F.lit("")) == F.col("mix_lang")) & (F.coalesce(col("source"), F.lit("")) == F.col("mix_source"))
+    joined = own.where(col("text").rlike(r"[^\x20\x09-\x0D]")).join(taken, col("doc_id").eqNullSafe(F.col("mix_id")) & leaf)
+    if epochs > 1:
+        joined = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return joined.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -42,3 +42,62 @@ def test_very_long_texts_are_read_whole(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
     assert got[1000] == "de" and got[1001] == "en" and all(got[i] == ("en" if i % 2 else "de") for i in range(120))
+
+
+def plain_counts(text):
+    """Hashed 1- to 3-grams of the text's letters, all else one space, in Python integers."""
+    kept = []
+    for ch in text.lower():
+        if ch.isalpha() or not kept or kept[-1] != 32:
+            kept.append(ord(ch) if ch.isalpha() else 32)
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            g = 0
+            for c in kept[i : i + n]:
+                g = (g * 0x9E3779B97F4A7C15 + c) % 2**64
+            g = (g ^ (g >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+            out[g >> 49] = out.get(g >> 49, 0) + 1
+    return out
+
+
+def test_counts_do_not_depend_on_chunks(monkeypatch):
+    text = "Été — 12 ab, cd!  ÀÉ\n" * 40 + "..." * 30 + "zz  y"
+    want = plain_counts(text)
+    for chunk in (1, 2, 3, 7, 1 << 18):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        counts = langid.Grams()(text)
+        assert {int(p): int(counts[p]) for p in np.flatnonzero(counts)} == want
+
+
+def test_predictions_equal_a_plain_scorer(spark):
+    """lang_pred and score of the query, recomputed from the fitted weights in plain Python."""
+    import math
+
+    d = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    model = langid.train(df.where(~langid.held_out(langid.F.col("doc_id"))).select("doc_id", "text", "lang"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op2_language_id(spark, d).collect()}
+    for r in df.collect():
+        text = r.text or ""
+        if not any(c.isalpha() for c in text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        x = {p: (1 + math.log(n)) * model.idf[p] for p, n in plain_counts(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [(sum(v / norm * model.weights[p, k] for p, v in x.items()) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        e = [math.exp(v - max(logits)) for v in logits]
+        best = max(range(len(e)), key=lambda k: e[k])
+        lang, score = got[r.doc_id]
+        assert lang == model.languages[best] and abs(score - e[best] / sum(e)) < 1e-9
+
+
+def test_many_languages_ties_and_repeated_rows(spark):
+    rows = [(i, chr(0x4E00 + i % 250) * 20, f"l{i % 250:03}") for i in range(1000)] + [(5000, "zzz", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.languages == [f"l{i:03}" for i in range(250)]
+    assert langid.Model(["a", "b"], np.zeros((langid.DIM, 2)), np.zeros(2), np.ones(langid.DIM)).predict(langid.Grams()("x")) == ("a", 0.5)
+    pred = langid.predict(df, model, ["doc_id"]).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 250:03}" for r in pred if r.doc_id < 1000]) > 0.9  # the temperature is fitted to one in five
+    assert len({(r.lang_pred, r.score) for r in pred if r.doc_id == 5000}) == 1

@@ -45,3 +45,25 @@ def test_nulls_and_empty(spark):
     assert {(r.doc_id, r.mix_copies) for r in mixing.mix(docs, {}, share=1.0).collect()} == {(1, 0), (2, 0), (3, 1), (None, 1)}
     assert mixing.sample(docs, {}, share=1.0).columns == docs.columns
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_sample_takes_the_rows_that_mix_takes(spark):
+    """Ids that are repeated, in one leaf and in several, ids that are null, and very long texts."""
+    rows = [(i % 40, f"{i} " * (i % 9), "en" if i % 3 else None, f"s{i % 5}", i) for i in range(400)] + [(None, "n " * (i % 4), "en", "s1", 900 + i) for i in range(20)]
+    rows += [(7, "w " * 300_000, "en", "s2", 990), (8, None, "en", "s1", 991), (None, None, None, None, 992)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_id long").repartition(3)
+    for seed in range(3):
+        copies = mixing.chosen(df, {}, 0.7, 2, seed)
+        took, size = {}, {}
+        for r in copies.collect():
+            took.setdefault((r.doc_id, r.language, r.origin, r.n > 0), set()).add(r.copies)
+            leaf = r.language, r.origin
+            size[leaf] = size.get(leaf, 0) + r.copies * r.n
+        assert all(len(c) == 1 for c in took.values())
+        got = {}
+        for r in mixing.sample(df, {}, 0.7, 2, seed).collect():
+            got[r.mix_id] = got.get(r.mix_id, 0) + 1
+        want = {mark: max(took[i, lang or "", s or "", bool((t or "").split())]) for i, t, lang, s, mark in rows}
+        assert got == {k: v for k, v in want.items() if v}
+        plan = {(r.language, r.origin): r.budget for r in mixing.budgets(copies.where("n > 0").groupBy(*mixing.LEVELS).agg(mixing.F.sum("n").alias("tokens")), {}, 0.7, 2).collect()}
+        assert all(n <= plan.get(leaf, 0) for leaf, n in size.items())
