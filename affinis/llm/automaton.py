@@ -1,26 +1,32 @@
 """Substring removal against a reference of bounded size, by broadcast suffix automata (operator 7's second form).
 
-The reference is cut into shards of at most SHARD_WORDS words. Each shard's suffix automaton is built on the
-driver and broadcast, one after another; documents stream through it: after each word the automaton is in the
+The reference is cut into shards of about SHARD_WORDS words. One shard at a time is read by the driver, made
+into a suffix automaton and broadcast; documents stream through it: after each word the automaton is in the
 state of the longest suffix of what was read that occurs in the shard (matching statistics). Maximal spans of
-at least `threshold` words are removed.
-
-For a corpus that is its own reference this costs corpus x shards steps; see README.md for the figures and
-`substring.py` for the form that op7's query uses. Defined results: null or empty text has no words; an empty
-reference removes nothing; other columns are ignored.
+at least `threshold` words are written to the shared folder, the broadcast is dropped, and the next shard
+follows; in the end the spans of all passes are removed from the texts.
+
+A reference of more than REFERENCE_WORDS words is refused: a pass over the documents per shard is no way to
+go further. For a corpus that is its own reference this costs corpus x shards steps; see README.md for the
+figures and `substring.py` for the form that op7's query uses. Defined results: null or empty text has no words;
+an empty reference removes nothing; rows are treated one by one, whatever their doc_id; a text longer than a
+shard is a shard of its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from affinis.llm import wordhash as W
+from affinis.llm.common import cut, words
 from affinis.llm.substring import _removed, keep_words
 
-THRESHOLD, SHARD_WORDS = 20, 200_000
+THRESHOLD, SHARD_WORDS, REFERENCE_WORDS = 20, 200_000, 10_000_000
 
 
 class SuffixAutomaton:
@@ -102,22 +108,37 @@ def shards(reference: DataFrame, column: str, most: int = SHARD_WORDS) -> Iterat
         yield found
 
 
-def remove_reference(docs: DataFrame, reference: DataFrame, column: str = "text", threshold: int = THRESHOLD, most: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, text, n_words, n_removed): docs without spans that the reference holds."""
-    spark = docs.sparkSession
-    shipped = [spark.sparkContext.broadcast(a) for a in shards(reference, column, most)]
-
+def _matches(shipped, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        for batch in batches:
+            rows = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = W.hash_words((text.as_py() or "").encode())[0].tolist()
+                rows += [(row, a, b - a) for a, b in spans(shipped.value.statistics(hashes), threshold)]
+            cols = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["row", "at", "run"])
 
-        def row(text: bytes, _) -> tuple[str, int, int]:
-            words = W.hash_words(text)[0].tolist()
-            found = [s for b in shipped for s in spans(b.value.statistics(words), threshold)]
-            at = (np.array([a for a, _ in found]), np.array([b - a for a, b in found])) if found else None
-            left, gone = keep_words(text, at, 1)
-            return b" ".join(left).decode(), len(words), gone
+    return run
 
-        empty = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(b.num_rows, pa.list_(pa.struct([("at", pa.int32()), ("run", pa.int32())])))], ["a", "b", "c"]) for b in batches)
-        yield from _removed(row, [pa.string(), pa.int64(), pa.int64()])(empty)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+def remove_reference(docs: DataFrame, reference: DataFrame, column: str = "text", threshold: int = THRESHOLD, most: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, text, n_words, n_removed): docs without spans that the reference holds."""
+    spark = docs.sparkSession
+    size = reference.agg(F.sum(F.size(words(F.col(f"`{column}`"))))).first()[0] or 0
+    if size > REFERENCE_WORDS:
+        raise ValueError(f"a reference of {size} words is too large: {REFERENCE_WORDS} at most")
+    # rows are told apart by a number that is fixed once written
+    docs = cut(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    found = spark.createDataFrame([], "row long, at int, run int")
+    for automaton in shards(reference, column, most):
+        shipped = spark.sparkContext.broadcast(automaton)
+        found = found.union(cut(docs.select("row", "text").mapInArrow(_matches(shipped, threshold), "row long, at int, run int")))
+        shipped.unpersist()
+    per = found.groupBy("row").agg(F.collect_list(F.struct("at", "run")).alias("spans"))  # of one text each
+
+    def row(text: bytes, at: tuple[np.ndarray, np.ndarray] | None) -> tuple[str, int, int]:
+        left, gone = keep_words(text, at, 1)
+        return b" ".join(left).decode(), len(left) + gone, gone
+
+    out = _removed(row, [pa.string(), pa.int64(), pa.int64()])
+    return docs.join(per, "row", "left").select("doc_id", "text", "spans").mapInArrow(out, "doc_id long, text string, n_words long, n_removed long")

@@ -13,7 +13,9 @@ Two forms of the same fold:
   occurrences with the distinct words, which moves several times the text through disk.
 
 Defined results: null text is encoded as the empty text (no ids); any text round-trips, as all 256 bytes
-have ranks; repeated rows are encoded one by one; an empty table gives no rows.
+have ranks; very long texts are encoded whole, and a piece of any length in n log n steps; repeated rows are
+encoded one by one; an empty table gives no rows; `encode` and `decode` pass other columns, `digests` returns
+those asked for.
 """
 
 from __future__ import annotations

@@ -16,7 +16,10 @@ are classes of near-duplicates.
    the edges cut (checkpointed) every round; nothing is collected.
 
 Defined results: null or empty text has no shingle, hence fingerprint zero, linked like any other; fewer
-than four words make one shingle; repeated rows fall into one component; an empty table gives no rows.
+than four words make one shingle; very long texts are hashed whole; repeated rows fall into one component; rows
+with a null doc_id link like others but never name a component (null where no member has an id), and
+`deduplicate` keeps them; it keeps all rows of the doc_id that stays; an empty table gives no rows; `classes`
+ignores other columns, `deduplicate` passes them, whatever their names.
 """
 
 from __future__ import annotations
@@ -226,4 +229,6 @@ def hex16(fp: Column) -> Column:
 def deduplicate(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """docs without all but one document of each class: the one of the smallest doc_id."""
     gone = classes(docs.select("doc_id", "text"), budget).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)])
+    kept = own.join(gone, F.col(f"in_{docs.columns.index('doc_id')}") == F.col("gone_id"), "left_anti")
+    return kept.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

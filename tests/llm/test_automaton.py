@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from affinis.llm import automaton as A
 
 
@@ -30,3 +32,13 @@ def test_reference_spans_go(spark):
         got = {r.doc_id: (r.text, r.n_removed) for r in A.remove_reference(docs, ref, "passage", 3, most).collect()}
         assert got == {1: ("p q", 4), 2: ("", 0), 3: ("", 6), 4: ("", 3)}
     assert A.remove_reference(docs, ref.limit(0), "passage").where("n_removed > 0").count() == 0
+    with pytest.MonkeyPatch.context() as m, pytest.raises(ValueError, match="too large"):
+        m.setattr(A, "REFERENCE_WORDS", 8)
+        A.remove_reference(docs, ref, "passage")
+
+
+def test_repeated_and_null_ids(spark):
+    ref = spark.createDataFrame([("a b c d e f",)], "text string")
+    docs = spark.createDataFrame([(1, "p a b c"), (1, "q r s t u v"), (None, "c d e x"), (None, "y")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text, r.n_words, r.n_removed) for r in A.remove_reference(docs, ref, "text", 3).collect())
+    assert got == [("1", "p", 4, 3), ("1", "q r s t u v", 6, 0), ("None", "x", 4, 3), ("None", "y", 1, 0)]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from affinis.llm import simhash
+from affinis.llm import queries, simhash
 
 
 def naive_print(text):
@@ -90,3 +90,20 @@ def test_classes_match_brute_force(spark, chunk, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(docs).collect() == []
+
+
+def test_query_equals_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    prints = {r.doc_id: naive_print(r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    want = naive_classes(prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash_near_dedup(spark, d).collect()}
+    assert got == {i: (f"{p:016x}", want[i]) for i, p in prints.items()}
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    rows = [(3, "a b c d e", 1), (1, "a b c d e", 2), (1, "a b c d e", 3), (None, "a b c d e", 4), (None, "p q r s t u", 5), (None, "p q r s t u", 6), (9, None, 7), (8, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.classes(docs).collect())
+    assert got == sorted([("3", "1"), ("1", "1"), ("1", "1"), ("None", "1"), ("None", "None"), ("None", "None"), ("9", "8"), ("8", "8")])
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.gone_id for r in kept.collect()) == [2, 3, 4, 5, 6, 8]
