@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,14 +81,25 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int = BITS) -> np.ndarray
     return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, text, id_hash, tag) of docs, and the bitmap of doc_ids that several rows have, for `identity`."""
+    ids = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.lit(1).alias("n"))
+    slim = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("tag"))
+    return slim, docs.sparkSession.sparkContext.broadcast(repeated_bitmap(ids, ID_BITS))
+
+
+def identity(batch: pa.RecordBatch, shared_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, tag) of each row: LAST for null ids; the text's hash for ids that several rows may share, 0 (which compresses well) for all others."""
+    ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+    several = (ids == LAST) | in_bitmap(shared_ids, batch.column(2).to_numpy().view(np.uint64), ID_BITS)
+    return ids, np.where(several, batch.column(3).to_numpy(), 0)
+
+
 def _windows(shipped, shared_ids, size: int, gram: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shipped.value
         for batch in batches:
-            ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-            # the text's hash for ids that several rows may share, 0 (which compresses well) for all others
-            several = (ids == LAST) | in_bitmap(shared_ids.value, batch.column(2).to_numpy().view(np.uint64), ID_BITS)
-            tags = np.where(several, batch.column(3).to_numpy(), 0)
+            ids, tags = identity(batch, shared_ids.value)
             found = []
             for h, owner, start, at, grams in _runs(batch, size, gram):
                 take = in_bitmap(bitmap, grams[at], bits)
@@ -129,9 +141,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bits: int = BIT
     slim = docs.select("doc_id", "text")
     keys = slim.mapInArrow(_anchor_counts(size, gram), "h long, n byte")
     shipped = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(keys, bits))
-    ids = slim.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.lit(1).alias("n"))
-    shared_ids = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(ids, ID_BITS))
-    slim = slim.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("tag"))
+    slim, shared_ids = identified(docs)
     rows = slim.mapInArrow(_windows(shipped, shared_ids, size, gram, bits), "h1 long, h2 int, doc long, tag long, at int, run int, sure boolean")
     nth = F.rank().over(Window.partitionBy("sure", "h1", "h2").orderBy("doc", "tag", "at"))
     return rows.withColumn("nth", nth).where("sure OR nth > 1").select("doc", "tag", "at", "run")
