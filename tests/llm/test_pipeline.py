@@ -6,9 +6,10 @@ from collections import Counter
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
+from test_pii import plain_mask, plain_spans
 from test_simhash import naive_classes, naive_print
 
-from affinis.llm import bpe, mixing, pii
+from affinis.llm import bpe, mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,7 +77,7 @@ def test_pipeline_equals_a_plain_version(spark):
     d = "/root/testdata/sf0.01"
     rows = [r.asDict() for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     want = plain_dedup(plain_quality(rows))
-    masked = {r.doc_id: r.text for r in pii.mask_documents(spark.createDataFrame(want, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    masked = {r["doc_id"]: plain_mask(r["text"], plain_spans(r["text"])) for r in want}
     assert any(masked[r["doc_id"]] != r["text"] for r in want)
     want = plain_mix([dict(r, text=masked[r["doc_id"]]) for r in want], corpus_pipeline.MIX_SHARE)
     ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
@@ -97,3 +98,25 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "host"]
+
+
+def through(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, host int, t string"
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    return corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+
+
+def test_an_empty_table_and_one_of_nulls(spark, tmp_path):
+    assert through(spark, tmp_path / "a", []) == []
+    assert through(spark, tmp_path / "b", [(None,) * 7] * 3 + [(1, None, "en", "s", 0, 1, "t"), (2, "", None, None, 0, 1, "t")]) == []
+
+
+def test_repeated_ids_null_ids_and_long_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "MIX_SHARE", 1.0)
+    text = lambda tag, n=80: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, text("a"), "en", "s", 9, 0, "x")] * 2 + [(1, text("b"), "en", "s", 9, 0, "x"), (None, text("c"), None, None, 9, 0, "x"), (4, text("d", 60_000), "de", "s2", 9, 0, "x"), (5, text("a"), "en", "s", 9, 0, "y")]
+    rows += [(6, text("e") + " joe@x.org", "en", "s", 9, 0, "z")]
+    got = through(spark, tmp_path, rows)
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "4", "6", "None"]
+    digest = {r.decoded_sha256 for r in got}
+    assert digest == {hashlib.sha256(t.encode()).hexdigest() for t in (text("a"), text("b"), text("c"), text("d", 60_000), text("e") + " <EMAIL>")}
