@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.functions.columns import average_rank, bh, bits, contains, correlation, hashed, holm, ratio
+from affinis.operators.tables import settle
 
 
 def occurrence_probability(possible: Column, edges: Column, motif_edges: Column) -> Column:
@@ -84,11 +88,67 @@ def bank_frame(spark: SparkSession, states: list[int], permutations: int, seed:
     return rows.select("permutation", F.posexplode("signs").alias("i", "sign")).select("permutation", F.get(codes, F.col("i")).alias("geography_code"), F.col("sign").cast("double").alias("sign"))
 
 
-def _flipped(res: DataFrame, signs: DataFrame, keys: list[str]) -> DataFrame:
-    """t of every permutation: the sums of squares don't change with signs."""
-    joined = res.select("geography_code", *keys, "difference").join(signs, "geography_code")
-    agg = joined.groupBy(*keys, "permutation").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("difference") * F.col("sign")).alias("s"), F.sum(F.col("difference") * F.col("difference")).alias("ss"))
-    return agg.select(*keys, "permutation", F.round(t_statistic(F.col("n"), F.col("s"), F.col("ss")), 9).alias("t"))
+#: Rows of differences, and permutations, of one matrix product.
+ROWS, FLIPS = 256, 4096
+
+
+def _t_rounded(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """t_statistic() to nine places: rows x permutations of totals."""
+    n, squares = n[:, None], squares[:, None]
+    mean = total / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = (squares - n * mean * mean) / (n - 1)
+        se = np.sqrt(np.where((n > 1) & (var > 1e-18), var, 0.0) / n)
+        return np.round(np.where(se > 0, mean / np.where(se > 0, se, 1.0), np.where(np.abs(mean) < 1e-12, 0.0, np.sign(mean) * np.inf)), 9)
+
+
+def sign_matrix(signs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(states in order, signs as int8 permutations x states): permutations and states are both of configured size."""
+    table = signs.select(F.col("permutation").cast("long"), F.col("geography_code").cast("long"), F.col("sign").cast("byte")).toArrow()
+    permutation, state, sign = (table.column(i).to_numpy() for i in range(3))
+    states, j = np.unique(state, return_inverse=True)
+    number, i = np.unique(permutation, return_inverse=True)
+    out = np.zeros((len(number), len(states)), np.int8)
+    out[i, j] = sign
+    return states, out
+
+
+def flip_counts(res: DataFrame, signs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, t0, hits and, on some rows, tops: sign flips of the differences as products of blocks with the sign matrix.
+
+    res: keys, geography_code, difference, side. The statistic is |t| for side 0, else side * t; hits are the
+    permutations that reach the observed one, tops the largest statistic of each permutation in a block of rows.
+    The sums of squares don't change with signs. The sign matrix is broadcast: permutations x states bytes.
+    """
+    states, bank = sign_matrix(signs)
+    shipped = res.sparkSession.sparkContext.broadcast((states, bank))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, flips = shipped.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                lists = part.column(len(keys) + 1)
+                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                state, value = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                at = np.minimum(np.searchsorted(known, state), max(len(known) - 1, 0))
+                inside = known[at] == state if len(known) else np.zeros(len(state), bool)
+                d, n = np.zeros((len(part), len(known))), np.bincount(row[inside], minlength=len(part)).astype(float)
+                d[row[inside], at[inside]] = value[inside]
+                side, squares = part.column(len(keys)).to_numpy()[:, None], (d * d).sum(axis=1)
+                stat = lambda total, side=side, n=n, squares=squares: (lambda t: np.where(side == 0, np.abs(t), side * t))(_t_rounded(np.maximum(n, 1), total, squares))
+                t0 = stat(d @ np.ones((len(known), 1)))
+                hits, tops = np.zeros(len(part), np.int64), []
+                for p in range(0, len(flips), FLIPS):
+                    t = stat(d @ flips[p : p + FLIPS].T.astype(float))
+                    hits += (t >= t0).sum(axis=1)
+                    tops.append(t.max(axis=0))
+                top = [np.concatenate(tops) if tops else np.array([])] + [None] * (len(part) - 1)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), pa.array(t0[:, 0]), pa.array(hits), pa.array(top, pa.list_(pa.float64()))], [*keys, "t0", "hits", "tops"])
+
+    rows = res.groupBy(*keys, F.col("side").cast("int").alias("side")).agg(F.collect_list(F.struct(F.col("geography_code").cast("long").alias("state"), "difference")).alias("d"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return rows.mapInArrow(run, f"{schema}, t0 double, hits long, tops array<double>")
 
 
 def mcse(p: Column, permutations: int) -> Column:
@@ -97,12 +157,20 @@ def mcse(p: Column, permutations: int) -> Column:
 
 def permutation_test(res: DataFrame, signs: DataFrame, permutations: int, keys: list[str]) -> DataFrame:
     """Two-sided p by shared sign flips, and by the largest |t| of each permutation; ties count as exceedances."""
-    observed = paired_t(res, keys).withColumn("t0", F.abs(F.round("paired_density_residual_t", 9)))
-    flips = _flipped(res, signs, keys)
-    top = flips.withColumn("top", F.max(F.abs("t")).over(Window.partitionBy("permutation")))
-    hits = top.join(observed.select(*keys, "t0"), keys).groupBy(*keys).agg(F.count_if(F.abs("t") >= F.col("t0")).alias("a"), F.count_if(F.col("top") >= F.col("t0")).alias("b"))
+    flips = settle(flip_counts(res.withColumn("side", F.lit(0)), signs, keys))
+    tops = flips.where("tops IS NOT NULL").select(F.posexplode("tops").alias("i", "top")).groupBy("i").agg(F.max("top").alias("top"))
+    # one number a permutation
+    shipped = res.sparkSession.sparkContext.broadcast(np.sort(tops.select("top").toArrow().column(0).to_numpy()))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(shipped.value) - np.searchsorted(shipped.value, b.column(len(keys)).to_numpy(), side="left")
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), b.column(len(keys) + 1), pa.array(n.astype(np.int64))], [*keys, "a", "b"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flips.select(*keys).schema)
+    hits = flips.select(*keys, "t0", "hits").mapInArrow(reached, f"{schema}, a long, b long")
     p, q = (F.col("a") + 1) / F.lit(permutations + 1), (F.col("b") + 1) / F.lit(permutations + 1)
-    out = observed.drop("t0").join(hits, keys).withColumn("permutation_p_value", p).withColumn("permutation_max_t_p_value", q).drop("a", "b")
+    out = paired_t(res, keys).join(hits, keys).withColumn("permutation_p_value", p).withColumn("permutation_max_t_p_value", q).drop("a", "b")
     out = out.withColumn("permutation_bh_q_value", bh(F.col("permutation_p_value"), [F.lit(0)]))
     return out.withColumn("permutation_p_value_mcse", mcse(F.col("permutation_p_value"), permutations)).withColumn("permutation_max_t_p_value_mcse", mcse(F.col("permutation_max_t_p_value"), permutations))
 
@@ -117,9 +185,8 @@ def directional_test(res: DataFrame, hypotheses: DataFrame, signs: DataFrame, pe
     obs = hypotheses.join(agg, "hypothesis_id", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
     tested = F.col("n") >= minimum_pairs
     obs = obs.withColumn("t0", F.when(tested, F.round(t_statistic(F.col("n"), F.col("s"), F.col("ss")), 9)))
-    flips = _flipped(res, signs, keys).join(F.broadcast(obs.select("hypothesis_id", "direction_sign", "t0")), "hypothesis_id")
-    hits = flips.groupBy("hypothesis_id").agg(F.count_if(F.col("direction_sign") * F.col("t") >= F.col("direction_sign") * F.col("t0")).alias("h"))
-    out = obs.join(hits, "hypothesis_id", "left")
+    sided = res.select(*keys, "geography_code", "difference").join(F.broadcast(hypotheses.select("hypothesis_id", F.col("direction_sign").alias("side"))), "hypothesis_id")
+    out = obs.join(flip_counts(sided, signs, keys).select("hypothesis_id", F.col("hits").alias("h")), "hypothesis_id", "left")
     out = out.select(
         "family_order", "hypothesis_id", "direction_sign", F.col("n").cast("long").alias("state_pair_count"), F.try_divide(F.col("s"), F.col("n")).alias("effect_lower_minus_higher"),
         F.col("t0").alias("studentized_statistic"), (F.col("direction_sign") * F.col("t0")).alias("oriented_studentized_statistic"),

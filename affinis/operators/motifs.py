@@ -1,16 +1,20 @@
 """Frequent connected motifs of association graphs, as edge masks.
 
 Node labels are unique in a graph, so a motif occurs in a graph exactly if the graph's mask contains the
-motif's. All connected patterns of 3 to 5 of k conditions are listed once (191,916 for k = 10: a fixed
-number, whatever the data), cut down to pairs that are frequent by themselves, broadcast, and tested
-against the distinct graph masks with the weights of the graphs that have them.
+motif's. All connected patterns of 3 to 5 of k conditions are listed once a worker (191,916 for k = 10: a fixed
+number, whatever the data), cut down to pairs that are frequent by themselves, and tested as one array against
+the distinct graph masks, with the number of graphs that have each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +41,23 @@ def templates(k: int) -> list[int]:
     return found
 
 
-def connected_masks(spark: SparkSession, sizes: tuple[int, ...] = (3, 4, 5), conditions: list[str] = CONDITIONS) -> DataFrame:
-    """(mask, node_count, edge_count) of every connected pattern: node sets joined to templates, in parallel."""
+@lru_cache
+def pattern_arrays(sizes: tuple[int, ...], conditions: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask, node_count, edge_count) of every connected pattern of `sizes` conditions, one row each."""
     at = {e: i for i, e in enumerate(pairs_of(conditions))}
-    sets = [(k, [1 << at[e] for e in combinations(nodes, 2)]) for k in sizes for nodes in combinations(sorted(conditions), k)]
-    node_sets = spark.createDataFrame(sets, "node_count int, bits array<long>").repartition(4)
-    shapes = F.broadcast(spark.createDataFrame([(k, t) for k in sizes for t in templates(k)], "node_count int, shape int"))
-    one = lambda b, i: F.when(F.call_function("getbit", F.col("shape"), i) == 1, b).otherwise(F.lit(0).cast("long"))
-    mask = F.aggregate(F.transform("bits", one), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
-    return node_sets.join(shapes, "node_count").select(mask.alias("mask"), "node_count", F.bit_count("shape").cast("int").alias("edge_count"))
+    found = []
+    for k in sizes:
+        shapes = np.array(templates(k), np.int64)
+        drawn = (shapes[:, None] >> np.arange(k * (k - 1) // 2)) & 1
+        for nodes in combinations(sorted(conditions), k):
+            bits_ = np.array([1 << at[e] for e in combinations(nodes, 2)], np.int64)
+            found.append((drawn @ bits_, np.full(len(shapes), k, np.int32), drawn.sum(axis=1).astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def connected_masks(spark: SparkSession, sizes: tuple[int, ...] = (3, 4, 5), conditions: list[str] = CONDITIONS) -> DataFrame:
+    """(mask, node_count, edge_count) of every connected pattern."""
+    return spark.createDataFrame(pa.table(dict(zip(("mask", "node_count", "edge_count"), pattern_arrays(tuple(sizes), tuple(conditions)), strict=True))))
 
 
 def support_thresholds(n: int, fractions: tuple[float, ...] = FRACTIONS) -> dict[float, int]:
@@ -54,21 +66,52 @@ def support_thresholds(n: int, fractions: tuple[float, ...] = FRACTIONS) -> dict
     return {f: ceil(f * n) for f in fractions}
 
 
-def frequent(graphs: DataFrame, floor: int, keys: tuple[str, ...] = (), sizes: tuple[int, ...] = (3, 4, 5), conditions: list[str] = CONDITIONS, candidates: DataFrame | None = None) -> DataFrame:
+def _supported(masks: np.ndarray, n: np.ndarray, floor: int, sizes: tuple[int, ...], conditions: tuple[str, ...], common: int) -> tuple[np.ndarray, ...]:
+    """(mask, node_count, edge_count, support) of the patterns within `common` that masks (n graphs each) hold `floor` times."""
+    patterns = pattern_arrays(sizes, conditions)
+    inside = np.flatnonzero((patterns[0] & ~np.int64(common)) == 0)
+    mask, support = patterns[0][inside], np.zeros(len(inside), np.int64)
+    masks, at = np.unique(masks & np.int64(common), return_inverse=True)
+    for m, times in zip(masks, np.bincount(at, weights=n).astype(np.int64), strict=True):
+        support += times * ((mask & m) == mask)
+    keep = support >= floor
+    return mask[keep], *(x[inside[keep]] for x in patterns[1:]), support[keep]
+
+
+def frequent(graphs: DataFrame, floor: int, keys: tuple[str, ...] = (), sizes: tuple[int, ...] = (3, 4, 5), conditions: list[str] = CONDITIONS) -> DataFrame:
     """(keys, mask, node_count, edge_count, support_count) of patterns in at least `floor` graphs of a key.
 
     graphs: keys and mask. Equal masks are counted once with their number; patterns with a pair that is in
-    fewer than `floor` graphs of every key are dropped before the containment test (support only falls).
+    fewer than `floor` graphs of a key are dropped before the containment test (support only falls). Without
+    keys the masks may be spread over tasks, whose counts are added up; with keys each key, a replicate of the
+    populations, is one group.
     """
-    spark = graphs.sparkSession
+    sizes, names = tuple(sizes), tuple(conditions)
+    pair_bits = [1 << i for i in range(len(pairs_of(conditions)))]
     distinct = graphs.groupBy(*keys, "mask").agg(F.count("*").alias("n"))
-    pair_bits = F.array(*[F.lit(1 << i).cast("long") for i in range(len(pairs_of(conditions)))])
-    common = distinct.select(*keys, "n", F.explode(F.filter(pair_bits, lambda b: F.col("mask").bitwiseAND(b) != 0)).alias("bit"))
-    common = common.groupBy(*keys, "bit").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).agg(F.coalesce(F.bit_or("bit"), F.lit(0).cast("long")).alias("common"))
-    patterns = (candidates or connected_masks(spark, sizes, conditions)).crossJoin(F.broadcast(common)).where(contains(F.col("common"), F.col("mask"))).drop("common")
-    g = distinct.select(*keys, "n", F.col("mask").alias("graph_mask"))
-    hits = g.join(F.broadcast(patterns), contains(F.col("graph_mask"), F.col("mask")))
-    return hits.groupBy(*keys, "mask", "node_count", "edge_count").agg(F.sum("n").alias("support_count")).where(F.col("support_count") >= floor)
+    out = "mask long, node_count int, edge_count int, support_count long"
+    if keys:
+
+        def mine_key(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+            masks, n = df["mask"].to_numpy(np.int64), df["n"].to_numpy(np.int64)
+            common = sum(b for b in pair_bits if n[(masks & b) != 0].sum() >= floor)
+            cols = _supported(masks, n, floor, sizes, names, common)
+            return pd.DataFrame(dict(zip((*keys, "mask", "node_count", "edge_count", "support_count"), (*key, *cols), strict=True)), columns=[*keys, "mask", "node_count", "edge_count", "support_count"])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.select(*keys).schema)
+        return distinct.groupBy(*keys).applyInPandas(mine_key, f"{kinds}, {out}")
+    bits_ = F.array(*[F.lit(b).cast("long") for b in pair_bits])
+    common = distinct.select("n", F.explode(F.filter(bits_, lambda b: F.col("mask").bitwiseAND(b) != 0)).alias("bit"))
+    common = common.groupBy("bit").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).agg(F.coalesce(F.bit_or("bit"), F.lit(0).cast("long")).alias("common"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cols = _supported(b.column(0).to_numpy(), b.column(1).to_numpy(), 1, sizes, names, b.column(2)[0].as_py())
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["mask", "node_count", "edge_count", "support_count"])
+
+    counts = distinct.select("mask", "n").crossJoin(F.broadcast(common)).mapInArrow(count, out)
+    return counts.groupBy("mask", "node_count", "edge_count").agg(F.sum("support_count").alias("support_count")).where(F.col("support_count") >= floor)
 
 
 def state_pairs(graphs: DataFrame) -> DataFrame:

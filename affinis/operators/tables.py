@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A fresh path in the checkpoint folder that all executors see."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{_top(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _top(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder on a single machine only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return path or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write an aggregated table to the shared checkpoint folder: read many times, computed once."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+        sc.setCheckpointDir(_top(df.sparkSession))
     return df.checkpoint()
