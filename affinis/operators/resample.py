@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.functions.columns import hashed, phi, ratio, valid_weight, wilson
+from affinis.functions.columns import hashed, ratio, valid_weight, wilson
 from affinis.operators import association
 from affinis.operators.graphs import pairs_of
 from affinis.sources.bridge import CONDITIONS
 
 KEYS = association.PAIR_KEYS
+DESIGN = ["state_code", "survey_strata", "survey_psu"]
+#: Replicates whose sums a task holds at once.
+CHUNK = 50
 
 
 def psu_draws(df: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -31,19 +36,102 @@ def psu_draws(df: DataFrame, replicates: int, seed: int) -> DataFrame:
     return times.join(psus.drop("n"), ["state_code", "survey_strata", "nth"]).select("state_code", "survey_strata", "survey_psu", "replicate", "times")
 
 
-def replicate_phi(df: DataFrame, draws: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
-    """(graph_id, pair, replicate, phi): weights times multiplicity, summed by answer pattern before the pairs are made.
+def packed(draws: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """draws by PSU and chunk of replicates: arrays of the replicates (counted from 0 within the chunk) that draw it, and of times."""
+    place = F.struct(((F.col("replicate") - 1) % chunk).cast("short").alias("r"), F.col("times").cast("short").alias("t"))
+    of = F.floor((F.col("replicate") - 1) / chunk).cast("int").alias("chunk")
+    rows = draws.groupBy(*DESIGN, of).agg(F.collect_list(place).alias("d"))
+    return rows.select(*DESIGN, "chunk", F.col("d.r").alias("reps"), F.col("d.t").alias("times"))
+
+
+def random_draws(df: DataFrame, replicates: int, seed: int, chunk: int = CHUNK) -> DataFrame:
+    """packed() draws of PCG64: n PSUs of n with replacement in each stratum; a task draws a chunk for a stratum."""
+
+    def draw(key: tuple, psus: pd.DataFrame) -> pd.DataFrame:
+        psus = psus.sort_values("survey_psu")
+        stratum = zlib.crc32(repr(key[1]).encode())
+        rng = np.random.Generator(np.random.PCG64([seed, int(key[0]), stratum, int(key[2])]))
+        times = draw_times(np.zeros(len(psus), int), min(chunk, replicates - int(key[2]) * chunk), rng)
+        reps = [np.flatnonzero(t).astype(np.int16) for t in times]
+        return psus.assign(reps=reps, times=[t[r].astype(np.int16) for t, r in zip(times, reps, strict=True)])
+
+    psus = df.where(valid_weight("survey_weight")).select(*DESIGN).distinct()
+    jobs = psus.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk))))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in jobs.schema)
+    return jobs.groupBy("state_code", "survey_strata", "chunk").applyInPandas(draw, f"{kinds}, reps array<short>, times array<short>")
 
-    Respondents are first reduced to (population, stratum, PSU, pattern), so that the join with the draws
-    carries sums, not persons.
+
+def over_replicates(cells: DataFrame, draws: DataFrame, patterns: list[str], finish: Callable[[str, int, list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], schema: str, chunk: int = CHUNK) -> DataFrame:
+    """finish(graph_id, chunk, columns of its answer patterns, patterns x replicates of weight sums) of each population and chunk.
+
+    cells: graph_id, design, patterns, w; draws: packed(). Cells meet their PSU's draws in a join; a population's
+    cells of one chunk then stream through a task, which holds the sums of its answer patterns and no rows, so
+    what it holds doesn't grow with the respondents.
     """
-    keys = ["graph_id", "state_code", "survey_strata", "survey_psu"]
-    prof = association.masked(df.where(valid_weight("survey_weight")), conditions).groupBy(*keys, "case_mask", "seen_mask").agg(F.sum("survey_weight").alias("w"))
-    rep = prof.join(draws, ["state_code", "survey_strata", "survey_psu"])
-    rep = rep.groupBy("graph_id", "replicate", "case_mask", "seen_mask").agg(F.sum(F.col("w") * F.col("times")).alias("sw"))
-    rep = rep.withColumn("n", F.lit(1)).withColumn("sw2", F.lit(0.0))
-    m = association.pair_moments(rep, ["graph_id", "replicate"], conditions)
-    return m.select("graph_id", "source_condition", "target_condition", "replicate", phi(F.col("sw"), F.col("swa"), F.col("swb"), F.col("swab")).alias("phi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known, sums = None, {}, np.zeros((0, chunk))
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None and known:
+                yield from finish(now[0], now[1], [np.array(c) for c in zip(*known, strict=True)], sums[: len(known)])
+
+        for batch in batches:
+            graph, part = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            codes = np.unique(graph, return_inverse=True)[1]
+            edges = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])][: len(part)])
+            for first, stop in zip(edges, np.r_[edges[1:], len(part)], strict=True):
+                if now != (graph[first], int(part[first])):
+                    yield from done()
+                    now, known, sums = (graph[first], int(part[first])), {}, np.zeros((64, chunk))
+                piece = batch.slice(first, stop - first)
+                pattern = list(zip(*(piece.column(2 + i).to_pylist() for i in range(len(patterns))), strict=True))
+                at = np.array([known.setdefault(p, len(known)) for p in pattern])
+                if len(known) > len(sums):
+                    sums = np.concatenate([sums, np.zeros((max(len(sums), len(known) - len(sums)), chunk))])
+                w, reps, times = piece.column(2 + len(patterns)).to_numpy(), piece.column(3 + len(patterns)), piece.column(4 + len(patterns))
+                row = np.repeat(np.arange(len(piece)), reps.value_lengths().to_numpy())
+                np.add.at(sums, (at[row], reps.flatten().to_numpy()), w[row] * times.flatten().to_numpy())
+        yield from done()
+
+    rows = cells.join(draws, DESIGN).select("graph_id", "chunk", *patterns, "w", "reps", "times")
+    return rows.repartition("graph_id", "chunk").sortWithinPartitions("graph_id", "chunk").mapInArrow(run, schema)
+
+
+def pattern_phi(case: np.ndarray, seen: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
+    """phi (pairs x replicates) of answer patterns and their sums of weights: all pairs' moments are matrix products."""
+    bit = lambda m, i: (m >> i) & 1
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    both = np.array([bit(seen, i) & bit(seen, j) for i, j in pairs], float)
+    a = np.array([bit(case, i) for i, _ in pairs], float) * both
+    b = np.array([bit(case, j) for _, j in pairs], float) * both
+    n, sa, sb, sab = both @ sums, a @ sums, b @ sums, (a * b) @ sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pa_, pb, pab = sa / n, sb / n, sab / n
+        spread = pa_ * (1 - pa_) * pb * (1 - pb)
+        return np.where(spread > 1e-15, (pab - pa_ * pb) / np.sqrt(spread), np.nan)
+
+
+def replicate_phi(df: DataFrame, draws: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
+    """(graph_id, pair, replicate, phi) from rows of psu_draws(); null where a condition doesn't vary."""
+    return phi_of_draws(df, packed(draws), conditions)
+
+
+def phi_of_draws(df: DataFrame, draws: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
+    """replicate_phi() of packed draws: weights times multiplicity, summed by answer pattern before the pairs are made."""
+    k = len(conditions)
+    names = [(a, b) for i, a in enumerate(conditions) for b in conditions[i + 1 :]]
+
+    def finish(graph: str, part: int, columns: list[np.ndarray], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        drawn = np.flatnonzero(sums.any(axis=0))
+        phi_ = pattern_phi(columns[0].astype(np.int64), columns[1].astype(np.int64), sums[:, drawn], k)
+        n, m = len(names), len(drawn)
+        a, b = (np.repeat([x[i] for x in names], m) for i in (0, 1))
+        value = pa.array(phi_.ravel(), from_pandas=True)  # NaN is null
+        yield pa.RecordBatch.from_arrays([pa.array([graph] * (n * m)), pa.array(a.tolist()), pa.array(b.tolist()), pa.array(np.tile(part * CHUNK + drawn + 1, n).astype(np.int32)), value], [*KEYS, "replicate", "phi"])
+
+    cells = association.masked(df.where(valid_weight("survey_weight")), conditions).groupBy("graph_id", *DESIGN, "case_mask", "seen_mask").agg(F.sum("survey_weight").alias("w"))
+    return over_replicates(cells, draws, ["case_mask", "seen_mask"], finish, "graph_id string, source_condition string, target_condition string, replicate int, phi double")
 
 
 def selection_mask(threshold: float) -> Column:
@@ -186,15 +274,18 @@ def _rewired(edges: list[tuple[int, int]], allowed: set[tuple[int, int]], target
     now, have = list(edges), set(edges)
     done = tried = 0
     limit = max(100, 30 * target)
+    drawn: list[list[float]] = []
     while done < target and tried < limit and len(now) > 1:
+        if not drawn:
+            drawn = rng.random((min(limit - tried, 4096), 3)).tolist()  # one call for many attempts
+        x, y, flip = drawn.pop()
         tried += 1
-        i = int(rng.integers(len(now)))
-        j = int(rng.integers(len(now) - 1))
+        i, j = int(x * len(now)), int(y * (len(now) - 1))
         j += j >= i
         (a, b), (c, d) = now[i], now[j]
-        if rng.random() < 0.5:
+        if flip < 0.5:
             c, d = d, c
-        e, f = (min(a, c), max(a, c)), (min(b, d), max(b, d))
+        e, f = (a, c) if a < c else (c, a), (b, d) if b < d else (d, b)
         if len({a, b, c, d}) < 4 or e not in allowed or f not in allowed or e in have or f in have:
             continue
         have -= {now[i], now[j]}
@@ -237,35 +328,6 @@ def chain_diagnostics(chains: DataFrame) -> DataFrame:
     )
 
 
-
-
-# --- many replicates: one matrix per state ---------------------------------------------------------------
-
-CHUNK = 50
-SUMMARY = "graph_id string, source_condition string, target_condition string, p_phi_gt_zero double, p_phi_ge_threshold double, bootstrap_phi_median double, bootstrap_phi_025 double, bootstrap_phi_975 double, bootstrap_replicates_valid int, bootstrap_selection_mask string"
-
-
-def state_replicates(w: np.ndarray, psu: np.ndarray, case: np.ndarray, seen: np.ndarray, times: np.ndarray, k: int) -> np.ndarray:
-    """phi (pairs x replicates) of one population's cells (weight, PSU number, masks), times: PSUs x replicates.
-
-    Cells are summed per answer pattern and replicate, then all pairs' sums of weights are one product.
-    """
-    pattern, at = np.unique(case.astype(np.int64) << 32 | seen.astype(np.int64), return_inverse=True)
-    sums = np.zeros((len(pattern), times.shape[1]))
-    np.add.at(sums, at, w[:, None] * times[psu])
-    case, seen = pattern >> 32, pattern & 0xFFFFFFFF
-    bit = lambda m, i: (m >> i) & 1
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    both = np.array([bit(seen, i) & bit(seen, j) for i, j in pairs], float)
-    a = np.array([bit(case, i) for i, _ in pairs], float) * both
-    b = np.array([bit(case, j) for _, j in pairs], float) * both
-    n, sa, sb, sab = both @ sums, a @ sums, b @ sums, (a * b) @ sums
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pa, pb, pab = sa / n, sb / n, sab / n
-        spread = pa * (1 - pa) * pb * (1 - pb)
-        return np.where(spread > 1e-15, (pab - pa * pb) / np.sqrt(spread), np.nan)
-
-
 def draw_times(strata: np.ndarray, replicates: int, rng: np.random.Generator) -> np.ndarray:
     """PSUs x replicates: how often each PSU is drawn, n of n with replacement in its stratum."""
     out = np.zeros((len(strata), replicates), np.float64)
@@ -277,40 +339,6 @@ def draw_times(strata: np.ndarray, replicates: int, rng: np.random.Generator) ->
     return out
 
 
-def bootstrap_by_state(df: DataFrame, replicates: int, seed: int, threshold: float, conditions: list[str] = CONDITIONS) -> DataFrame:
-    """bootstrap_summary() for many replicates: a state's draws are made in its task, in chunks of CHUNK replicates.
-
-    A task holds a state's (PSU, pattern) cells, not its persons; all populations of a state share its draws.
-    """
-    k = len(conditions)
-    pairs = [(conditions[i], conditions[j]) for i in range(k) for j in range(i + 1, k)]
-    keys = ["graph_id", "state_code", "survey_strata", "survey_psu"]
-    cells = association.masked(df.where(valid_weight("survey_weight")), conditions).groupBy(*keys, "case_mask", "seen_mask").agg(F.sum("survey_weight").alias("w"))
-    design = df.where(valid_weight("survey_weight")).select(*[F.col(c).alias(f"design_{c}") for c in ("state_code", "survey_strata", "survey_psu")]).distinct()
-
-    def run(key, rows: pd.DataFrame, psus: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.Generator(np.random.PCG64([seed, int(key[0])]))
-        psus = psus.rename(columns=lambda c: c.removeprefix("design_")).sort_values(["survey_strata", "survey_psu"]).reset_index(drop=True)
-        number = pd.Series(psus.index.to_numpy(), index=pd.MultiIndex.from_frame(psus[["survey_strata", "survey_psu"]]))
-        at = number.loc[pd.MultiIndex.from_frame(rows[["survey_strata", "survey_psu"]])].to_numpy() if len(rows) else np.array([], int)
-        groups = {g: np.asarray(i) for g, i in rows.groupby("graph_id").indices.items()}
-        found: dict[str, list[np.ndarray]] = {g: [] for g in groups}
-        for first in range(0, replicates, CHUNK):
-            times = draw_times(psus.survey_strata.to_numpy(), min(CHUNK, replicates - first), rng)
-            for g, i in groups.items():
-                found[g].append(state_replicates(rows.w.to_numpy()[i], at[i], rows.case_mask.to_numpy()[i], rows.seen_mask.to_numpy()[i], times, k))
-        out = []
-        for g, parts in found.items():
-            phi_ = np.concatenate(parts, axis=1)
-            for (a, b), v in zip(pairs, phi_, strict=True):
-                ok = v[np.isfinite(v)]
-                mask = "b" + "".join("x" if x != x else "1" if round(x, 9) >= threshold else "0" for x in v.tolist())
-                q = np.quantile(ok, [0.5, 0.025, 0.975]).tolist() if len(ok) else [None] * 3
-                share = ((np.round(ok, 9) > 0).mean(), (np.round(ok, 9) >= threshold).mean()) if len(ok) else (None, None)
-                out.append((g, a, b, *share, *q, len(ok), mask))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in SUMMARY.split(", ")])
-
-    got = cells.groupBy("state_code").cogroup(design.groupBy("design_state_code")).applyInPandas(run, SUMMARY)
-    se, low, high = wilson(F.col("p_phi_ge_threshold"), F.col("bootstrap_replicates_valid"))
-    got = got.withColumns({"selection_stability_standard_error": se, "selection_stability_wilson_low": low, "selection_stability_wilson_high": high})
-    return got.withColumn("bootstrap_replicates_requested", F.lit(replicates)).withColumn("bootstrap_status", F.when(F.col("bootstrap_replicates_valid") > 0, "ok").otherwise("no_valid_replicate"))
+def random_bootstrap(df: DataFrame, replicates: int, seed: int, threshold: float, conditions: list[str] = CONDITIONS) -> DataFrame:
+    """bootstrap_summary() of PCG64 draws; all populations of a state share its draws."""
+    return bootstrap_summary(phi_of_draws(df, random_draws(df, replicates, seed), conditions), threshold, replicates)

@@ -15,7 +15,8 @@ from affinis.sources.bridge import CONDITIONS, MINIMUM_PAIRED_STATES
 
 FRACTIONS = (0.20, 0.30, 0.40)
 NAMES = [f"{round(f * 100):02d}pct" for f in FRACTIONS]
-FLIPS, SEED, NULLS = 199, 20240904, 20
+#: Sign flips of the screening and of the confirmatory tests, and fixed-edge null graphs of each population.
+FLIPS, BANK, NULLS, SEED = 9_999, 99_999, 1_000, 20240904
 #: Three directional hypotheses: edge lists, expected side (+1: lower).
 HYPOTHESES = [("H1", 1, 1, [("COND_A", "COND_B"), ("COND_A", "COND_C")]), ("H2", 2, -1, [("COND_B", "COND_H"), ("COND_D", "COND_E"), ("COND_B", "COND_D")]), ("H3", 3, 1, [("COND_D", "COND_E"), ("COND_E", "COND_F"), ("COND_D", "COND_F")])]
 
@@ -185,6 +186,7 @@ def paired_t(spark, d):
 
 
 S.cte("signs", "spairs", f"SELECT p AS permutation, geography_code, CASE WHEN substr(md5('{SEED}|' || p || '|' || geography_code), 1, 1) >= '8' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS sgn FROM (SELECT unnest(range(1, {FLIPS + 1})) AS p) CROSS JOIN spairs")
+S.cte("bank", "spairs", f"SELECT p AS permutation, geography_code, CASE WHEN substr(md5('{SEED}|' || p || '|' || geography_code), 1, 1) >= '8' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS sgn FROM (SELECT unnest(range(1, {BANK + 1})) AS p) CROSS JOIN spairs")
 S.cte("flips", "res signs", f"SELECT motif_id, permutation, round({_t('n', 's', 'ss')}, 9) AS t FROM (SELECT motif_id, permutation, CAST(count(*) AS DOUBLE) AS n, sum(difference * sgn) AS s, sum(difference * difference) AS ss FROM res JOIN signs USING (geography_code) GROUP BY ALL)")
 S.cte("maxt", "flips tstat", f"SELECT motif_id, (1 + count(*) FILTER (abs(f.t) >= abs(round(o.t, 9)))) / CAST({FLIPS + 1} AS DOUBLE) AS p, (1 + count(*) FILTER (top >= abs(round(o.t, 9)))) / CAST({FLIPS + 1} AS DOUBLE) AS q FROM (SELECT *, max(abs(t)) OVER (PARTITION BY permutation) AS top FROM flips) f JOIN tstat o USING (motif_id) GROUP BY motif_id")
 S.cte("maxt_bh", "maxt", "SELECT *, least(1, min(p * m / rn) OVER (ORDER BY p, motif_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh0 FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, motif_id) AS rn FROM maxt)")
@@ -217,10 +219,10 @@ def state_differences(spark, d):
 
 def _directional(name: str, where: str) -> str:
     S.cte(f"{name}_obs", "hyp hres", f"SELECT h.hypothesis_id, family_order, direction_sign, n, s / n AS effect, CASE WHEN n >= {MINIMUM_PAIRED_STATES} THEN round({_t('n', 's', 'ss')}, 9) END AS t0 FROM hyp h LEFT JOIN (SELECT hypothesis_id, CAST(count(*) AS DOUBLE) AS n, sum(difference) AS s, sum(difference * difference) AS ss FROM hres WHERE {where} GROUP BY 1) x USING (hypothesis_id)")
-    S.cte(f"{name}_flips", "hres signs", f"SELECT hypothesis_id, permutation, round({_t('n', 's', 'ss')}, 9) AS t FROM (SELECT hypothesis_id, permutation, CAST(count(*) AS DOUBLE) AS n, sum(difference * sgn) AS s, sum(difference * difference) AS ss FROM hres JOIN signs USING (geography_code) WHERE {where} GROUP BY ALL)")
-    S.cte(f"{name}_p", f"{name}_obs {name}_flips", f"SELECT o.*, CASE WHEN n >= {MINIMUM_PAIRED_STATES} THEN (1 + (SELECT count(*) FROM {name}_flips f WHERE f.hypothesis_id = o.hypothesis_id AND o.direction_sign * f.t >= o.direction_sign * o.t0)) / CAST({FLIPS + 1} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS p, coalesce(n, 0) >= {MINIMUM_PAIRED_STATES} AS tested FROM {name}_obs o")
+    S.cte(f"{name}_flips", "hres bank", f"SELECT hypothesis_id, permutation, round({_t('n', 's', 'ss')}, 9) AS t FROM (SELECT hypothesis_id, permutation, CAST(count(*) AS DOUBLE) AS n, sum(difference * sgn) AS s, sum(difference * difference) AS ss FROM hres JOIN bank USING (geography_code) WHERE {where} GROUP BY ALL)")
+    S.cte(f"{name}_p", f"{name}_obs {name}_flips", f"SELECT o.*, CASE WHEN n >= {MINIMUM_PAIRED_STATES} THEN (1 + (SELECT count(*) FROM {name}_flips f WHERE f.hypothesis_id = o.hypothesis_id AND o.direction_sign * f.t >= o.direction_sign * o.t0)) / CAST({BANK + 1} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS p, coalesce(n, 0) >= {MINIMUM_PAIRED_STATES} AS tested FROM {name}_obs o")
     S.cte(f"{name}_h", f"{name}_p", f"SELECT *, least(1, max(raw) OVER (ORDER BY p, family_order ROWS UNBOUNDED PRECEDING)) AS holm FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, family_order) + 1) * p AS raw FROM {name}_p)")
-    return f"SELECT hypothesis_id, family_order, direction_sign, CAST(coalesce(n, 0) AS BIGINT) AS state_pair_count, {S.r('effect')} AS effect_lower_minus_higher, {S.r('t0')} AS studentized_statistic, {S.r('p')} AS one_sided_p_value, CASE WHEN tested THEN 'tested' ELSE 'insufficient_opportunity' END AS test_status, {S.r('holm')} AS holm_adjusted_p_value, {S.r(f'sqrt(p * (1 - p) / {FLIPS + 1})')} AS p_value_mcse, coalesce(direction_sign * effect > 0, false) AS direction_concordant"
+    return f"SELECT hypothesis_id, family_order, direction_sign, CAST(coalesce(n, 0) AS BIGINT) AS state_pair_count, {S.r('effect')} AS effect_lower_minus_higher, {S.r('t0')} AS studentized_statistic, {S.r('p')} AS one_sided_p_value, CASE WHEN tested THEN 'tested' ELSE 'insufficient_opportunity' END AS test_status, {S.r('holm')} AS holm_adjusted_p_value, {S.r(f'sqrt(p * (1 - p) / {BANK + 1})')} AS p_value_mcse, coalesce(direction_sign * effect > 0, false) AS direction_concordant"
 
 
 _CONF = _directional("prim", "true"), _directional("sens", "geography_code <= 9")
@@ -232,9 +234,9 @@ def sign_flip_test(spark, d):
     p = pairs(spark, d)
     h = hypotheses(spark)
     res = settle(inference.residuals(p, h.select("hypothesis_id", "mask")))
-    signs = settle(inference.hash_signs(spark, p, FLIPS, SEED))
-    a = inference.directional_test(res, h.drop("mask"), signs, FLIPS, MINIMUM_PAIRED_STATES, 0.05, True).withColumn("analysis_set", F.lit("primary"))
-    b = inference.directional_test(res.where("geography_code <= 9"), h.drop("mask"), signs, FLIPS, MINIMUM_PAIRED_STATES, 0.05, False).withColumn("analysis_set", F.lit("matched"))
+    signs = settle(inference.hash_signs(spark, p, BANK, SEED))
+    a = inference.directional_test(res, h.drop("mask"), signs, BANK, MINIMUM_PAIRED_STATES, 0.05, True).withColumn("analysis_set", F.lit("primary"))
+    b = inference.directional_test(res.where("geography_code <= 9"), h.drop("mask"), signs, BANK, MINIMUM_PAIRED_STATES, 0.05, False).withColumn("analysis_set", F.lit("matched"))
     cols = ["effect_lower_minus_higher", "studentized_statistic", "one_sided_p_value", "holm_adjusted_p_value", "p_value_mcse"]
     out = a.unionByName(b).withColumns({c: r(c) for c in cols})
     return out.select("hypothesis_id", "family_order", "direction_sign", "state_pair_count", *cols, "test_status", "direction_concordant", "replicated", "analysis_set")
@@ -244,7 +246,7 @@ def sign_flip_test(spark, d):
 def sign_bank(spark, d):
     """Bit-exact PCG64 signs: held against the archived p-values in tests."""
     states = [r_.geography_code for r_ in pairs(spark, d).select("geography_code").orderBy("geography_code").collect()]  # states: a dimension
-    return inference.bank_frame(spark, states, 50, 20230904)
+    return inference.bank_frame(spark, states, BANK, 20230904)
 
 
 # --- replication -----------------------------------------------------------------------------------------

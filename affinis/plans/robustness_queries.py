@@ -14,7 +14,9 @@ from affinis.plans import sqlbase as S
 from affinis.plans.register import registered, shared
 from affinis.sources.bridge import CONDITIONS, MINIMUM_PAIRED_STATES
 
-B, SEED, EFFECT, STABLE, SWAPS = 12, 7, 0.12, 0.75, 60
+#: Replicates of the phi bootstrap and share of them that an edge must pass; label swaps; degree-preserving chains; refits.
+B, STABLE, SWAPS, CHAINS, REFITS = 500, 0.90, 10_000, 200, 200
+SEED, EFFECT = 7, 0.12
 
 S.cte("psus", "resp", f"SELECT *, row_number() OVER (PARTITION BY state_code, survey_strata ORDER BY survey_psu) AS nth, count(*) OVER (PARTITION BY state_code, survey_strata) AS n FROM (SELECT DISTINCT state_code, survey_strata, survey_psu FROM resp WHERE {S.VALID})")
 S.cte("draws", "psus", f"SELECT state_code, survey_strata, rep, 1 + CAST('0x' || substr(md5('{SEED}|' || state_code || '|' || survey_strata || '|' || rep || '|' || nth), 1, 8) AS BIGINT) % n AS nth, count(*) AS times FROM psus CROSS JOIN (SELECT unnest(range(1, {B + 1})) AS rep) GROUP BY ALL")
@@ -178,7 +180,9 @@ def vocabulary_stability(spark, d):
     return inference.vocabulary_stability(rep, m, M.FRACTIONS).withColumns({"retention": r("retention"), "jaccard": r("jaccard")})
 
 
-S.cte("remined", "frozen spairs patterns", f"SELECT rep, p.mask FROM patterns p JOIN (SELECT mask, count(*) AS n FROM patterns JOIN spairs ON opp & mask = mask GROUP BY 1 HAVING count(*) >= {MINIMUM_PAIRED_STATES}) e ON e.mask = p.mask JOIN (SELECT rep, f.raw_mask & f.opportunity AS g, opp FROM frozen f JOIN spairs USING (geography_code)) f ON f.g & p.mask = p.mask AND f.opp & p.mask = p.mask GROUP BY rep, p.mask, e.n HAVING count(*) >= ceil(CAST(0.3 AS DOUBLE) * 2 * e.n)")
+S.cte("able", "patterns spairs", f"SELECT mask, count(*) AS n FROM patterns JOIN spairs ON opp & mask = mask GROUP BY 1 HAVING count(*) >= {MINIMUM_PAIRED_STATES}")
+S.cte("thrown", "frozen spairs", "SELECT rep, f.raw_mask & f.opportunity & opp AS g, count(*) AS c FROM frozen f JOIN spairs USING (geography_code) GROUP BY ALL")
+S.cte("remined", "thrown able", "SELECT rep, mask FROM thrown JOIN able ON g & mask = mask GROUP BY rep, mask, n HAVING sum(c) >= ceil(CAST(0.3 AS DOUBLE) * 2 * n)")
 S.cte("found_again", "remined catalog", f"SELECT t.rep, count(m.mask) AS found, count(*) FILTER (m.mask IN (SELECT mask FROM catalog WHERE support_30pct)) AS kept FROM (SELECT unnest(range(1, {B + 1})) AS rep) t LEFT JOIN remined m ON m.rep = t.rep GROUP BY t.rep")
 _DISC = "SELECT rep, n, found, kept, kept / nullif(CAST(n AS DOUBLE), 0) AS retention, kept / nullif(CAST(found + n - kept AS DOUBLE), 0) AS jac FROM found_again CROSS JOIN (SELECT count(*) AS n FROM catalog WHERE support_30pct)"
 S.cte("disc", "found_again catalog", _DISC)
@@ -266,20 +270,20 @@ def label_permutation(spark, d):
 
 @registered()
 def degree_null(spark, d):
-    return resample.degree_null(G.population_graphs(spark, d), 5, 10, 20240903)
+    return resample.degree_null(G.population_graphs(spark, d), CHAINS, 10, 20240903)
 
 
 @registered()
 def degree_null_diagnostics(spark, d):
-    return resample.chain_diagnostics(settle(resample.degree_null(G.population_graphs(spark, d), 5, 10, 20240903)))
+    return resample.chain_diagnostics(settle(resample.degree_null(G.population_graphs(spark, d), CHAINS, 10, 20240903)))
 
 
 @registered()
 def degree_null_support(spark, d):
     g = M.paired_opportunity(G.population_graphs(spark, d))
-    chains = settle(resample.degree_null(g, 5, 10, 20240903).select("graph_id", "replicate", "mask"))
+    chains = settle(resample.degree_null(g, CHAINS, 10, 20240903).select("graph_id", "replicate", "mask"))
     m = M.primary(spark, d)
-    return inference.null_summary(inference.replicate_support(chains.join(g.drop("mask"), "graph_id"), m, 5), m, 5)
+    return inference.null_summary(inference.replicate_support(chains.join(g.drop("mask"), "graph_id"), m, CHAINS), m, CHAINS)
 
 
 def _jobs(spark: SparkSession, d: str, states: int) -> DataFrame:
@@ -289,8 +293,8 @@ def _jobs(spark: SparkSession, d: str, states: int) -> DataFrame:
 
 @registered()
 def boot_phi_500(spark, d):
-    """500 replicates, drawn and summed in one matrix per state."""
-    return resample.bootstrap_by_state(G.populations(spark, d), 500, 20240905, EFFECT)
+    """500 replicates of PCG64 draws."""
+    return resample.random_bootstrap(settle(G.populations(spark, d)), 500, 20240905, EFFECT)
 
 
 @registered()
@@ -302,7 +306,7 @@ def adjusted_logit(spark, d):
 @registered()
 def adjusted_boot(spark, d):
     df = G.populations(spark, d)
-    return glm.stability(glm.adjusted_bootstrap(df, _jobs(spark, d, 25), CONDITIONS, 20, 20240901))
+    return glm.stability(glm.adjusted_bootstrap(df, _jobs(spark, d, 25), CONDITIONS, REFITS, 20240901))
 
 
 @registered()
@@ -310,7 +314,7 @@ def sign_stable_edges(spark, d):
     df = settle(G.populations(spark, d))
     jobs = settle(_jobs(spark, d, 25))
     adjusted = glm.adjusted_edges(glm.adjusted_models(df, jobs, CONDITIONS))
-    return glm.sign_stable(adjusted, glm.adjusted_bootstrap(df, jobs, CONDITIONS, 20, 20240901), 0.90).select("graph_id", "source_condition", "target_condition", "odds_ratio", "q_value", "positive_stability", "edge_present")
+    return glm.sign_stable(adjusted, glm.adjusted_bootstrap(df, jobs, CONDITIONS, REFITS, 20240901), 0.90).select("graph_id", "source_condition", "target_condition", "odds_ratio", "q_value", "positive_stability", "edge_present")
 
 
 @registered()

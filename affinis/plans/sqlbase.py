@@ -12,6 +12,10 @@ def cte(name: str, needs: str, body: str) -> None:
     CTES[name] = (tuple(needs.split()), body)
 
 
+#: Tables that are made once in a statement, however often it reads them.
+KEPT = {"resp", "popd", "answered", "times"}
+
+
 def query(needs: str, select: str) -> str:
     """select, after the CTEs it needs and those that they need."""
     done: dict[str, str] = {}
@@ -24,7 +28,7 @@ def query(needs: str, select: str) -> str:
 
     for n in needs.split():
         add(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in done.items()) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS {'MATERIALIZED ' if k in KEPT else ''}({v})" for k, v in done.items()) + "\n" + select
 
 
 def r(expr: str, digits: int = 8) -> str:

@@ -166,7 +166,7 @@ def test_t_distribution():
     assert glm.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7) and glm.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)
 
 
-def test_matrix_bootstrap_equals_the_join_form(spark):
+def test_replicate_phi_equals_plain_sums(spark):
     rng = np.random.default_rng(8)
     names = ["A", "B", "C"]
     rows = []
@@ -176,20 +176,17 @@ def test_matrix_bootstrap_equals_the_join_form(spark):
     df = spark.createDataFrame(rows, "graph_id string, state_code int, survey_strata int, survey_psu int, survey_weight double, A double, B double, C double")
     draws = resample.psu_draws(df, 6, 3)
     want = {(r.graph_id, r.source_condition, r.target_condition, r.replicate): r.phi for r in resample.replicate_phi(df, draws, names).collect()}
-    psus = sorted({(r[2], r[3]) for r in rows})
-    times = np.zeros((len(psus), 6))
-    for r in draws.collect():
-        times[psus.index((r.survey_strata, r.survey_psu)), r.replicate - 1] = r.times
+    times = {(r.survey_strata, r.survey_psu, r.replicate): r.times for r in draws.collect()}
     for g in ("g0", "g1"):
-        own = [r for r in rows if r[0] == g]
-        case = np.array([sum(1 << i for i in range(3) if r[5 + i] == 1) for r in own])
-        seen = np.array([sum(1 << i for i in range(3) if r[5 + i] is not None) for r in own])
-        got = resample.state_replicates(np.array([r[4] for r in own]), np.array([psus.index((r[2], r[3])) for r in own]), case, seen, times, 3)
-        for i, (a, b) in enumerate([("A", "B"), ("A", "C"), ("B", "C")]):
-            assert got[i].tolist() == pytest.approx([want[g, a, b, j] for j in range(1, 7)], abs=1e-9)
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            for rep in range(1, 7):
+                own = [(r[4] * times.get((r[2], r[3], rep), 0), r[5 + i], r[5 + j]) for r in rows if r[0] == g and r[5 + i] is not None and r[5 + j] is not None]
+                w = sum(x[0] for x in own)
+                pa, pb, pab = (sum(x[0] * v for x in own for v in [f(x)]) / w for f in (lambda x: x[1], lambda x: x[2], lambda x: x[1] * x[2]))
+                assert want[g, names[i], names[j], rep] == pytest.approx((pab - pa * pb) / math.sqrt(pa * (1 - pa) * pb * (1 - pb)), abs=1e-9)
     t = resample.draw_times(np.array([1, 1, 1, 2]), 30, np.random.default_rng(1))
     assert (t[:3].sum(axis=0) == 3).all() and (t[3] == 1).all()
-    out = resample.bootstrap_by_state(df, 60, 1, 0.12, names).collect()
+    out = resample.random_bootstrap(df, 60, 1, 0.12, names).collect()
     assert len(out) == 6 and all(r.bootstrap_replicates_valid == 60 and len(r.bootstrap_selection_mask) == 61 and r.bootstrap_phi_025 <= r.bootstrap_phi_median <= r.bootstrap_phi_975 for r in out)
 
 
