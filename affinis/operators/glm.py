@@ -1,29 +1,34 @@
 """Covariate-adjusted logistic associations under a stratified cluster design.
 
 Point models: weighted logistic regression of one condition on another, age group and sex as factors, by
-iteratively reweighted least squares; the covariance is the linearised one, from PSU totals of the scores
-within strata over the state's whole design (persons outside the domain have score zero), a lone PSU being
+iteratively reweighted least squares; the variance is the linearised one, from PSU totals of the slope's influence
+within strata over the state's whole design (persons outside the domain have none), a lone PSU being
 centred at the mean of all. Bootstrap models refit the point model with replicate weights.
 
-A population is reduced to its distinct (PSU, answers, age, sex) cells first, so a group's rows are bounded
-by its design and answer patterns, not by its persons.
+Neither step gathers a state's persons. A model's coefficients depend on its population's answer patterns (3^k times
+age groups and sexes at most), which are summed first. For the variance, persons get the influence of their
+pattern in a stream sorted by population, stratum and PSU: a task holds one PSU's and one stratum's totals.
+Refits get their patterns' sums per replicate from `resample.over_replicates`.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.functions.columns import bh, valid_weight, wilson
-from affinis.operators.association import PAIR_KEYS
+from affinis.operators.association import PAIR_KEYS, masked
+from affinis.operators.resample import CHUNK, DESIGN, over_replicates, random_draws
+from affinis.operators.tables import settle
 
 ITERATIONS, TOLERANCE = 25, 1e-8
-POINT = "graph_id string, source_condition string, target_condition string, model_status string, model_message string, log_odds_ratio double, standard_error double, confidence_low_log double, confidence_high_log double, p_value double, converged boolean, reverse_model_status string, reverse_log_odds_ratio double, reverse_standard_error double, reverse_p_value double, reverse_converged boolean"
-BOOT = "graph_id string, source_condition string, target_condition string, bootstrap_status string, bootstrap_log_odds_ratio double, bootstrap_replicates_requested int, bootstrap_replicates_valid int, positive_stability double, bootstrap_low_log double, bootstrap_high_log double"
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -57,6 +62,7 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+@lru_cache(4096)
 def t_quantile(p: float, df: float) -> float:
     """The t at which the upper tail is 1 - p, by bisection."""
     low, high = 0.0, 1e6
@@ -66,139 +72,288 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-def design_matrix(x: np.ndarray, *factors: np.ndarray) -> np.ndarray:
-    """Intercept, exposure and treatment contrasts of each factor's levels in use."""
+def design_matrix(x: np.ndarray, *factors: tuple[np.ndarray, list[str]]) -> np.ndarray:
+    """Intercept, exposure and treatment contrasts of each factor's levels."""
     cols = [np.ones(len(x)), x]
-    for f in factors:
-        cols += [(f == v).astype(float) for v in np.unique(f)[1:]]
+    for values, levels in factors:
+        cols += [(values == v).astype(float) for v in levels[1:]]
     return np.column_stack(cols)
 
 
-def irls(X: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(coefficients, information, converged) of a weighted logistic regression; raises LinAlgError where it is singular."""
-    beta = np.zeros(X.shape[1]) if start is None else start.copy()
-    w = w / w.mean()
+def irls(X: np.ndarray, y: np.ndarray, W: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, information, converged, solvable) of weighted logistic regressions, one for each column of weights."""
+    n, k = W.shape[1], X.shape[1]
+    beta, info = np.zeros((n, k)), np.zeros((n, k, k))
+    converged, solvable = np.zeros(n, bool), W.any(axis=0)
+    W = (W / np.maximum(W.mean(axis=0), 1e-300)).T
+    outer = (X[:, :, None] * X[:, None, :]).reshape(len(X), k * k)
     for _ in range(ITERATIONS):
-        mu = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-        info = X.T @ (X * (w * mu * (1 - mu))[:, None])
-        step = np.linalg.solve(info, X.T @ (w * (y - mu)))
-        beta = beta + step
-        if np.abs(step).max() < TOLERANCE:
-            return beta, info, True
-    return beta, info, False
-
-
-def design_variance(scores: np.ndarray, strata: np.ndarray, psu: np.ndarray, design: pd.DataFrame) -> np.ndarray:
-    """Sum over strata of n/(n-1) times the scatter of PSU totals; PSUs without a person of the domain total zero."""
-    k = scores.shape[1]
-    totals = pd.DataFrame(scores).groupby([strata, psu]).sum()
-    every = pd.MultiIndex.from_frame(design)
-    totals = totals.reindex(every, fill_value=0.0).to_numpy()
-    codes, first = np.unique(design.iloc[:, 0].to_numpy(), return_inverse=True)
-    mean_all = totals.mean(axis=0)
-    out = np.zeros((k, k))
-    for s in range(len(codes)):
-        t = totals[first == s]
-        d = t - (t.mean(axis=0) if len(t) > 1 else mean_all)
-        out += (len(t) / (len(t) - 1) if len(t) > 1 else 1.0) * d.T @ d
-    return out
-
-
-def _fit(cells: pd.DataFrame, outcome: str, exposure: str, design: pd.DataFrame, level: float) -> dict:
-    d = cells[cells[outcome].notna() & cells[exposure].notna() & cells.age_group.notna() & cells.sex.notna()]
-    none = {"status": "error", "message": "", "b": None, "se": None, "lo": None, "hi": None, "p": None, "ok": False}
-    if d.empty or d[outcome].nunique() < 2:
+        at = np.flatnonzero(solvable & ~converged)
+        if not len(at):
+            break
+        mu = 1 / (1 + np.exp(-np.clip(beta[at] @ X.T, -30, 30)))
+        info[at] = ((W[at] * mu * (1 - mu)) @ outer).reshape(-1, k, k)
+        ok = np.linalg.matrix_rank(info[at], tol=1e-12, hermitian=True) == k
+        solvable[at[~ok]] = False
+        at, mu = at[ok], mu[ok]
+        if len(at):
+            step = np.linalg.solve(info[at], ((W[at] * (y - mu)) @ X)[:, :, None])[:, :, 0]
+            beta[at] += step
+            converged[at] = np.abs(step).max(axis=1) < TOLERANCE
+    return beta, info, converged, solvable
+
+
+class Domain:
+    """Answer patterns of a population that count for a pair: complete in both conditions and in the covariates."""
+
+    def __init__(self, columns: list[np.ndarray], exposure: int, outcome: int):
+        case, seen, age, sex = columns
+        self.inside = ((seen >> exposure) & (seen >> outcome) & 1 == 1) & (age != "") & (sex != "")
+        self.x, self.y = ((case >> i & 1).astype(float) for i in (exposure, outcome))
+        self.age, self.sex = age, sex
+        self.ages, self.sexes = sorted(set(age[self.inside])), sorted(set(sex[self.inside]))
+
+    def design(self, ages: list[str], sexes: list[str]) -> np.ndarray:
+        return design_matrix(self.x, (self.age, ages), (self.sex, sexes))
+
+
+def _fit(columns: list[np.ndarray], w: np.ndarray, exposure: int, outcome: int) -> dict:
+    """Status, slope, and what the influence of a pattern follows from: coefficients, a row of the inverse information, scale, levels."""
+    d = Domain(columns, exposure, outcome)
+    at = np.flatnonzero(d.inside)
+    none = {"status": "error", "message": "", "b": None, "ok": False, "beta": None, "row": None, "scale": None, "ages": d.ages, "sexes": d.sexes}
+    if not len(at) or len(set(d.y[at])) < 2:
         return none | {"message": "the outcome does not vary"}
-    if d[exposure].nunique() < 2:
+    if len(set(d.x[at])) < 2:
         return none | {"status": "coefficient_missing", "message": "the exposure does not vary"}
-    X = design_matrix(d[exposure].to_numpy(float), d.age_group.to_numpy(), d.sex.to_numpy())
-    y, w = d[outcome].to_numpy(float), d.w.to_numpy(float)
-    try:
-        beta, info, ok = irls(X, y, w)
-        bread = np.linalg.inv(info)
-    except np.linalg.LinAlgError as e:
-        return none | {"message": str(e)}
-    mu = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-    scores = X * (w / w.mean() * (y - mu))[:, None]
-    cov = bread @ design_variance(scores, d.survey_strata.to_numpy(), d.survey_psu.to_numpy(), design) @ bread
-    se = math.sqrt(max(cov[1, 1], 0.0))
-    used = d[["survey_strata", "survey_psu"]].drop_duplicates()
-    df = max(1, len(used) - used.survey_strata.nunique() - X.shape[1] + 1)
-    q = t_quantile((1 + level) / 2, df)
-    p = t_two_sided(beta[1] / se, df) if se > 0 else None
-    return {"status": "ok", "message": "" if ok else "not converged", "b": float(beta[1]), "se": se, "lo": float(beta[1] - q * se), "hi": float(beta[1] + q * se), "p": p, "ok": ok}
-
-
-def cells(df: DataFrame, conditions: list[str]) -> DataFrame:
-    """Persons with a valid weight, summed by population, PSU, answers and covariates."""
-    keys = ["graph_id", "state_code", "ses_category", "survey_strata", "survey_psu", "age_group", "sex", *conditions]
-    return df.where(valid_weight("survey_weight")).groupBy(*keys).agg(F.sum("survey_weight").alias("w"))
+    beta, info, ok, solvable = irls(d.design(d.ages, d.sexes)[at], d.y[at], w[at, None])
+    if not solvable[0]:
+        return none | {"message": "Singular matrix"}
+    return none | {"status": "ok", "message": "" if ok[0] else "not converged", "b": float(beta[0, 1]), "ok": bool(ok[0]), "beta": beta[0].tolist(), "row": np.linalg.inv(info[0])[1].tolist(), "scale": float(1 / w[at].mean())}
 
 
-def adjusted_models(df: DataFrame, jobs: DataFrame, conditions: list[str], level: float = 0.95) -> DataFrame:
-    """Point models of the jobs (graph_id, state_code, pair), both directions; a state is one task's unit."""
-    jobs = jobs.select(*PAIR_KEYS, "state_code")
+MODEL = "graph_id string, source_condition string, target_condition string, reverse boolean, status string, message string, b double, ok boolean, beta array<double>, row array<double>, scale double, ages array<string>, sexes array<string>"
+PATTERN = ["case_mask", "seen_mask", "age", "gender"]
+TOTALS = ["spread", "lone_square", "lone", "total", "psus", "strata"]
 
-    def run(key, persons: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        design = persons[["survey_strata", "survey_psu"]].drop_duplicates().sort_values(["survey_strata", "survey_psu"])
-        out = []
-        for g, a, b in zip(todo.graph_id, todo.source_condition, todo.target_condition, strict=True):
-            d = persons[persons.graph_id == g]
-            f, r = _fit(d, b, a, design, level), _fit(d, a, b, design, level)
-            out.append((g, a, b, f["status"], f["message"], f["b"], f["se"], f["lo"], f["hi"], f["p"], f["ok"], r["status"], r["b"], r["se"], r["p"], r["ok"]))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in POINT.split(", ")])
 
-    return cells(df, conditions).groupBy("state_code").cogroup(jobs.groupBy("state_code")).applyInPandas(run, POINT)
+def cells(df: DataFrame, conditions: list[str]) -> DataFrame:
+    """Persons with a valid weight, summed by population, PSU and pattern of answers and covariates ('' for none)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    df = masked(df.where(valid_weight("survey_weight")), conditions).withColumn("age", text("age_group")).withColumn("gender", text("sex"))
+    return df.groupBy("graph_id", *DESIGN, *PATTERN).agg(F.sum("survey_weight").alias("w"))
+
+
+def _columns(df: pd.DataFrame) -> list[np.ndarray]:
+    return [df.case_mask.to_numpy(np.int64), df.seen_mask.to_numpy(np.int64), df.age.to_numpy(object), df.gender.to_numpy(object)]
+
+
+def _influence(models: list[dict], columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns x models of the slope's influence per unit of weight, whether the pattern is in the model's domain)."""
+    out, inside = np.zeros((len(columns[0]), len(models))), np.zeros((len(columns[0]), len(models)), bool)
+    for j, m in enumerate(models):
+        d = Domain(columns, m["exposure"], m["outcome"])
+        X = d.design(m["ages"], m["sexes"])
+        mu = 1 / (1 + np.exp(-np.clip(X @ np.array(m["beta"]), -30, 30)))
+        out[:, j], inside[:, j] = np.where(d.inside, m["scale"] * (d.y - mu) * (X @ np.array(m["row"])), 0.0), d.inside
+    return out, inside
+
+
+class _Totals:
+    """Totals of a population's models: by PSU, then by stratum, then over all; only the current ones are held."""
+
+    def __init__(self, n_models: int):
+        self.sums = np.zeros((len(TOTALS), n_models))
+        self.psu = self.stratum = None
+        self.n = 0
+
+    def add(self, stratum: object, n: int, psu: object, u: np.ndarray, used: np.ndarray) -> None:
+        """Influence of some persons of a PSU, whose stratum has n PSUs in all."""
+        if (stratum, psu) != self.psu:
+            self.end_psu()
+            if stratum != self.stratum:
+                self.end_stratum()
+                self.stratum, self.n = stratum, n
+                self.square, self.of, self.any = np.zeros_like(u), np.zeros_like(u), np.zeros(len(u), bool)
+            self.psu, self.u, self.used = (stratum, psu), np.zeros_like(u), np.zeros(len(u), bool)
+        self.u += u
+        self.used |= used
+
+    def end_psu(self) -> None:
+        if self.psu is not None:
+            self.square += self.u**2
+            self.of += self.u
+            self.any |= self.used
+            self.sums[4] += self.used
+            self.psu = None
+
+    def end_stratum(self) -> None:
+        self.end_psu()
+        if self.stratum is not None:
+            if self.n > 1:
+                self.sums[0] += self.n / (self.n - 1) * (self.square - self.of**2 / self.n)
+            else:
+                self.sums[1] += self.square
+                self.sums[2] += self.of
+            self.sums[3] += self.of
+            self.sums[5] += self.any
+            self.stratum = None
+
+
+def _design_totals(rows: DataFrame, shipped) -> DataFrame:
+    """(graph_id, model, TOTALS) from cells with n_psu, sorted by population, stratum and PSU."""
+    schema = "graph_id string, model int, " + ", ".join(f"{t} double" for t in TOTALS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, totals = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if totals is not None:
+                totals.end_stratum()
+                n = totals.sums.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([graph] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, totals.sums)], ["graph_id", "model", *TOTALS])
+
+        for batch in batches:
+            df = batch.to_pandas()
+            for g, part in df.groupby("graph_id", sort=False):
+                if g not in shipped.value:
+                    continue
+                if g != graph:
+                    yield from done()
+                    graph, totals = g, _Totals(len(shipped.value[g]))
+                pattern, at = np.unique(part[PATTERN].astype(str).agg("|".join, axis=1).to_numpy(object).astype(str), return_inverse=True)
+                one = part.iloc[np.unique(at, return_index=True)[1]]
+                value, inside = _influence(shipped.value[g], _columns(one))
+                psu = pd.factorize(pd.MultiIndex.from_frame(part[["survey_strata", "survey_psu"]]))[0]
+                first = np.flatnonzero(np.r_[True, psu[1:] != psu[:-1]])
+                u = np.add.reduceat(part.w.to_numpy()[:, None] * value[at], first)
+                used = np.add.reduceat(inside[at].astype(int), first) > 0
+                head = part.iloc[first]
+                for i, (s, n, p) in enumerate(zip(head.survey_strata, head.n_psu, head.survey_psu, strict=True)):
+                    totals.add(s, n, p, u[i], used[i])
+        yield from done()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _intervals(level: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            se, low, high, p = [], [], [], []
+            for b, var, freedom in zip(df.b, df.variance, df.freedom, strict=True):
+                e = math.sqrt(max(var, 0.0)) if b == b and b is not None and var == var else None
+                q = t_quantile((1 + level) / 2, float(freedom)) if e is not None else None
+                se.append(e)
+                low.append(b - q * e if e is not None else None)
+                high.append(b + q * e if e is not None else None)
+                p.append(t_two_sided(b / e, float(freedom)) if e else None)
+            yield df.drop(columns=["variance", "freedom"]).assign(se=se, low=low, high=high, p=p)
+
+    return run
 
 
-def adjusted_edges(models: DataFrame, maximum_q: float = 0.05) -> DataFrame:
-    """models with odds ratios, q within each population, concordance and the edge flag."""
-    out = models.withColumn("q_value", bh(F.col("p_value"), ["graph_id"]))
+def adjusted_models(df: DataFrame, jobs: DataFrame, conditions: list[str], level: float = 0.95) -> DataFrame:
+    """Point models of the jobs (graph_id, pair), both directions; no job gives no row."""
+    spark = df.sparkSession
+    number = {c: i for i, c in enumerate(conditions)}
+    persons = settle(cells(df, conditions))
+
+    def fit(key: tuple, patterns: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        columns, w, out = _columns(patterns), patterns.w.to_numpy(), []
+        for a, b in zip(todo.source_condition, todo.target_condition, strict=True):
+            for reverse in (False, True):
+                x, y = (b, a) if reverse else (a, b)
+                out.append((todo.graph_id.iloc[0], a, b, reverse, *_fit(columns, w, number[x], number[y]).values()))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in MODEL.split(", ")])
+
+    sums = persons.groupBy("graph_id", *PATTERN).agg(F.sum("w").alias("w"))
+    models = settle(sums.groupBy("graph_id").cogroup(jobs.select(*PAIR_KEYS).groupBy("graph_id")).applyInPandas(fit, MODEL))
+    # models number populations x pairs, a dimension; their coefficients go to every worker
+    known: dict[str, list[dict]] = {}
+    places = []
+    for m in models.where("status = 'ok'").orderBy("graph_id", "source_condition", "target_condition", "reverse").toLocalIterator():
+        own = known.setdefault(m.graph_id, [])
+        x, y = (m.target_condition, m.source_condition) if m.reverse else (m.source_condition, m.target_condition)
+        places.append((m.graph_id, m.source_condition, m.target_condition, m.reverse, len(own)))
+        own.append({"exposure": number[x], "outcome": number[y], "beta": m.beta, "row": m.row, "scale": m.scale, "ages": m.ages, "sexes": m.sexes})
+    design = df.where(valid_weight("survey_weight")).select(*DESIGN).distinct()
+    strata = design.groupBy("state_code", "survey_strata").agg(F.count("*").alias("n_psu"))
+    whole = strata.groupBy("state_code").agg(F.sum("n_psu").alias("design_psus"), F.count_if(F.col("n_psu") == 1).alias("lone_strata"))
+    order = ["graph_id", "survey_strata", "survey_psu"]
+    rows = persons.join(strata, ["state_code", "survey_strata"]).select("graph_id", "survey_strata", "survey_psu", *PATTERN, "w", "n_psu")
+    # a stratum's persons of a population stream through one task
+    totals = _design_totals(rows.repartition("graph_id", "survey_strata").sortWithinPartitions(*order), spark.sparkContext.broadcast(known))
+    totals = totals.groupBy("graph_id", "model").agg(*[F.sum(t).alias(t) for t in TOTALS])
+    of = spark.createDataFrame(places, "graph_id string, source_condition string, target_condition string, reverse boolean, model int")
+    states = persons.select("graph_id", "state_code").distinct().join(whole, "state_code").drop("state_code")
+    found = models.join(F.broadcast(of), [*PAIR_KEYS, "reverse"], "left").join(totals, ["graph_id", "model"], "left").join(states, "graph_id")
+    mean = F.col("total") / F.col("design_psus")
+    variance = F.col("spread") + F.col("lone_square") - 2 * F.col("lone") * mean + F.col("lone_strata") * mean * mean
+    freedom = F.greatest(F.lit(1.0), F.col("psus") - F.col("strata") - F.size("beta") + 1)
+    done = found.select(*PAIR_KEYS, "reverse", "status", "message", "b", "ok", variance.alias("variance"), freedom.alias("freedom"))
+    kinds = "graph_id string, source_condition string, target_condition string, reverse boolean, status string, message string, b double, ok boolean, se double, low double, high double, p double"
+    done = done.mapInPandas(_intervals(level), kinds)
+    pick = lambda reverse, c, name: F.first(F.when(F.col("reverse") == reverse, F.col(c)), ignorenulls=True).alias(name)
+    forward = {"status": "model_status", "message": "model_message", "b": "log_odds_ratio", "se": "standard_error", "low": "confidence_low_log", "high": "confidence_high_log", "p": "p_value", "ok": "converged"}
+    backward = {"status": "reverse_model_status", "b": "reverse_log_odds_ratio", "se": "reverse_standard_error", "p": "reverse_p_value", "ok": "reverse_converged"}
+    return done.groupBy(*PAIR_KEYS).agg(*[pick(False, c, n) for c, n in forward.items()], *[pick(True, c, n) for c, n in backward.items()])
+
+
+def adjusted_edges(models: DataFrame, pairs: DataFrame, maximum_q: float = 0.05) -> DataFrame:
+    """models with odds ratios, q, concordance and the edge flag.
+
+    q is taken over all models of a population, whether their pair is eligible or not; pairs (keys, pair_eligible)
+    say which of them may be edges.
+    """
+    out = models.join(pairs.select(*PAIR_KEYS, "pair_eligible"), PAIR_KEYS, "left").withColumn("q_value", bh(F.col("p_value"), ["graph_id"]))
     logs = {"odds_ratio": "log_odds_ratio", "confidence_low": "confidence_low_log", "confidence_high": "confidence_high_log", "reverse_odds_ratio": "reverse_log_odds_ratio"}
     out = out.withColumns({k: F.exp(v) for k, v in logs.items()})
     out = out.withColumn("direction_concordant", F.coalesce(F.signum("log_odds_ratio") == F.signum("reverse_log_odds_ratio"), F.lit(False)))
-    edge = (F.col("model_status") == "ok") & F.col("converged") & (F.col("log_odds_ratio") > 0) & (F.col("confidence_low") > 1) & (F.col("q_value") <= maximum_q)
+    edge = F.col("pair_eligible") & (F.col("model_status") == "ok") & F.col("converged") & (F.col("log_odds_ratio") > 0) & (F.col("confidence_low") > 1) & (F.col("q_value") <= maximum_q)
     return out.withColumn("edge_present", F.coalesce(edge, F.lit(False)))
 
 
 def adjusted_bootstrap(df: DataFrame, jobs: DataFrame, conditions: list[str], replicates: int, seed: int) -> DataFrame:
     """Replicate refits of the jobs' point models: sign stability and percentile interval of the log odds ratio."""
-    jobs = jobs.select(*PAIR_KEYS, "state_code")
-
-    def run(key, persons: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.Generator(np.random.PCG64([seed, int(key[0])]))
-        design = persons[["survey_strata", "survey_psu"]].drop_duplicates().sort_values(["survey_strata", "survey_psu"]).reset_index(drop=True)
-        times = np.zeros((len(design), replicates))
-        for _, at in design.groupby("survey_strata").indices.items():
-            draws = rng.integers(0, len(at), size=(len(at), replicates))
-            for r in range(replicates):
-                times[at, r] = np.bincount(draws[:, r], minlength=len(at))
-        where = pd.Series(np.arange(len(design)), index=pd.MultiIndex.from_frame(design))
-        out = []
-        for g, a, b in zip(todo.graph_id, todo.source_condition, todo.target_condition, strict=True):
-            d = persons[(persons.graph_id == g) & persons[a].notna() & persons[b].notna() & persons.age_group.notna() & persons.sex.notna()]
-            status, point, values = "ok", None, []
-            try:
-                X = design_matrix(d[a].to_numpy(float), d.age_group.to_numpy(), d.sex.to_numpy())
-                y, w = d[b].to_numpy(float), d.w.to_numpy(float)
-                beta, _, _ = irls(X, y, w)
-                point = float(beta[1])
-                mult = times[where.loc[pd.MultiIndex.from_frame(d[["survey_strata", "survey_psu"]])].to_numpy()]
-                for r in range(replicates):
-                    m = mult[:, r] > 0
-                    try:
-                        v = irls(X[m], y[m], w[m] * mult[m, r], beta)[0][1]
-                    except np.linalg.LinAlgError:
-                        continue
-                    if np.isfinite(v):
-                        values.append(v)
-            except np.linalg.LinAlgError:
-                status = "error"
-            lo, hi = np.quantile(values, [0.025, 0.975]) if values else (None, None)
-            out.append((g, a, b, status, point, replicates, len(values), float(np.mean(np.array(values) > 0)) if values else None, lo, hi))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in BOOT.split(", ")])
-
-    return cells(df, conditions).groupBy("state_code").cogroup(jobs.groupBy("state_code")).applyInPandas(run, BOOT)
+    spark = df.sparkSession
+    number = {c: i for i, c in enumerate(conditions)}
+    todo: dict[str, list[tuple[str, str]]] = {}
+    for j in jobs.select(*PAIR_KEYS).toLocalIterator():  # populations x pairs: a dimension
+        todo.setdefault(j.graph_id, []).append((j.source_condition, j.target_condition))
+    shipped = spark.sparkContext.broadcast(todo)
+
+    def finish(graph: str, part: int, columns: list[np.ndarray], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [columns[0].astype(np.int64), columns[1].astype(np.int64), *(c.astype(object) for c in columns[2:])]
+        sums = sums[:, : 1 if part < 0 else min(CHUNK, replicates - part * CHUNK)]  # part -1 has the weights themselves
+        rows = []
+        for a, b in shipped.value.get(graph, []):
+            d = Domain(columns, number[a], number[b])
+            at = np.flatnonzero(d.inside)
+            X, y = d.design(d.ages, d.sexes), d.y
+            # patterns that agree in outcome, exposure and covariates are one cell
+            cell, of = np.unique(np.column_stack([X, y])[at], axis=0, return_inverse=True)
+            W = np.zeros((len(cell), sums.shape[1]))
+            np.add.at(W, of.ravel(), sums[at])
+            beta, _, _, solvable = irls(cell[:, :-1], cell[:, -1], W) if len(cell) else (np.zeros((sums.shape[1], 2)), None, None, np.zeros(sums.shape[1], bool))
+            values = [float(v) if ok and np.isfinite(v) else None for v, ok in zip(beta[:, 1], solvable, strict=True)]
+            rows.append((graph, a, b, part, values))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())), strict=True)], [*PAIR_KEYS, "part", "values"])
+
+    persons = settle(cells(df, conditions).join(F.broadcast(jobs.select("graph_id").distinct()), "graph_id", "left_semi"))
+    own = df.where(valid_weight("survey_weight")).select(*DESIGN).distinct()
+    whole = own.select(*DESIGN, F.lit(-1).alias("chunk"), F.array(F.lit(0).cast("short")).alias("reps"), F.array(F.lit(1).cast("short")).alias("times"))
+    draws = random_draws(df, replicates, seed).select(whole.columns).union(whole)
+    fits = over_replicates(persons, draws, PATTERN, finish, "graph_id string, source_condition string, target_condition string, part int, values array<double>")
+    v = F.col("v")
+    long = settle(fits).select(*PAIR_KEYS, "part", F.explode_outer("values").alias("v"))
+    drawn = F.when(F.col("part") >= 0, v)
+    out = long.groupBy(*PAIR_KEYS).agg(
+        F.max(F.when(F.col("part") < 0, v)).alias("bootstrap_log_odds_ratio"), F.count(drawn).cast("int").alias("bootstrap_replicates_valid"),
+        F.avg(F.when(drawn.isNotNull(), (drawn > 0).cast("double"))).alias("positive_stability"), F.percentile(drawn, 0.025).alias("bootstrap_low_log"), F.percentile(drawn, 0.975).alias("bootstrap_high_log"),
+    )
+    status = F.when(F.col("bootstrap_log_odds_ratio").isNotNull(), "ok").otherwise("error")
+    return out.select(*PAIR_KEYS, status.alias("bootstrap_status"), "bootstrap_log_odds_ratio", F.lit(replicates).alias("bootstrap_replicates_requested"), "bootstrap_replicates_valid", "positive_stability", "bootstrap_low_log", "bootstrap_high_log")
 
 
 def stability(boot: DataFrame) -> DataFrame:

@@ -286,9 +286,21 @@ def degree_null_support(spark, d):
     return inference.null_summary(inference.replicate_support(chains.join(g.drop("mask"), "graph_id"), m, CHAINS), m, CHAINS)
 
 
-def _jobs(spark: SparkSession, d: str, states: int) -> DataFrame:
-    e = G.pair_table(spark, d).where("pair_eligible AND edge_present").withColumn("state_code", F.substring("graph_id", 6, 2).cast("int"))
-    return e.where(F.col("state_code") < states).select("graph_id", "source_condition", "target_condition", "state_code")
+@shared
+def point_models(spark: SparkSession, d: str) -> DataFrame:
+    """Models of every pair of conditions of every population, eligible or not: q is taken over all of them."""
+    return settle(glm.adjusted_models(settle(G.populations(spark, d)), G.pair_table(spark, d), CONDITIONS))
+
+
+@shared
+def adjusted_table(spark: SparkSession, d: str) -> DataFrame:
+    return settle(glm.adjusted_edges(point_models(spark, d), G.pair_table(spark, d)))
+
+
+@shared
+def refits(spark: SparkSession, d: str) -> DataFrame:
+    """Replicates of the adjusted edges."""
+    return settle(glm.adjusted_bootstrap(settle(G.populations(spark, d)), adjusted_table(spark, d).where("edge_present"), CONDITIONS, REFITS, 20240901))
 
 
 @registered()
@@ -299,31 +311,24 @@ def boot_phi_500(spark, d):
 
 @registered()
 def adjusted_logit(spark, d):
-    df = G.populations(spark, d)
-    return glm.adjusted_edges(glm.adjusted_models(df, _jobs(spark, d, 25), CONDITIONS))
+    return adjusted_table(spark, d)
 
 
 @registered()
 def adjusted_boot(spark, d):
-    df = G.populations(spark, d)
-    return glm.stability(glm.adjusted_bootstrap(df, _jobs(spark, d, 25), CONDITIONS, REFITS, 20240901))
+    return glm.stability(refits(spark, d))
 
 
 @registered()
 def sign_stable_edges(spark, d):
-    df = settle(G.populations(spark, d))
-    jobs = settle(_jobs(spark, d, 25))
-    adjusted = glm.adjusted_edges(glm.adjusted_models(df, jobs, CONDITIONS))
-    return glm.sign_stable(adjusted, glm.adjusted_bootstrap(df, jobs, CONDITIONS, REFITS, 20240901), 0.90).select("graph_id", "source_condition", "target_condition", "odds_ratio", "q_value", "positive_stability", "edge_present")
+    return glm.sign_stable(adjusted_table(spark, d), refits(spark, d), 0.90).select("graph_id", "source_condition", "target_condition", "odds_ratio", "q_value", "positive_stability", "edge_present")
 
 
 @registered()
 def adjusted_concordance(spark, d):
-    df = G.populations(spark, d)
-    models = settle(glm.adjusted_edges(glm.adjusted_models(df, _jobs(spark, d, 25), CONDITIONS)))
-    return glm.concordance(G.rule_edges(spark, d).where("rule_id <> 'phi_010'"), models)
+    return glm.concordance(G.rule_edges(spark, d).where("rule_id <> 'phi_010'"), adjusted_table(spark, d))
 
 
 @registered()
 def direction_diagnostic(spark, d):
-    return glm.direction_diagnostic(glm.adjusted_models(G.populations(spark, d), _jobs(spark, d, 25), CONDITIONS))
+    return glm.direction_diagnostic(point_models(spark, d))

@@ -151,7 +151,8 @@ def test_logistic_slope_is_the_log_odds_ratio_of_a_2x2_table(spark):
             rows.append((f"g{1}", 1, "lower", float(i % 5 + 1) * 0 + 2.0, i % 3, i, 1, "f", float(a), float(b)))
     df = spark.createDataFrame(rows, "graph_id string, state_code int, ses_category string, survey_weight double, survey_strata int, survey_psu int, age_group int, sex string, A double, B double")
     jobs = spark.createDataFrame([("g1", "A", "B", 1)], "graph_id string, source_condition string, target_condition string, state_code int")
-    m = glm.adjusted_edges(glm.adjusted_models(df, jobs, ["A", "B"])).first()
+    able = jobs.withColumn("pair_eligible", F.lit(True))
+    m = glm.adjusted_edges(glm.adjusted_models(df, jobs, ["A", "B"]), able).first()
     want = math.log(30 * 65 / (20 * 25))
     assert m.log_odds_ratio == pytest.approx(want, abs=1e-6) and m.reverse_log_odds_ratio == pytest.approx(want, abs=1e-6)
     model_se = math.sqrt(1 / 30 + 1 / 65 + 1 / 20 + 1 / 25)
@@ -190,11 +191,114 @@ def test_replicate_phi_equals_plain_sums(spark):
     assert len(out) == 6 and all(r.bootstrap_replicates_valid == 60 and len(r.bootstrap_selection_mask) == 61 and r.bootstrap_phi_025 <= r.bootstrap_phi_median <= r.bootstrap_phi_975 for r in out)
 
 
-def test_adjusted_bootstrap_covers_all_states(spark):
-    from affinis.plans import QUERIES
-
-    d = "/root/testdata/sf0.01"
-    states = {r.graph_id[5:7] for r in QUERIES["adjusted_logit"](spark, d).select("graph_id").distinct().collect()}
-    assert len(states) > 4
-    for name in ("adjusted_boot", "sign_stable_edges"):
-        assert {r.graph_id[5:7] for r in QUERIES[name](spark, d).select("graph_id").collect()} == states
+def plain_model(rows, design, x, y):
+    """Slope, standard error and degrees of freedom from persons (stratum, PSU, weight, age, sex, answers), one by one."""
+    dom = [r for r in rows if None not in (r[x], r[y], r[3], r[4])]
+    ages, sexes = sorted({r[3] for r in dom}), sorted({r[4] for r in dom})
+    X = np.array([[1.0, r[x], *(r[3] == a for a in ages[1:]), *(r[4] == s for s in sexes[1:])] for r in dom], float)
+    Y, w = np.array([r[y] for r in dom]), np.array([r[2] for r in dom])
+    w = w / w.mean()
+    beta = np.zeros(X.shape[1])
+    for _ in range(25):
+        mu = 1 / (1 + np.exp(-X @ beta))
+        beta = beta + np.linalg.solve(X.T @ (X * (w * mu * (1 - mu))[:, None]), X.T @ (w * (Y - mu)))
+    mu = 1 / (1 + np.exp(-X @ beta))
+    bread = np.linalg.inv(X.T @ (X * (w * mu * (1 - mu))[:, None]))
+    z = {p: np.zeros(X.shape[1]) for p in design}
+    for r, score in zip(dom, X * (w * (Y - mu))[:, None], strict=True):
+        z[r[0], r[1]] += score
+    every, meat = np.mean(list(z.values()), axis=0), 0
+    for s in {p[0] for p in design}:
+        own = np.array([v for p, v in z.items() if p[0] == s])
+        d = own - (own.mean(axis=0) if len(own) > 1 else every)
+        meat = meat + (len(own) / (len(own) - 1) if len(own) > 1 else 1) * d.T @ d
+    used = {(r[0], r[1]) for r in dom}
+    return beta[1], math.sqrt((bread @ meat @ bread)[1, 1]), max(1, len(used) - len({u[0] for u in used}) - len(beta) + 1)
+
+
+def survey(seed, n=600):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        stratum = int(rng.integers(6))
+        psu = 0 if stratum == 5 else int(rng.integers(12))  # the last stratum has one PSU
+        a = rng.random() < 0.4
+        b, c = rng.random() < (0.6 if a else 0.3), rng.random() < 0.5
+        miss = lambda v: None if rng.random() < 0.08 else float(v)  # noqa: B023
+        rows.append((f"g{i % 2}", 3, stratum, psu, float(rng.random() + 0.2), None if rng.random() < 0.05 else int(rng.integers(1, 4)), "f" if rng.random() < 0.5 else "m", miss(a), miss(b), miss(c)))
+    return rows
+
+
+SURVEY = "graph_id string, state_code int, survey_strata int, survey_psu int, survey_weight double, age_group int, sex string, A double, B double, C double"
+
+
+def test_models_and_design_errors_equal_a_plain_fit(spark):
+    rows = survey(1)
+    df = spark.createDataFrame(rows, SURVEY).repartition(5)
+    jobs = spark.createDataFrame([(g, *p) for g in ("g0", "g1") for p in (("A", "B"), ("A", "C"), ("B", "C"))], "graph_id string, source_condition string, target_condition string")
+    design = sorted({(r[2], r[3]) for r in rows})
+    for m in glm.adjusted_models(df, jobs, ["A", "B", "C"]).collect():
+        own = [(r[2], r[3], r[4], r[5], r[6], *r[7:]) for r in rows if r[0] == m.graph_id]
+        a, b = (5 + "ABC".index(c) for c in (m.source_condition, m.target_condition))
+        slope, se, freedom = plain_model(own, design, a, b)
+        assert (m.log_odds_ratio, m.standard_error) == pytest.approx((slope, se), rel=1e-6)
+        q = glm.t_quantile(0.975, float(freedom))
+        assert (m.confidence_low_log, m.confidence_high_log) == pytest.approx((slope - q * se, slope + q * se), rel=1e-6)
+        assert (m.reverse_log_odds_ratio, m.reverse_standard_error) == pytest.approx(plain_model(own, design, b, a)[:2], rel=1e-6)
+    # refits: the point model, and replicates of the same draws by plain weights
+    boot = {(r.graph_id, r.source_condition): r for r in glm.adjusted_bootstrap(df, jobs.where("target_condition = 'B'"), ["A", "B", "C"], 60, 9).collect()}
+    times = {}
+    for r in resample.random_draws(df, 60, 9).collect():
+        for rep, t in zip(r.reps, r.times, strict=True):
+            times[r.survey_strata, r.survey_psu, r.chunk * resample.CHUNK + rep] = t
+    for g in ("g0", "g1"):
+        values = []
+        for rep in range(60):
+            own = [(r[2], r[3], r[4] * times.get((r[2], r[3], rep), 0), r[5], r[6], *r[7:]) for r in rows if r[0] == g]
+            values.append(plain_model([r for r in own if r[2] > 0], design, 5, 6)[0])
+        r = boot[g, "A"]
+        assert r.bootstrap_replicates_valid == 60 and r.positive_stability == pytest.approx(np.mean(np.array(values) > 0))
+        assert (r.bootstrap_low_log, r.bootstrap_high_log) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])), rel=1e-6)
+
+
+def test_a_state_that_holds_most_rows(spark):
+    """One population with most of the rows, dealt over many partitions and small batches, gives the same models."""
+    rows = survey(2, 900)
+    rows += [("g9", 4, *r[2:]) for r in rows[:60]]
+    df = spark.createDataFrame(rows, SURVEY)
+    jobs = spark.createDataFrame([(g, "A", "B") for g in ("g0", "g1", "g9")], "graph_id string, source_condition string, target_condition string")
+    read = lambda x: sorted((r.graph_id, round(r.log_odds_ratio, 8), round(r.standard_error, 8)) for r in glm.adjusted_models(x, jobs, ["A", "B", "C"]).collect())
+    want = read(df.coalesce(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert read(df.repartition(9)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_q_is_over_all_models_and_ineligible_pairs_are_no_edges(spark):
+    rows = [("g", "A", b, "ok", p, True, 1.0, 0.5, 2.0, e) for b, p, e in (("B", 0.01, True), ("C", 0.02, False), ("D", 0.04, True), ("E", 0.9, False))]
+    m = spark.createDataFrame(rows, "graph_id string, source_condition string, target_condition string, model_status string, p_value double, converged boolean, log_odds_ratio double, confidence_low_log double, confidence_high_log double, pair_eligible boolean")
+    m = m.withColumn("reverse_log_odds_ratio", F.lit(1.0))
+    out = {r.target_condition: r for r in glm.adjusted_edges(m.drop("pair_eligible"), m).collect()}
+    assert [out[k].q_value for k in "BCDE"] == pytest.approx([0.04, 0.04, 0.16 / 3, 0.9])
+    assert [out[k].edge_present for k in "BCDE"] == [True, False, False, False]
+
+
+def test_no_jobs_give_typed_empty_results(spark):
+    df = spark.createDataFrame(survey(3, 50), SURVEY)
+    none = spark.createDataFrame([], "graph_id string, source_condition string, target_condition string, pair_eligible boolean")
+    models = glm.adjusted_models(df, none, ["A", "B", "C"])
+    edges = glm.adjusted_edges(models, none)
+    boot = glm.adjusted_bootstrap(df, none, ["A", "B", "C"], 20, 1)
+    assert models.collect() == edges.collect() == boot.collect() == glm.sign_stable(edges, boot, 0.9).collect() == []
+    assert dict(models.dtypes)["log_odds_ratio"] == "double" and dict(boot.dtypes)["bootstrap_replicates_valid"] == "int"
+
+
+def test_adjusted_queries_cover_all_pairs_and_states(spark):
+    from affinis.plans import QUERIES, graph_queries
+
+    d = "/root/testdata/sf0.001"
+    pairs = {tuple(r) for r in graph_queries.pair_table(spark, d).select("graph_id", "source_condition", "target_condition").collect()}
+    models = QUERIES["adjusted_logit"](spark, d).collect()
+    assert {(r.graph_id, r.source_condition, r.target_condition) for r in models} == pairs
