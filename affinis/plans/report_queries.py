@@ -221,3 +221,17 @@ def audit_stream(spark, d):
     name = f"totals_{folder[-32:]}"
     audit.start(stream, name, folder).awaitTermination()
     return spark.table(name).withColumn("weighted_population_estimate", r("weighted_population_estimate", 2))
+
+
+@registered(S.query("vrep", "SELECT 'discovery_support_fraction' AS field, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS doubled, count(*) FILTER (NOT coalesce(abs(frac - discovery_support_fraction) <= CAST(1e-12 AS DOUBLE), false)) AS mismatches FROM vrep"))
+def provenance_check(spark, d):
+    """The frozen support of motifs against that of another year: all but those of equal support differ."""
+    rep, words = M.replication(spark, d)
+    return protocol.provenance_violations(words, rep.select("motif_id", "replication_support_fraction"), "motif_id", {"replication_support_fraction": "discovery_support_fraction"})
+
+
+@registered(S.query("hyp", "SELECT CAST(0 AS BIGINT) AS doubled_ids, false AS wrong_order, CAST(0 AS BIGINT) AS wrong_signs, CAST(0 AS BIGINT) AS unknown_motifs, CAST(0 AS BIGINT) AS other_edges FROM hyp LIMIT 1"))
+def protocol_hypotheses(spark, d):
+    named = motifs.named(M.hypotheses(spark))
+    side = F.when(F.col("direction_sign") == 1, "lower").otherwise("higher")
+    return protocol.hypothesis_violations(named.withColumn("expected_enrichment", side), named.select("motif_id", "edge_list"))

@@ -23,8 +23,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select(*[F.when(~F.col(c).isin("NA", "<NA>"), F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:
-    """CSV parts with a header, missing values empty; Spark's commit makes the folder appear whole."""
+def write_csv(df: DataFrame, path: str, compress: bool = False, order: list[Column | str] | None = None, single: bool = False) -> None:
+    """CSV parts with a header, missing values empty; Spark's commit makes the folder appear whole.
+
+    With `order` rows are sorted over the parts, in the order of their names; with `single` there is one part (for
+    reports: one task writes it). Spark's gzip has no time stamp, so equal rows in order make equal bytes.
+    """
+    if single:
+        df = df.coalesce(1).sortWithinPartitions(*order) if order else df.coalesce(1)
+    elif order:
+        df = df.orderBy(*order)
     df.write.mode("overwrite").option("header", True).option("nullValue", "").option("compression", "gzip" if compress else "none").csv(path)
 
 
@@ -79,6 +87,65 @@ def graphml(graphs: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
     return df.select("graph_id", F.concat(head, F.coalesce(F.array_join("e", ""), F.lit("")), F.lit("</graph></graphml>")).alias("xml"))
 
 
+#: Attributes of nodes and edges in graph files; those of the last list are left out where they are null.
+NODE_ATTRIBUTES = ["prevalence", "n_valid", "n_cases"]
+EDGE_ATTRIBUTES = ["association", "estimator", "n_complete", "cooccurring_cases"]
+OPTIONAL_ATTRIBUTES = [
+    "odds_ratio", "reverse_odds_ratio", "confidence_low", "confidence_high", "q_value", "positive_stability", "stability_wilson_low", "stability_wilson_high", "p_phi_gt_zero", "p_phi_ge_012",
+    "bootstrap_phi_median", "bootstrap_phi_025", "bootstrap_phi_975", "selection_stability_wilson_low", "selection_stability_wilson_high",
+]
+
+
+def attributed(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, graph, nodes, links): each graph's attributes, its nodes and its present edges between them, as structs.
+
+    graphs: graph_id and attributes; nodes: graph_id, condition, NODE_ATTRIBUTES; edges: graph_id, pair, edge_present,
+    EDGE_ATTRIBUTES and any of OPTIONAL_ATTRIBUTES. Graphs without nodes or edges have empty lists.
+    """
+    label = F.initcap(F.replace("condition", F.lit("_"), F.lit(" ")))
+    node = F.struct(F.col("condition").alias("id"), label.alias("label"), *NODE_ATTRIBUTES)
+    listed = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    e = edges.where("edge_present")
+    for side in ("source_condition", "target_condition"):
+        e = e.join(nodes.select("graph_id", F.col("condition").alias(side)), ["graph_id", side], "left_semi")
+    more = [F.col(c).cast("double").alias(c) for c in OPTIONAL_ATTRIBUTES if c in edges.columns]
+    link = F.struct(F.col("source_condition").alias("source"), F.col("target_condition").alias("target"), *EDGE_ATTRIBUTES, *more)
+    linked = e.groupBy("graph_id").agg(F.sort_array(F.collect_list(link)).alias("links"))
+    own = graphs.select("graph_id", F.struct(*[F.col(c) for c in graphs.columns]).alias("graph"))
+    out = own.join(listed, "graph_id", "left").join(linked, "graph_id", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType))
+    return out.select("graph_id", "graph", empty("nodes").alias("nodes"), empty("links").alias("links"))
+
+
+def attributed_json(graphs: DataFrame) -> DataFrame:
+    """(graph_id, json) of attributed() graphs as node-link JSON; null attributes are left out."""
+    body = F.struct(F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), "graph", "nodes", F.col("links").alias("edges"))
+    return graphs.select("graph_id", F.to_json(body).alias("json"))
+
+
+def attributed_graphml(graphs: DataFrame) -> DataFrame:
+    """(graph_id, xml) of attributed() graphs as GraphML with typed keys; null attributes are left out."""
+    kinds = {"string": "string", "double": "double", "float": "double", "boolean": "boolean"}
+    fields = {"graph": graphs.schema["graph"].dataType.fields, "node": graphs.schema["nodes"].dataType.elementType.fields, "edge": graphs.schema["links"].dataType.elementType.fields}
+    named = {part: [f for f in fs if f.name not in ("id", "source", "target")] for part, fs in fields.items()}
+    keys = "".join(f'<key id="{part}_{f.name}" for="{part}" attr.name="{f.name}" attr.type="{kinds.get(f.dataType.simpleString(), "long")}"/>' for part, fs in named.items() for f in fs)
+
+    def text(c: Column) -> Column:
+        out = c.cast("string")
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    def data(part: str, x: Column) -> Column:
+        return F.concat(*[F.when(x[f.name].isNotNull(), F.concat(F.lit(f'<data key="{part}_{f.name}">'), text(x[f.name]), F.lit("</data>"))).otherwise("") for f in named[part]])
+
+    node = lambda x: F.concat(F.lit('<node id="'), text(x["id"]), F.lit('">'), data("node", x), F.lit("</node>"))
+    edge = lambda x: F.concat(F.lit('<edge source="'), text(x["source"]), F.lit('" target="'), text(x["target"]), F.lit('">'), data("edge", x), F.lit("</edge>"))
+    head = F.lit(f'<?xml version="1.0" encoding="utf-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">')
+    body = F.concat(data("graph", F.col("graph")), F.array_join(F.transform("nodes", node), ""), F.array_join(F.transform("links", edge), ""))
+    return graphs.select("graph_id", F.concat(head, body, F.lit("</graph></graphml>")).alias("xml"))
+
+
 # --- survey transport files (SAS XPORT, version 5) ---------------------------------------------------------
 
 
