@@ -75,7 +75,7 @@ def sketch(text: Column) -> Column:
     return F.coalesce(F.array_min(let(words(text), tri)), F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
-def boilerplate(docs: DataFrame, host: str, min_docs: int, share: float, by_class: bool = False) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, min_docs: int, share: float, by_class: bool = False, broadcast_lines: int = DEFAULTS["broadcast_lines"]) -> DataFrame:
     """(host, lines): hashes of the lines that more than min_docs and more than share of the host's documents have."""
     if by_class:
         own = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.struct(sketch(F.col("text"))).alias("doc")]
@@ -87,14 +87,16 @@ def boilerplate(docs: DataFrame, host: str, min_docs: int, share: float, by_clas
     size = lines.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
     over = lambda seen: seen.where(F.col("n") > min_docs).join(size, "host").where(F.col("n") > F.col("n_docs") * F.lit(share)).select("host", "line")
     by_rows = cut(over(lines.select("host", F.explode("hs").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))))
-    by_docs = lines.select("host", "doc", F.explode("hs").alias("line")).join(by_rows, ["host", "line"], "left_semi").distinct()
+    # few as a rule, and broadcast then: the holders of a common line do not meet in one task
+    few = by_rows.limit(broadcast_lines + 1).count() <= broadcast_lines
+    by_docs = lines.select("host", "doc", F.explode("hs").alias("line")).join(F.broadcast(by_rows) if few else by_rows, ["host", "line"], "left_semi").distinct()
     return over(by_docs.groupBy("host", "line").agg(F.count("*").alias("n"))).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def assess(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     """docs with the base counts, base_failed, kept_words, kept and clean_text (the text without boilerplate lines)."""
     o = DEFAULTS | options
-    lists = cut(boilerplate(docs, host, o["min_docs"], o["share"], o["by_class"]))
+    lists = cut(boilerplate(docs, host, o["min_docs"], o["share"], o["by_class"], o["broadcast_lines"]))
     size = lists.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("lines")).first()
     few = size["hosts"] <= o["broadcast_hosts"] and size["lines"] <= o["broadcast_lines"]
     text = F.coalesce(F.col("text"), F.lit(""))
