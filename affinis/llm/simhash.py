@@ -6,8 +6,8 @@ are classes of near-duplicates.
 
 1. Documents are hashed in Arrow batches; equal fingerprints are reduced to one row, with the smallest
    doc_id, before anything is compared.
-2. The 64 bits are cut into budget + 1 blocks: two linked fingerprints agree on one block at least. Each
-   fingerprint goes to one bucket per block. Buckets above `chunk` fingerprints are cut into chunks and
+2. The 64 bits are cut into budget + 2 blocks: two linked fingerprints agree on two blocks at least. Each
+   fingerprint goes to one bucket per pair of blocks, 2^20 to 2^22 buckets a pair. Buckets above `chunk` fingerprints are cut into chunks and
    dealt as pairs of chunks, so that none lands in one task whole.
 3. In each bucket the fingerprints form a binary trie, walked by pairs of nodes four bits at a time: pairs
    carry their differing bits and end as soon as these exceed the budget. Work is kept on a stack of
@@ -25,6 +25,7 @@ ignores other columns, `deduplicate` passes them, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ CHUNK = 20_000
 #: Node pairs held at once while a trie is walked.
 SLICE = 200_000
 STREAM_ROWS = 50_000
+#: Buckets above a chunk whose list may be broadcast (16 bytes each); a longer list is joined by shuffle.
+BROADCAST_BUCKETS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -75,8 +78,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of budget + 1 blocks of the 64 bits."""
-    n = budget + 1
+    """(lowest bit, width) of budget + 2 blocks of the 64 bits."""
+    n = budget + 2
     edges = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -173,11 +176,14 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def forest_edges(prints: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
     """(a, b): edges that span the linked distinct fingerprints of each bucket."""
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << width) - 1).alias("key")) for i, (lo, width) in enumerate(blocks(budget))])
-    dealt = prints.select("fp", F.explode(keys).alias("k")).select("fp", (F.col("k.block") * F.lit(1 << 20) + F.col("k.key")).alias("bucket"))
-    # at most (budget + 1) * 2^13 buckets exist, so those above chunk are few and may be broadcast
-    large = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
-    dealt = dealt.join(F.broadcast(large), "bucket", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    parts = [(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << width) - 1), width) for lo, width in blocks(budget)]
+    pairs = [F.shiftleft(x, m).bitwiseOR(y) for (x, _), (y, m) in combinations(parts, 2)]
+    top = 2 * max(width for _, width in parts)  # bits of the widest key; pairs and keys are told apart above and below it
+    buckets = F.array(*[F.lit(i << top).bitwiseOR(key) for i, key in enumerate(pairs)])
+    dealt = prints.select("fp", F.explode(buckets).alias("bucket"))
+    large = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("c")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large
+    dealt = dealt.join(large, "bucket", "left").withColumn("c", F.coalesce("c", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), "c").cast("int")).select("fp", "bucket", "c", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)

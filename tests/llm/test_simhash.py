@@ -65,9 +65,19 @@ def test_trie_finds_the_components_of_all_links():
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i in want for j in want)
 
 
-@pytest.mark.parametrize("chunk", [20_000, 7])
-def test_classes_match_brute_force(spark, chunk, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", chunk)
+def test_links_agree_on_two_blocks():
+    rng = random.Random(5)
+    for budget in (1, 4, 7):
+        cuts = simhash.blocks(budget)
+        assert sum(w for _, w in cuts) == 64 and len(cuts) == budget + 2
+        for _ in range(300):
+            d = sum(1 << b for b in rng.sample(range(64), budget))
+            assert sum(d >> lo & ((1 << w) - 1) == 0 for lo, w in cuts) >= 2
+
+
+@pytest.mark.parametrize(("chunk", "listed"), [(20_000, 500_000), (2, 500_000), (2, 0)])
+def test_classes_match_brute_force(spark, chunk, listed, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", listed)
     monkeypatch.setattr(simhash.forest_edges, "__defaults__", (4, chunk))
     rng = random.Random(3)
     vocab = ["w%d" % i for i in range(300)]
