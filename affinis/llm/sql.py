@@ -133,4 +133,49 @@ WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op4_warc": OP4, "op7_substring_dedup": OP7, "op1_top_k": OP1, "op8_mixing": OP8, "op9_quality_rules": OP9}
+
+def crc32_table() -> list[int]:
+    """What eight steps of the reflected polynomial 0xEDB88320 make of each byte."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+_CRC = f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(g) + 1), lambda i: CAST('0x' || h[2 * i - 1 : 2 * i] AS BIGINT))), lambda c, b: xor({crc32_table()}[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+def _grams(name: str, table: str) -> str:
+    """CTEs {name}_g (r, doc_id, n_words, g): a row for each run of one or two words of a text; g is null where there is none."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ident = "doc_id" if table == "documents" else "item_id AS doc_id"
+    return rf"""{name}_w AS (SELECT row_number() OVER () AS r, {ident}, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM {table}
+), {name}_g AS (
+  SELECT r, doc_id, len(ws) AS n_words, unnest(CASE WHEN len(ws) = 0 THEN [NULL] ELSE list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END) AS g FROM {name}_w
+)"""
+
+
+#: Each distinct string gets its CRC-32 once; the CRC is a fold over the bytes of its hexadecimal form.
+OP12 = f"""
+WITH {_grams("d", "documents")}, {_grams("b", "benchmark")}, strings AS (
+  SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM d_g WHERE g IS NOT NULL UNION SELECT g FROM b_g WHERE g IS NOT NULL)
+), coded AS (SELECT g, {_CRC} % 10000 AS bucket FROM strings
+), s AS (SELECT bucket, count(*) AS s FROM d_g JOIN coded USING (g) GROUP BY 1
+), t AS (SELECT bucket, count(*) AS t FROM b_g JOIN coded USING (g) GROUP BY 1
+), counts AS (
+  SELECT x AS bucket, CAST(coalesce(s, 0) AS DOUBLE) AS s, CAST(coalesce(t, 0) AS DOUBLE) AS t FROM range(10000) r(x) LEFT JOIN s ON s.bucket = x LEFT JOIN t ON t.bucket = x
+), gain AS (
+  SELECT bucket, floor(CAST(1000 AS DOUBLE) * ln(((t + 1) * (all_s + 10000)) / ((s + 1) * (all_t + 10000)))) AS gain FROM counts CROSS JOIN (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts)
+), weights AS (
+  SELECT r, doc_id, n_words, count(g) AS n_features, CAST(coalesce(floor(sum(gain) / nullif(CAST(count(g) AS DOUBLE), 0)), 0) AS BIGINT) AS weight
+  FROM d_g LEFT JOIN coded USING (g) LEFT JOIN gain USING (bucket) GROUP BY r, doc_id, n_words
+), scored AS (
+  SELECT *, weight + CAST(floor(CAST(-1000 AS DOUBLE) * ln(-ln((CAST('0x' || left(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weights
+), able AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS nth, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN nth <= 25 * n // 100 THEN nth END AS rank FROM scored LEFT JOIN able USING (r)
+"""
+
+
+ORACLE = {"op4_warc": OP4, "op7_substring_dedup": OP7, "op1_top_k": OP1, "op8_mixing": OP8, "op9_quality_rules": OP9, "op12_resampling": OP12}
