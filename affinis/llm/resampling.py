@@ -7,7 +7,7 @@ scores draws documents without replacement, with chances in proportion to exp(we
 
 By a dictionary of distinct features:
 
-1. Texts are worked on in runs of about 8 MB. A run's n-gram strings are counted by document, and each distinct
+1. Texts are worked on in runs of about 2 MB. A run's n-gram strings are counted by document, and each distinct
    string leaves once, with its documents and counts, in a block of its part (a hash of the string). A string
    that every document holds leaves once a run, so no part is hot.
 2. A part collects the strings of all runs in one dictionary, which hashes each distinct string once. Strings go
@@ -15,7 +15,8 @@ By a dictionary of distinct features:
 3. The table's counts by bucket give s, the target's texts t. The gains (one number a bucket: a fixed size) are
    broadcast and joined back to the per-document counts; sums of gains per document are added up over parts.
 
-Parts are as many as keep a dictionary at some DICTIONARY strings. Ranks come from counts by score (integers of
+Parts are as many as PART bytes of text ask for, within limits; a dictionary of more than DICTIONARY strings starts
+anew, so a worker's memory has a bound whatever the corpus (a string met again later is then hashed again). Ranks come from counts by score (integers of
 a bounded range), then from the order within one score; no task sorts all documents.
 
 Defined results: null or empty text, and text without a word, has no feature and weight 0, and is not drawn; a text
@@ -40,8 +41,8 @@ from affinis.llm import arrowwords as A
 from affinis.llm.common import cut, only
 
 BUCKETS, SIZES, SEED, PERCENT, LEAST_WORDS = 10_000, 2, 7, 25, 20
-#: Distinct strings of a run that a part's dictionary is meant to meet, and bytes of text that make one such string.
-DICTIONARY, BYTES_A_STRING = 1 << 20, 8
+#: Bytes of a run; distinct strings that a dictionary holds; bytes of text for each part, and most parts.
+RUN, DICTIONARY, PART, MOST_PARTS = 1 << 21, 1 << 20, 1 << 24, 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FIELDS = "first long, part int, strings binary, docs binary, rows array<struct<doc_id:long,n_features:long,n_words:long>>"
 
@@ -106,7 +107,7 @@ def _by_run(parts: int, sizes: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in A.runs(batch.column(2)):
+            for first, texts in A.runs(batch.column(2), RUN):
                 words, owner = A.words(texts, A.ALPHANUMERIC)
                 features, owners = ngrams(words, owner, sizes)
                 at, n = batch.column(0)[first].as_py(), len(texts)
@@ -152,6 +153,8 @@ def _dictionaries(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 if part != now:
                     now, known = part, {}
                 strings = pa.decompress(value[8:], decompressed_size=int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
+                if len(known) > DICTIONARY:
+                    known = {}
                 for s in strings:
                     if s not in known:
                         known[s] = crc32(s) % buckets
@@ -167,7 +170,7 @@ def feature_table(docs: DataFrame, sizes: int = SIZES, buckets: int = BUCKETS, p
     if parts is None:
         size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(least, -(-size // (BYTES_A_STRING * DICTIONARY)))
+        parts = max(least, min(MOST_PARTS, -(-size // PART)))
     rows = slim.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = rows.mapInArrow(_by_run(parts, sizes), _FIELDS)
     return cut(blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_dictionaries(buckets), _FIELDS))

@@ -80,6 +80,16 @@ def test_a_string_in_every_document_leaves_once_a_run(spark):
     assert got[zlib.crc32(b"hot line") % 10000] >= 3000
 
 
+def test_a_full_dictionary_starts_anew(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "DICTIONARY", 10)
+    table = resampling._dictionaries(10_000)
+    value = lambda *s: len(b"\n".join(s)).to_bytes(8, "little") + pa.compress(b"\n".join(s), codec="zstd", asbytes=True)
+    many = [b"w%d" % i for i in range(50)]
+    batch = pa.concat_tables([pa.Table.from_batches([resampling._batch([(i, 0, value(*many), b"", None)])]) for i in range(3)]).combine_chunks().to_batches()
+    for out in table(iter(batch)):
+        assert resampling.unpacked(out.column(2)[0].as_py())[0].tolist() == [zlib.crc32(x) % 10_000 for x in many]
+
+
 def test_query_agrees_with_sql(spark):
     import duckdb
 
