@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, langid, maxscore, mixing, pii, quality, resampling, simhash, substring, suffixes, warc
+from affinis.llm import bpe, langid, lm, maxscore, mixing, pii, quality, resampling, simhash, substring, suffixes, warc
 from affinis.llm.common import table
 
 
@@ -60,9 +60,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii, op4_warc, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup, op12_resampling)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii, op4_warc, op5_byte_bpe, op6_suffix_array_dedup, op7_substring_dedup, op8_mixing, op9_quality_rules, op10_simhash_near_dedup, op11_lm_scoring, op12_resampling)}
