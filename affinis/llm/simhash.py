@@ -18,7 +18,8 @@ are classes of near-duplicates.
 Defined results: null or empty text has no shingle, hence fingerprint zero, linked like any other; fewer
 than four words make one shingle; very long texts are hashed whole; repeated rows fall into one component; rows
 with a null doc_id link like others but never name a component (null where no member has an id), and
-`deduplicate` keeps them; it keeps all rows of the doc_id that stays; an empty table gives no rows; `classes`
+`deduplicate` keeps them. A document is a doc_id and a text: rows of one doc_id with texts of different classes stay or
+go apart, of texts of one class one stays, rows equal in both stay together. An empty table gives no rows; `classes`
 ignores other columns, `deduplicate` passes them, whatever their names.
 """
 
@@ -69,12 +70,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.array([fingerprint(x.as_py()) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints)], ["doc_id", "tag", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_hash_batches, "doc_id long, fp long")
+    """(doc_id, tag, fp): tag is the text's hash, fp the fingerprint as a signed long."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(_hash_batches, "doc_id long, tag long, fp long")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -217,13 +218,18 @@ def components(edges: DataFrame) -> DataFrame:
         stamp = now
 
 
-def classes(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id of the class."""
+def _rooted(docs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, fp) of every row, and (fp, first, root) of every fingerprint: its smallest document, and its class."""
     prints = cut(fingerprints(docs))
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")))
+    least = cut(prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))).alias("first")))
     roots = cut(components(forest_edges(least.select("fp"), budget)))
-    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    ids = cut(named.groupBy("root").agg(F.min("doc").alias("component_id")))
+    return prints, least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id of the class."""
+    prints, named = _rooted(docs, budget)
+    ids = cut(named.groupBy("root").agg(F.min("first.doc_id").alias("component_id")))
     named = cut(named.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -233,8 +239,10 @@ def hex16(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """docs without all but one document of each class: the one of the smallest doc_id."""
-    gone = classes(docs.select("doc_id", "text"), budget).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    """docs with one document of each class: the one of the smallest doc_id (and then of the smallest hash of its text)."""
+    first = _rooted(docs.select("doc_id", "text"), budget)[1].groupBy("root").agg(F.min("first").alias("first")).where("first IS NOT NULL")
+    stays = cut(first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.tag").alias("stay_tag")))
     own = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)])
-    kept = own.join(gone, F.col(f"in_{docs.columns.index('doc_id')}") == F.col("gone_id"), "left_anti")
+    doc, text = (F.col(f"in_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    kept = own.join(stays, (doc == F.col("stay_id")) & (F.xxhash64(text) == F.col("stay_tag")), "left").where(doc.isNull() | F.col("stay_id").isNotNull())
     return kept.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

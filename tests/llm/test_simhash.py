@@ -117,3 +117,27 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert got == sorted([("3", "1"), ("1", "1"), ("1", "1"), ("None", "1"), ("None", "None"), ("None", "None"), ("9", "8"), ("8", "8")])
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns and sorted(r.gone_id for r in kept.collect()) == [2, 3, 4, 5, 6, 8]
+
+
+A, B = "one two three four five six", "other words that nothing else here has"
+
+
+def test_a_text_stays_though_another_of_its_id_goes(spark):
+    rows = [(3, A), (7, A), (7, B), (9, B + " "), (8, "x y z"), (8, "x y z")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(3, A), (7, B), (8, "x y z"), (8, "x y z")]
+
+
+def test_one_text_of_a_class_stays_within_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    near = base.replace("w7 ", "changed ")
+    assert bin(naive_print(base) ^ naive_print(near)).count("1") <= 4
+    kept = simhash.deduplicate(spark.createDataFrame([(5, base), (5, near), (6, near)], "doc_id long, text string")).collect()
+    assert len(kept) == 1 and kept[0].doc_id == 5
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 5000} x{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, text[::-1])], "doc_id long, text string")
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.classes(docs).collect()}
+    assert got == {i: (naive_print(t), c) for i, t, c in ((1, text, 1), (2, text + " end", 1), (3, text[::-1], 3))}
