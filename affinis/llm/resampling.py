@@ -13,7 +13,7 @@ By a dictionary of distinct features:
 2. A part collects the strings of all runs in one dictionary, which hashes each distinct string once. Strings go
    no further: from here on a run's features are bucket numbers with documents and counts. This table is cut.
 3. The table's counts by bucket give s, the target's texts t. The gains (one number a bucket: a fixed size) are
-   broadcast and joined back to the per-document counts; sums of gains per document are added up over parts.
+   broadcast and joined back to the per-document counts; a run's sums of gains by document are added up over its parts.
 
 Parts are as many as PART bytes of text ask for, within limits; a dictionary of more than DICTIONARY strings starts
 anew, so a worker's memory has a bound whatever the corpus (a string met again later is then hashed again). Ranks come from counts by score (integers of
@@ -43,6 +43,8 @@ from affinis.llm.common import cut, only
 BUCKETS, SIZES, SEED, PERCENT, LEAST_WORDS = 10_000, 2, 7, 25, 20
 #: Bytes of a run; distinct strings that a dictionary holds; bytes of text for each part, and most parts.
 RUN, DICTIONARY, PART, MOST_PARTS = 1 << 21, 1 << 20, 1 << 24, 20_000
+#: Tasks that add up the tasks' bucket counts, an array each.
+ADDERS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FIELDS = "first long, part int, strings binary, docs binary, rows array<struct<doc_id:long,n_features:long,n_words:long>>"
 
@@ -71,6 +73,27 @@ def unpacked(value: bytes) -> list[np.ndarray]:
     return found
 
 
+def fronted(strings: pa.Array) -> bytes:
+    """Sorted strings without a newline as one value: the bytes each shares with the one before (16 at most), and the rest."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1, 4 * strings.offset).astype(np.int64)
+    raw = np.frombuffer(strings.buffers()[2], np.uint8)
+    size = np.diff(ends)
+    head = raw[np.minimum(ends[:-1, None] + np.arange(16), ends[-1] - 1)]
+    same = (head[1:] == head[:-1]) & (np.arange(16) < np.minimum(size[1:], size[:-1])[:, None])
+    shared = np.r_[0, np.cumprod(same, axis=1).sum(axis=1)]
+    keep = np.arange(ends[0], ends[-1]) >= np.repeat(ends[:-1] + shared, size)
+    return packed(shared, size - shared, raw[ends[0] : ends[-1]][keep])
+
+
+def unfronted(value: bytes) -> Iterator[bytes]:
+    shared, size, rest = unpacked(value)
+    rest, at, before = rest.tobytes(), 0, b""
+    for n, m in zip(shared.tolist(), size.tolist(), strict=True):
+        before = before[:n] + rest[at : at + m]
+        at += m
+        yield before
+
+
 def ngrams(words: pa.Array, owner: np.ndarray, sizes: int = SIZES) -> tuple[pa.Array, np.ndarray]:
     """(features, the text's number of each): runs of 1 to `sizes` words of one text, joined by a space."""
     found, owners, longer = [words], [owner], words
@@ -130,10 +153,8 @@ def _by_run(parts: int, sizes: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
                     lo, hi = np.searchsorted(string, [a, b])
-                    own = strings.slice(a, b - a)
-                    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), own), b"\n")[0].as_buffer()
                     docs = packed(np.bincount(string[lo:hi] - a, minlength=b - a), doc[lo:hi], times[lo:hi])
-                    yield _batch([(at, int(part[a]), len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True), docs, None)])
+                    yield _batch([(at, int(part[a]), fronted(strings.slice(a, b - a)), docs, None)])
 
     return run
 
@@ -152,13 +173,15 @@ def _dictionaries(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                     continue
                 if part != now:
                     now, known = part, {}
-                strings = pa.decompress(value[8:], decompressed_size=int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
                 if len(known) > DICTIONARY:
                     known = {}
-                for s in strings:
-                    if s not in known:
-                        known[s] = crc32(s) % buckets
-                ids = packed(np.fromiter(map(known.__getitem__, strings), np.int64, len(strings)))
+                ids = []
+                for s in unfronted(value):
+                    b = known.get(s)
+                    if b is None:
+                        b = known[s] = crc32(s) % buckets
+                    ids.append(b)
+                ids = packed(np.array(ids, np.int64))
                 yield _batch([(batch.column(0)[i].as_py(), part, ids, batch.column(3)[i].as_py(), None)])
 
     return run
@@ -181,17 +204,31 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for ids, docs in zip(batch.column(0), batch.column(1), strict=True):
             (bucket,), (each, _, times) = unpacked(ids.as_py()), unpacked(docs.as_py())
-            n = np.bincount(np.repeat(bucket, each), weights=times).astype(np.int64)
-            if len(n) > len(total):
-                total = np.r_[total, np.zeros(len(n) - len(total), np.int64)]
-            total[: len(n)] += n
+            total = _plus(total, np.bincount(np.repeat(bucket, each), weights=times).astype(np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([len(total)], pa.int32()), pa.array([packed(total)], pa.binary())], ["k", "counts"])
+
+
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for counts in batch.column(1):
+            total = _plus(total, unpacked(counts.as_py())[0].astype(np.int64))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
 
 def bucket_counts(features: DataFrame) -> DataFrame:
-    """(bucket, n) of a feature_table()."""
-    return features.where("rows IS NULL").select("strings", "docs").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    """(bucket, n) of a feature_table(): one array a task, added up in a few tasks, then by bucket."""
+    arrays = features.where("rows IS NULL").select("strings", "docs").mapInArrow(_bucket_counts, "k int, counts binary")
+    few = arrays.withColumn("k", F.pmod(F.xxhash64("counts"), F.lit(ADDERS)).cast("int")).repartition(ADDERS, "k").mapInArrow(_add_counts, "bucket int, n long")
+    return few.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -206,7 +243,10 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
 
 
 def weighted(features: DataFrame, gain: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, n_features, n_words, weight): gains joined back to per-document counts, the mean floored."""
+    """(doc_id, n_features, n_words, weight): gains joined back to per-document counts, the mean floored.
+
+    Each block leaves its documents' sums as one row; a run's sums and its documents then meet in one task.
+    """
     table = np.zeros(buckets, np.int64)
     for r in gain.collect():  # one row a bucket
         table[r.bucket] = r.gain
@@ -214,17 +254,38 @@ def weighted(features: DataFrame, gain: DataFrame, buckets: int = BUCKETS) -> Da
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, ids, docs in zip(*(batch.column(i) for i in range(3)), strict=True):
-                (bucket,), (each, doc, times) = unpacked(ids.as_py()), unpacked(docs.as_py())
+            firsts, listed = batch.column(0), batch.column(3)
+            for i in range(batch.num_rows):
+                if listed[i].is_valid:
+                    yield pa.RecordBatch.from_arrays([firsts.slice(i, 1), pa.nulls(1, pa.binary()), listed.slice(i, 1)], ["first", "sums", "rows"])
+                    continue
+                (bucket,), (each, doc, times) = unpacked(batch.column(1)[i].as_py()), unpacked(batch.column(2)[i].as_py())
                 total = np.bincount(doc, weights=shipped.value[np.repeat(bucket, each)] * times.astype(np.int64)).astype(np.int64)
                 seen = np.flatnonzero(np.bincount(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(first.as_py() + seen), pa.array(total[seen])], ["row", "total"])
+                value = packed(np.diff(seen, prepend=0), np.maximum(total[seen], 0), np.maximum(-total[seen], 0))
+                yield pa.RecordBatch.from_arrays([firsts.slice(i, 1), pa.array([value], pa.binary()), pa.nulls(1, listed.type)], ["first", "sums", "rows"])
 
-    per_row = features.where("rows IS NULL").select("first", "strings", "docs").mapInArrow(sums, "row long, total long").groupBy("row").agg(F.sum("total").alias("total"))
-    docs = features.where("rows IS NOT NULL").select("first", F.posexplode("rows").alias("i", "x")).select((F.col("first") + F.col("i")).alias("row"), "x.*")
-    total = F.coalesce("total", F.lit(0))
-    weight = F.when(F.col("n_features") > 0, F.floor((total - F.pmod(total, F.col("n_features"))) / F.col("n_features"))).otherwise(0)
-    return docs.join(per_row, "row", "left").select("doc_id", "n_features", "n_words", weight.cast("long").alias("weight"))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0, np.int64)  # of a run whose documents come after its blocks
+        for batch in batches:
+            for first, value, rows in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if first.as_py() != now:
+                    now, total = first.as_py(), np.zeros(0, np.int64)
+                if value.is_valid:
+                    gap, up, down = unpacked(value.as_py())
+                    own = np.zeros(int(gap.sum()) + 1, np.int64)
+                    own[np.cumsum(gap, dtype=np.int64)] = up.astype(np.int64) - down.astype(np.int64)
+                    total = _plus(total, own)
+                    continue
+                docs = rows.values
+                n = docs.field(1).to_numpy()
+                weight = np.where(n > 0, _plus(total, np.zeros(len(n), np.int64)) // np.maximum(n, 1), 0)
+                yield pa.RecordBatch.from_arrays([docs.field(0), docs.field(1), docs.field(2), pa.array(weight)], ["doc_id", "n_features", "n_words", "weight"])
+
+    kind = features.schema["rows"].dataType.simpleString()
+    blocks = features.select("first", "strings", "docs", "rows").mapInArrow(sums, f"first long, sums binary, rows {kind}")
+    runs = blocks.repartition("first").sortWithinPartitions("first", F.col("rows").isNotNull())
+    return runs.mapInArrow(added, "doc_id long, n_features long, n_words long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:

@@ -83,9 +83,8 @@ def test_a_string_in_every_document_leaves_once_a_run(spark):
 def test_a_full_dictionary_starts_anew(spark, monkeypatch):
     monkeypatch.setattr(resampling, "DICTIONARY", 10)
     table = resampling._dictionaries(10_000)
-    value = lambda *s: len(b"\n".join(s)).to_bytes(8, "little") + pa.compress(b"\n".join(s), codec="zstd", asbytes=True)
-    many = [b"w%d" % i for i in range(50)]
-    batch = pa.concat_tables([pa.Table.from_batches([resampling._batch([(i, 0, value(*many), b"", None)])]) for i in range(3)]).combine_chunks().to_batches()
+    many = sorted(b"w%d" % i for i in range(50))
+    batch = pa.concat_tables([pa.Table.from_batches([resampling._batch([(i, 0, resampling.fronted(pa.array(many, pa.binary())), b"", None)])]) for i in range(3)]).combine_chunks().to_batches()
     for out in table(iter(batch)):
         assert resampling.unpacked(out.column(2)[0].as_py())[0].tolist() == [zlib.crc32(x) % 10_000 for x in many]
 
@@ -119,3 +118,9 @@ def test_words_of_runs(limit):
 def test_packed_arrays():
     arrays = [np.array([], np.int64), np.array([0, 3, 70000]), np.arange(10)]
     assert all((a == b).all() for a, b in zip(arrays, resampling.unpacked(resampling.packed(*arrays)), strict=True))
+
+
+def test_strings_without_their_common_beginnings():
+    strings = sorted({b"a", b"ab", b"abc", b"b", "é x".encode(), "éx".encode(), b"long words share much, but 16 bytes at most", b"long words share much, and more", b"\xff" * 40})
+    array = pa.array([b"zz", *strings, b"q"], pa.binary()).slice(1, len(strings))
+    assert list(resampling.unfronted(resampling.fronted(array))) == strings
