@@ -2,7 +2,8 @@
 
 1. Words of the training documents are counted: by run of texts on the map side, then over the corpus. The table
    is cut; N, V and the masses of the tail's classes are aggregates of it. It grows with the corpus and stays
-   distributed; only its KNOWN most frequent words (ties by word), with their counts, are broadcast: a fixed number.
+   distributed; only its most frequent words with their counts are broadcast, as many whole levels of frequency
+   (eighths of an octave) as hold KNOWN words at most.
 2. The HEAD most frequent tokens, the end of a text among them, are tokens of the network (recurrent.py); other words
    fall into the classes of the tail and have their share of the class's counts, an unknown word the share of one.
 3. Training: documents are dealt to ROUNDS passes by hash, so that each is learned from once, whole. In a pass
@@ -106,7 +107,15 @@ def laid_out(owner: np.ndarray, token: np.ndarray, texts: int, end: int) -> tupl
 def vocabulary(counts: DataFrame, texts: int, head: int = HEAD, known: int = KNOWN) -> Vocabulary:
     """counts: word_counts(), cut; texts: number of training documents."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(known).collect()  # a fixed number of words
+    level = F.floor(F.log2("c") * 8)
+    least, held = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # 8 for each doubling of a count
+        held += r["count"]
+        if held > known:
+            break
+        least = r.level
+    top = counts.where(level >= least).collect() if least is not None else []  # KNOWN words at most
+    top = sorted(top, key=lambda r: (-r.c, bytes(r.word)))
     v = Vocabulary([bytes(r.word) for r in top], np.array([r.c for r in top], np.int64), texts, total.n + texts, total.v + (texts > 0), head)
     shipped = counts.sparkSession.sparkContext.broadcast(v)
 

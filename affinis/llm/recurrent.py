@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, WINDOW, LANES = 16, 32, 256
+HIDDEN, WINDOW, LANES = 16, 32, 512
 RATE, RATE_INNER = 0.05, 0.02
 #: Words of the tail by bytes of their form: up to 4, 7, 10 or more, with or without other than ASCII.
 TAIL_CLASSES = 8

@@ -49,7 +49,8 @@ def base_rows(got):
 def random_docs(n, size=60, seed=3):
     rng = np.random.default_rng(seed)
     vocabulary = ["The", "ça", "x,", "日本", "\x00"] + [f"word{i}" for i in range(80)]
-    return [(i, " ".join(rng.choice(vocabulary, rng.integers(0, size)))) for i in range(n)]
+    chance = 1 / np.arange(1, len(vocabulary) + 1)
+    return [(i, " ".join(rng.choice(vocabulary, rng.integers(0, size), p=chance / chance.sum()))) for i in range(n)]
 
 
 def test_counts_and_base_score_on_edges(spark):
@@ -69,6 +70,15 @@ def test_empty_table_and_no_training(spark):
     assert np.isfinite(got.score).all() and (got.score < 0).all()
 
 
+def test_known_words_are_whole_levels(spark):
+    words = {"a": 100, "b": 60, "c": 60, "d": 3, "e": 3, "f": 3, "g": 1}
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in words.items()], "word binary, c long")
+    for known, want in ((100, "abcdefg"), (6, "abcdef"), (5, "abc"), (2, "a"), (0, "")):
+        v = lm.vocabulary(counts, 4, known=known)
+        assert v.known.to_pylist() == [x.encode() for x in want] and (v.n, v.v) == (234, 8)
+        assert v.shape.tail_mass[0] == 1 + sum(n + 1 for w, n in words.items() if w not in want)
+
+
 def test_broadcast_size_does_not_change_the_model(spark):
     docs = random_docs(50)
     a, b = (score(spark, docs, known=k, head=12, rounds=(1,), hidden=4).sort_values(["doc_id"]) for k in (65536, 20))
