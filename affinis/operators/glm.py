@@ -80,10 +80,15 @@ def design_matrix(x: np.ndarray, *factors: tuple[np.ndarray, list[str]]) -> np.n
     return np.column_stack(cols)
 
 
-def irls(X: np.ndarray, y: np.ndarray, W: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(coefficients, information, converged, solvable) of weighted logistic regressions, one for each column of weights."""
+def irls(X: np.ndarray, y: np.ndarray, W: np.ndarray, start: np.ndarray | None = None, counted: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, information, converged, solvable) of weighted logistic regressions, one for each column of weights.
+
+    start: coefficients that all of them begin with; counted gets the number of models of each iteration.
+    """
     n, k = W.shape[1], X.shape[1]
     beta, info = np.zeros((n, k)), np.zeros((n, k, k))
+    if start is not None:
+        beta += start
     converged, solvable = np.zeros(n, bool), W.any(axis=0)
     W = (W / np.maximum(W.mean(axis=0), 1e-300)).T
     outer = (X[:, :, None] * X[:, None, :]).reshape(len(X), k * k)
@@ -91,6 +96,8 @@ def irls(X: np.ndarray, y: np.ndarray, W: np.ndarray) -> tuple[np.ndarray, np.nd
         at = np.flatnonzero(solvable & ~converged)
         if not len(at):
             break
+        if counted is not None:
+            counted.append(len(at))
         mu = 1 / (1 + np.exp(-np.clip(beta[at] @ X.T, -30, 30)))
         info[at] = ((W[at] * mu * (1 - mu)) @ outer).reshape(-1, k, k)
         ok = np.linalg.matrix_rank(info[at], tol=1e-12, hermitian=True) == k
@@ -103,6 +110,19 @@ def irls(X: np.ndarray, y: np.ndarray, W: np.ndarray) -> tuple[np.ndarray, np.nd
     return beta, info, converged, solvable
 
 
+def refits(X: np.ndarray, y: np.ndarray, W: np.ndarray, counted: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, solvable) of the replicates of one model: all begin where their mean weights lead.
+
+    A replicate that doesn't converge from there, or can't be solved, is fitted from zero.
+    """
+    mean = irls(X, y, W.mean(axis=1, keepdims=True))
+    beta, _, converged, solvable = irls(X, y, W, mean[0][0] if mean[2][0] else None, counted)
+    again = np.flatnonzero(W.any(axis=0) & ~(converged & solvable))
+    if mean[2][0] and len(again):
+        beta[again], _, _, solvable[again] = irls(X, y, W[:, again], None, counted)
+    return beta, solvable
+
+
 class Domain:
     """Answer patterns of a population that count for a pair: complete in both conditions and in the covariates."""
 
@@ -334,7 +354,7 @@ def adjusted_bootstrap(df: DataFrame, jobs: DataFrame, conditions: list[str], re
             cell, of = np.unique(np.column_stack([X, y])[at], axis=0, return_inverse=True)
             W = np.zeros((len(cell), sums.shape[1]))
             np.add.at(W, of.ravel(), sums[at])
-            beta, _, _, solvable = irls(cell[:, :-1], cell[:, -1], W) if len(cell) else (np.zeros((sums.shape[1], 2)), None, None, np.zeros(sums.shape[1], bool))
+            beta, solvable = refits(cell[:, :-1], cell[:, -1], W) if len(cell) else (np.zeros((sums.shape[1], 2)), np.zeros(sums.shape[1], bool))
             values = [float(v) if ok and np.isfinite(v) else None for v, ok in zip(beta[:, 1], solvable, strict=True)]
             rows.append((graph, a, b, part, values))
         if rows:

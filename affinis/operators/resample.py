@@ -19,7 +19,7 @@ from affinis.sources.bridge import CONDITIONS
 KEYS = association.PAIR_KEYS
 DESIGN = ["state_code", "survey_strata", "survey_psu"]
 #: Replicates whose sums a task holds at once.
-CHUNK = 50
+CHUNK = 250
 
 
 def psu_draws(df: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -61,41 +61,79 @@ def random_draws(df: DataFrame, replicates: int, seed: int, chunk: int = CHUNK)
     return jobs.groupBy("state_code", "survey_strata", "chunk").applyInPandas(draw, f"{kinds}, reps array<short>, times array<short>")
 
 
+def numbered(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct pattern, the pattern's number of each row), column by column without a tuple a row."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        own = c.dictionary_encode(null_encoding="encode")
+        code = np.unique(code, return_inverse=True)[1] * len(own.dictionary) + own.indices.to_numpy(zero_copy_only=False)
+    return np.unique(code, return_index=True, return_inverse=True)[1:]
+
+
+class _Sums:
+    """Sums of weights by answer pattern and replicate of one population and chunk of replicates."""
+
+    def __init__(self, chunk: int):
+        self.known: dict[tuple, int] = {}
+        self.sums = np.zeros((64, chunk))
+
+    def add(self, columns: list[pa.Array], w: np.ndarray, psu: np.ndarray, times: np.ndarray) -> None:
+        """Cells of PSU rows of `times` (PSUs x replicates)."""
+        first, number = numbered(columns)
+        distinct = zip(*(c.take(pa.array(first)).to_pylist() for c in columns), strict=True)
+        place = np.array([self.known.setdefault(p, len(self.known)) for p in distinct])
+        if len(self.known) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(self.known) - len(self.sums)), self.sums.shape[1]))])
+        order = np.argsort(number, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
+        self.sums[place] += np.add.reduceat(w[order, None] * times[psu[order]], starts, axis=0)
+
+
 def over_replicates(cells: DataFrame, draws: DataFrame, patterns: list[str], finish: Callable[[str, int, list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], schema: str, chunk: int = CHUNK) -> DataFrame:
     """finish(graph_id, chunk, columns of its answer patterns, patterns x replicates of weight sums) of each population and chunk.
 
-    cells: graph_id, design, patterns, w; draws: packed(). Cells meet their PSU's draws in a join; a population's
-    cells of one chunk then stream through a task, which holds the sums of its answer patterns and no rows, so
-    what it holds doesn't grow with the respondents.
+    cells: graph_id, design, patterns, w; draws: packed(). A PSU's draws are sent once to each of its populations and
+    chunks, ahead of the PSU's cells, and the cells go as they are, once a chunk. They stream through a task that
+    holds the sums of its answer patterns and no rows, so what it holds doesn't grow with the respondents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, sums = None, {}, np.zeros((0, chunk))
+        now, held, last = None, None, np.zeros((1, chunk))  # last: the draws of the PSU that the batch before ended in
 
         def done() -> Iterator[pa.RecordBatch]:
-            if now is not None and known:
-                yield from finish(now[0], now[1], [np.array(c) for c in zip(*known, strict=True)], sums[: len(known)])
+            if now is not None and held.known:
+                yield from finish(now[0], now[1], [np.array(c) for c in zip(*held.known, strict=True)], held.sums[: len(held.known)])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             graph, part = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             codes = np.unique(graph, return_inverse=True)[1]
-            edges = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])][: len(part)])
+            edges = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])])
             for first, stop in zip(edges, np.r_[edges[1:], len(part)], strict=True):
                 if now != (graph[first], int(part[first])):
                     yield from done()
-                    now, known, sums = (graph[first], int(part[first])), {}, np.zeros((64, chunk))
+                    now, held = (graph[first], int(part[first])), _Sums(chunk)
                 piece = batch.slice(first, stop - first)
-                pattern = list(zip(*(piece.column(2 + i).to_pylist() for i in range(len(patterns))), strict=True))
-                at = np.array([known.setdefault(p, len(known)) for p in pattern])
-                if len(known) > len(sums):
-                    sums = np.concatenate([sums, np.zeros((max(len(sums), len(known) - len(sums)), chunk))])
-                w, reps, times = piece.column(2 + len(patterns)).to_numpy(), piece.column(3 + len(patterns)), piece.column(4 + len(patterns))
-                row = np.repeat(np.arange(len(piece)), reps.value_lengths().to_numpy())
-                np.add.at(sums, (at[row], reps.flatten().to_numpy()), w[row] * times.flatten().to_numpy())
+                w, reps, drawn = (piece.column(len(patterns) + i) for i in (2, 3, 4))
+                head = w.is_null().to_numpy(zero_copy_only=False)  # a PSU's draws
+                times = np.concatenate([last, np.zeros((int(head.sum()), chunk))])
+                lists = reps.filter(pa.array(head))
+                times[np.repeat(np.arange(1, len(times)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = drawn.filter(pa.array(head)).flatten().to_numpy()
+                cell = np.flatnonzero(~head)
+                if len(cell):
+                    at = pa.array(cell)
+                    held.add([piece.column(2 + i).take(at) for i in range(len(patterns))], w.take(at).to_numpy(), np.cumsum(head)[cell], times)
+                last = times[-1:]
         yield from done()
 
-    rows = cells.join(draws, DESIGN).select("graph_id", "chunk", *patterns, "w", "reps", "times")
-    return rows.repartition("graph_id", "chunk").sortWithinPartitions("graph_id", "chunk").mapInArrow(run, schema)
+    parts = draws.select("chunk").distinct()  # replicates / CHUNK rows
+    each = cells.select("graph_id", *DESIGN).distinct().crossJoin(F.broadcast(parts)).join(draws, [*DESIGN, "chunk"], "left")
+    none = F.array().cast("array<short>")
+    ahead = each.select("graph_id", "chunk", *[F.lit(None).cast(cells.schema[p].dataType).alias(p) for p in patterns], F.lit(None).cast("double").alias("w"), F.coalesce("reps", none).alias("reps"), F.coalesce("times", none).alias("times"), *DESIGN)
+    rows = ahead.union(cells.crossJoin(F.broadcast(parts)).select("graph_id", "chunk", *patterns, F.col("w").cast("double"), F.lit(None).cast("array<short>"), F.lit(None).cast("array<short>"), *DESIGN))
+    rows = rows.repartition("graph_id", "chunk").sortWithinPartitions("graph_id", "chunk", *DESIGN, F.col("w").isNotNull())
+    return rows.drop(*DESIGN).mapInArrow(run, schema)
 
 
 def pattern_phi(case: np.ndarray, seen: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
