@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 from affinis.functions.columns import kish, number, ratio, valid_weight
 from affinis.operators.association import masked
+from affinis.operators.units import read
 
 PROFILE = ["state_code", "ses_category", "weight_ok", "case_mask", "seen_mask", "missing_mask"]
 SUMS = ["n", "sw", "sw2"]
-REPORT = ["report", "geography_code", "item", "n", "n_missing", "n_cases", "weight", "kish_effective_n", "value", "status"]
+PARTS = "state_code string, ses_category string, weight_ok boolean, case_mask int, seen_mask int, missing_mask long, n long, sw double, sw2 double, batch_id long"
+KINDS = {"geography_code": "string", "item": "string", "n": "long", "n_missing": "long", "n_cases": "long", "weight": "double", "kish_effective_n": "double", "value": "double", "status": "string"}
+REPORT = ["report", *KINDS]
+REPORTS = ", ".join(f"{c} {t}" for c, t in [*KINDS.items(), ("report", "string")])
 
 
 def running_state_sizes(stream: DataFrame) -> DataFrame:
@@ -42,7 +46,8 @@ def profiles(rows: DataFrame, conditions: list[str], items: list[str]) -> DataFr
     missing = F.lit(0).cast("long")
     for i, c in enumerate(items):
         missing = missing + F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i)).otherwise(0)
-    df = masked(rows, conditions).withColumns({"weight_ok": ok, "missing_mask": missing, "w": w, "state_code": F.col("state_code").cast("string")})
+    df = masked(rows, conditions)
+    df = df.withColumns({c: F.col(c).cast("int") for c in ("case_mask", "seen_mask")}).withColumns({"weight_ok": ok, "missing_mask": missing, "w": w, "state_code": F.col("state_code").cast("string")})
     return df.groupBy(*PROFILE).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"))
 
 
@@ -62,7 +67,8 @@ def adder(conditions: list[str], items: list[str], table: str, survey: Callable[
 
 
 def total(spark: SparkSession, table: str) -> DataFrame:
-    return added(spark.read.parquet(table))
+    """The sum of all batches written so far."""
+    return added(read(spark, table, PARTS))
 
 
 def _bits(names: list[str]) -> Column:
@@ -70,8 +76,7 @@ def _bits(names: list[str]) -> Column:
 
 
 def _shaped(df: DataFrame, report: str, **values: Column) -> DataFrame:
-    kinds = {"geography_code": "string", "item": "string", "n": "long", "n_missing": "long", "n_cases": "long", "weight": "double", "kish_effective_n": "double", "value": "double", "status": "string"}
-    own = [values.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+    own = [values.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in KINDS.items()]
     return df.select(F.lit(report).alias("report"), *own)
 
 

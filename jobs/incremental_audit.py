@@ -19,6 +19,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.operators import units
 from affinis.sources.files import digest
 from affinis.sources.settings import read_mapping
 from affinis.streaming import audit
@@ -55,7 +56,7 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
     found = audit.reports(audit.total(spark, profiles), conditions, items, config["least_prevalence"], config["most_missing"])
     found = found.repartition("report").sortWithinPartitions("report", "geography_code", "item")
     found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report").parquet(f"{output}/audit")
-    out = spark.read.parquet(f"{output}/audit").select(*audit.REPORT)
+    out = units.read(spark, f"{output}/audit", audit.REPORTS).select(*audit.REPORT)
     log.info("wrote %d rows of reports to %s/audit", out.count(), output)
     return out
 
