@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -71,25 +73,91 @@ def hash_signs(spark: SparkSession, states: DataFrame, permutations: int, seed:
     return perms.crossJoin(F.broadcast(states.select("geography_code").distinct())).withColumn("sign", F.when(F.substring(h, 1, 1) >= "8", 1.0).otherwise(-1.0))
 
 
+@dataclass(frozen=True)
+class PcgSigns:
+    """Signs (permutation x state in ascending order) of PCG64: the same bits for the same seed, whatever block is drawn.
+
+    A sign is the top bit of a byte of the generator's stream, so a task can go straight to its own block.
+    """
+
+    states: tuple[int, ...]
+    permutations: int
+    seed: int
+
+    def block(self, first: int, stop: int) -> np.ndarray:
+        """int8 signs of permutations first to stop - 1, counted from 0."""
+        n = len(self.states)
+        before, size = divmod(first * n, 8)[0], (stop - first) * n
+        skip = first * n - 8 * before
+        words = np.random.PCG64(self.seed).advance(before).random_raw(-(-(skip + size) // 8))
+        drawn = np.atleast_1d(words).astype("<u8").view(np.uint8)[skip : skip + size]
+        return (drawn >> 7).astype(np.int8).reshape(stop - first, n) * 2 - 1
+
+
+@dataclass(frozen=True)
+class HashSigns:
+    """Signs that any engine draws alike: + where the first hex digit of md5(seed|permutation|state) is 8 or more."""
+
+    states: tuple[int, ...]
+    permutations: int
+    seed: int
+
+    def block(self, first: int, stop: int) -> np.ndarray:
+        up = [md5(f"{self.seed}|{p}|{s}".encode()).digest()[0] >= 128 for p in range(first + 1, stop + 1) for s in self.states]
+        return np.array(up, np.int8).reshape(stop - first, len(self.states)) * 2 - 1
+
+
+@dataclass(frozen=True)
+class TableSigns:
+    """Signs given as a matrix."""
+
+    states: tuple[int, ...]
+    matrix: np.ndarray
+
+    @property
+    def permutations(self) -> int:
+        return len(self.matrix)
+
+    def block(self, first: int, stop: int) -> np.ndarray:
+        return self.matrix[first:stop]
+
+
+Signs = PcgSigns | HashSigns | TableSigns
+
+
+def state_list(pairs: DataFrame) -> tuple[int, ...]:
+    """The states of a table in order: a dimension."""
+    return tuple(sorted(r[0] for r in pairs.select("geography_code").distinct().collect()))
+
+
 def sign_bank(states: list[int], permutations: int, seed: int) -> np.ndarray:
-    """Signs (permutation x state in ascending order) of PCG64: the same bits for the same seed, always."""
+    """The whole bank of PcgSigns."""
     if len(set(states)) != len(states):
         raise ValueError("state codes must be unique")
-    draws = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, size=(permutations, len(states)), dtype=np.int8)
-    return draws * 2 - 1
+    return PcgSigns(tuple(sorted(states)), permutations, seed).block(0, permutations)
 
 
 def bank_frame(spark: SparkSession, states: list[int], permutations: int, seed: int) -> DataFrame:
-    """The sign bank as (permutation, geography_code, sign), made from its seed in one small table of arrays."""
-    bank = sign_bank(states, permutations, seed)
-    rows = spark.createDataFrame([(i + 1, [int(x) for x in row]) for i, row in enumerate(bank)], "permutation int, signs array<int>")
-    order = sorted(states)
-    codes = F.array(*map(F.lit, order))
-    return rows.select("permutation", F.posexplode("signs").alias("i", "sign")).select("permutation", F.get(codes, F.col("i")).alias("geography_code"), F.col("sign").cast("double").alias("sign"))
+    """The sign bank as (permutation, geography_code, sign): each task draws its own blocks of the stream."""
+    if len(set(states)) != len(states):
+        raise ValueError("state codes must be unique")
+    signs = PcgSigns(tuple(sorted(states)), permutations, seed)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(signs.states)
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                first, stop = i * FLIPS, min((i + 1) * FLIPS, permutations)
+                numbers = np.repeat(np.arange(first + 1, stop + 1, dtype=np.int32), n)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.tile(np.array(signs.states, np.int32), stop - first)), pa.array(signs.block(first, stop).ravel().astype(float))], ["permutation", "geography_code", "sign"])
+
+    return spark.range(-(-permutations // FLIPS)).mapInArrow(draw, "permutation int, geography_code int, sign double")
 
 
 #: Rows of differences, and permutations, of one matrix product.
 ROWS, FLIPS = 256, 4096
+#: Differences (rows x states) that may be broadcast to tasks that share out the permutations; 8 bytes each.
+BROADCAST_CELLS = 1 << 22
 
 
 def _t_rounded(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -113,19 +181,29 @@ def sign_matrix(signs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return states, out
 
 
-def flip_counts(res: DataFrame, signs: DataFrame, keys: list[str]) -> DataFrame:
+def as_signs(signs: Signs | DataFrame) -> Signs:
+    if not isinstance(signs, DataFrame):
+        return signs
+    states, matrix = sign_matrix(signs)
+    return TableSigns(tuple(states.tolist()), matrix)
+
+
+def flip_counts(res: DataFrame, signs: Signs | DataFrame, keys: list[str]) -> DataFrame:
     """keys, t0, hits and, on some rows, tops: sign flips of the differences as products of blocks with the sign matrix.
 
     res: keys, geography_code, difference, side. The statistic is |t| for side 0, else side * t; hits are the
     permutations that reach the observed one, tops the largest statistic of each permutation in a block of rows.
-    The sums of squares don't change with signs. The sign matrix is broadcast: permutations x states bytes.
+    The sums of squares don't change with signs. Signs are drawn in the task, block by block.
     """
-    states, bank = sign_matrix(signs)
-    shipped = res.sparkSession.sparkContext.broadcast((states, bank))
+    drawn = as_signs(signs)
+    shipped = res.sparkSession.sparkContext.broadcast(drawn) if isinstance(drawn, TableSigns) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flips = shipped.value
+        own = shipped.value if shipped else drawn
+        known, blocks = np.array(own.states), None
         for batch in batches:
+            if blocks is None and batch.num_rows:  # int8: permutations x states bytes
+                blocks = [own.block(p, min(p + FLIPS, own.permutations)) for p in range(0, own.permutations, FLIPS)]
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
                 lists = part.column(len(keys) + 1)
@@ -139,8 +217,8 @@ def flip_counts(res: DataFrame, signs: DataFrame, keys: list[str]) -> DataFrame:
                 stat = lambda total, side=side, n=n, squares=squares: (lambda t: np.where(side == 0, np.abs(t), side * t))(_t_rounded(np.maximum(n, 1), total, squares))
                 t0 = stat(d @ np.ones((len(known), 1)))
                 hits, tops = np.zeros(len(part), np.int64), []
-                for p in range(0, len(flips), FLIPS):
-                    t = stat(d @ flips[p : p + FLIPS].T.astype(float))
+                for flips in blocks:
+                    t = stat(d @ flips.T.astype(float))
                     hits += (t >= t0).sum(axis=1)
                     tops.append(t.max(axis=0))
                 top = [np.concatenate(tops) if tops else np.array([])] + [None] * (len(part) - 1)
@@ -155,8 +233,54 @@ def mcse(p: Column, permutations: int) -> Column:
     return F.sqrt(p * (1 - p) / (permutations + 1))
 
 
-def permutation_test(res: DataFrame, signs: DataFrame, permutations: int, keys: list[str]) -> DataFrame:
-    """Two-sided p by shared sign flips, and by the largest |t| of each permutation; ties count as exceedances."""
+def _matrix(res: DataFrame, keys: list[str], states: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(key columns, rows x states of differences, number of each row's states) of a table of at most BROADCAST_CELLS rows."""
+    table = res.select(*keys, F.col("geography_code").cast("long"), F.col("difference").cast("double")).toArrow().combine_chunks()
+    table = table.sort_by([(k, "ascending") for k in keys])
+    codes = [np.unique(table.column(k).to_pylist(), return_inverse=True)[1] for k in keys]
+    new = np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)][: len(table)]
+    row = np.cumsum(new) - 1
+    d, n = np.zeros((int(new.sum()), len(states))), np.zeros(int(new.sum()))
+    state = table.column(len(keys)).to_numpy()
+    at = np.minimum(np.searchsorted(states, state), max(len(states) - 1, 0))
+    inside = states[at] == state if len(states) else np.zeros(len(state), bool)
+    d[row[inside], at[inside]] = table.column(len(keys) + 1).to_numpy()[inside]
+    np.add.at(n, row[inside], 1)
+    return table.select(keys).filter(pa.array(new)), d, n
+
+
+def shared_flips(res: DataFrame, signs: Signs, keys: list[str]) -> DataFrame:
+    """keys, a, b: permutations whose |t| reaches the observed one, and whose largest |t| of all rows does, in one job.
+
+    Tasks share out the permutations, each with all rows: the largest statistic of a permutation is known where it
+    is drawn. res has at most BROADCAST_CELLS rows.
+    """
+    spark = res.sparkSession
+    names, d, n = _matrix(res, keys, np.array(signs.states))
+    shipped = spark.sparkContext.broadcast((d, n, signs))
+    kinds = res.select(*keys).schema
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, n, signs = shipped.value
+        n, squares = np.maximum(n, 1), (d * d).sum(axis=1)
+        stat = lambda total: np.abs(_t_rounded(n, total, squares))
+        t0 = stat(d.sum(axis=1, keepdims=True))
+        a, b = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                t = stat(d @ signs.block(i * FLIPS, min((i + 1) * FLIPS, signs.permutations)).T.astype(float))
+                a += (t >= t0).sum(axis=1)
+                top = np.sort(t.max(axis=0)) if len(t) else np.array([])
+                b += len(top) - np.searchsorted(top, t0[:, 0], side="left")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(d))), pa.array(a), pa.array(b)], ["i", "a", "b"])
+
+    found = spark.range(-(-signs.permutations // FLIPS)).mapInArrow(count, "i long, a long, b long").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    listed = spark.createDataFrame(names.append_column("i", pa.array(np.arange(len(d)))), kinds.add("i", "long"))
+    return found.join(F.broadcast(listed), "i").drop("i")
+
+
+def block_flips(res: DataFrame, signs: Signs | DataFrame, keys: list[str]) -> DataFrame:
+    """shared_flips() of any number of rows: blocks of rows, then their largest statistics once more."""
     flips = settle(flip_counts(res.withColumn("side", F.lit(0)), signs, keys))
     tops = flips.where("tops IS NOT NULL").select(F.posexplode("tops").alias("i", "top")).groupBy("i").agg(F.max("top").alias("top"))
     # one number a permutation
@@ -168,14 +292,20 @@ def permutation_test(res: DataFrame, signs: DataFrame, permutations: int, keys:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), b.column(len(keys) + 1), pa.array(n.astype(np.int64))], [*keys, "a", "b"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flips.select(*keys).schema)
-    hits = flips.select(*keys, "t0", "hits").mapInArrow(reached, f"{schema}, a long, b long")
+    return flips.select(*keys, "t0", "hits").mapInArrow(reached, f"{schema}, a long, b long")
+
+
+def permutation_test(res: DataFrame, signs: Signs | DataFrame, permutations: int, keys: list[str]) -> DataFrame:
+    """Two-sided p by shared sign flips, and by the largest |t| of each permutation; ties count as exceedances."""
+    small = res.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    hits = shared_flips(res, as_signs(signs), keys) if small else block_flips(res, signs, keys)
     p, q = (F.col("a") + 1) / F.lit(permutations + 1), (F.col("b") + 1) / F.lit(permutations + 1)
     out = paired_t(res, keys).join(hits, keys).withColumn("permutation_p_value", p).withColumn("permutation_max_t_p_value", q).drop("a", "b")
     out = out.withColumn("permutation_bh_q_value", bh(F.col("permutation_p_value"), [F.lit(0)]))
     return out.withColumn("permutation_p_value_mcse", mcse(F.col("permutation_p_value"), permutations)).withColumn("permutation_max_t_p_value_mcse", mcse(F.col("permutation_max_t_p_value"), permutations))
 
 
-def directional_test(res: DataFrame, hypotheses: DataFrame, signs: DataFrame, permutations: int, minimum_pairs: int, alpha: float, decisive: bool) -> DataFrame:
+def directional_test(res: DataFrame, hypotheses: DataFrame, signs: Signs | DataFrame, permutations: int, minimum_pairs: int, alpha: float, decisive: bool) -> DataFrame:
     """One-sided sign-flip tests of hypotheses (hypothesis_id, family_order, direction_sign), with Holm's adjustment.
 
     res: hypothesis_id, geography_code, difference. Hypotheses with too few states get p = 1 and no statistic.

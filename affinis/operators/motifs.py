@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.columns import contains, ratio
 from affinis.operators.graphs import pairs_of
+from affinis.operators.tables import settle
 from affinis.sources.bridge import CONDITIONS
 
 FRACTIONS = (0.10, 0.20, 0.30)
@@ -114,6 +115,42 @@ def frequent(graphs: DataFrame, floor: int, keys: tuple[str, ...] = (), sizes: t
     return counts.groupBy("mask", "node_count", "edge_count").agg(F.sum("support_count").alias("support_count")).where(F.col("support_count") >= floor)
 
 
+def grown(graphs: DataFrame, floor: int, nodes: tuple[int, int] = (3, 5)) -> DataFrame:
+    """(edges, node_count, edge_count, support_count): connected motifs of any number of conditions, by growth.
+
+    graphs: graph_id and edges, array<struct<a,b>> with a < b. Level by level, patterns that at least `floor` graphs hold
+    get one more frequent edge that touches them. A pattern is the sorted list of its edges, so whichever way it
+    was grown it is one row; it carries the graphs that hold it as bits in an array of longs, and a grown one's are
+    its bits and the edge's. Graphs are populations and edges pairs of conditions, both dimensions: the edges'
+    table is the broadcast side. Every connected pattern is met, as taking away the right edge leaves one, which is
+    as frequent. Repeated edges of a graph count once.
+    """
+    numbered = settle(graphs.select(F.array_distinct("edges").alias("edges"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("graph_id")) - 1).alias("g")))
+    words = -(-max(1, numbered.count()) // 64)
+    bit = F.expr("shiftleft(1L, CAST(g % 64 AS INT))")
+    cells = numbered.select("g", F.explode("edges").alias("e")).select("e.a", "e.b", F.floor(F.col("g") / 64).alias("word"), bit.alias("bit")).groupBy("a", "b", "word").agg(F.bit_or("bit").alias("bits"))
+    table = cells.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    held = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long")))
+    support = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x))
+    edges = settle(table.select("a", "b", held.alias("held")).where(support("held") >= floor))
+    level = edges.select(F.array(F.struct("a", "b")).alias("edges"), F.array("a", "b").alias("nodes"), "held")
+    found = []
+    step = F.broadcast(edges.select("a", "b", F.col("held").alias("more")))
+    for _ in range(nodes[1] * (nodes[1] - 1) // 2 - 1):
+        touches = F.array_contains("nodes", F.col("a")) | F.array_contains("nodes", F.col("b"))
+        wider = level.join(step, touches & ~F.array_contains("edges", F.struct("a", "b")))
+        wider = wider.select(F.array_sort(F.concat("edges", F.array(F.struct("a", "b")))).alias("edges"), F.array_union("nodes", F.array("a", "b")).alias("nodes"), F.zip_with("held", "more", lambda x, y: x.bitwiseAND(y)).alias("held"))
+        wider = wider.where((F.size("nodes") <= nodes[1]) & (support("held") >= floor))
+        level = settle(wider.groupBy("edges").agg(F.first("nodes").alias("nodes"), F.first("held").alias("held")))
+        if level.isEmpty():
+            break
+        found.append(level)
+    out = found[0] if found else level.limit(0)
+    for f in found[1:]:
+        out = out.union(f)
+    return out.where(F.size("nodes") >= nodes[0]).select("edges", F.size("nodes").alias("node_count"), F.size("edges").alias("edge_count"), support("held").alias("support_count"))
+
+
 def state_pairs(graphs: DataFrame) -> DataFrame:
     """One row per state with both graphs: lower/higher masks, and pairs eligible in both; raises on doubled graphs when run."""
     pick = lambda cat, col: F.max(F.when(F.col("ses_category") == cat, F.col(col)))
@@ -186,23 +223,30 @@ def named(catalog: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
     return catalog.withColumn("motif_id", motif_id(edges)).withColumn("edge_list", F.to_json(edges)).withColumn("node_labels", F.to_json(F.array_sort(F.array_distinct(F.flatten(edges)))))
 
 
-def redundancy(catalog: DataFrame) -> DataFrame:
+def submasks(mask: Column, width: int) -> Column:
+    """All masks within a mask, itself and none included: 2^edges of them (1,024 at most for five conditions)."""
+    bits_ = F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(width)]), lambda b: mask.bitwiseAND(b) != 0)
+    return F.aggregate(bits_, F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.transform(acc, lambda x: x.bitwiseOR(b))))
+
+
+def redundancy(catalog: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
     """Occurrence classes (equal graph lists), closed and maximal flags, one representative a class.
 
-    A catalog has at most as many motifs as there are connected patterns; supersets are found by an
-    anti-join on a bit test, within classes for closed and over the catalog for maximal.
+    A motif is maximal if no other of the catalog contains it, closed if none of its class does. Every motif lists
+    the masks within it, which are joined to the catalog by hash: the work is motifs x 2^edges, not motifs x motifs.
+    One-edge extensions alone wouldn't do: thresholds depend on the states where a motif is evaluable, so a motif
+    between two of the catalog may itself be missing.
     """
     ids = F.concat(F.lit("occ_"), F.substring(F.sha2(F.to_json("graph_ids"), 256), 1, 16))
     c = catalog.withColumn("occurrence_class_id", ids)
     w = Window.partitionBy("occurrence_class_id")
     first = F.row_number().over(w.orderBy(F.desc("node_count"), F.desc("edge_count"), "motif_id")) == 1
     c = c.withColumn("occurrence_class_size", F.count("*").over(w)).withColumn("is_occurrence_representative", first)
-    other = c.select(F.col("mask").alias("m2"), F.col("occurrence_class_id").alias("c2"))
-    below = contains(F.col("m2"), F.col("mask")) & (F.col("m2") != F.col("mask"))
-    open_ = c.join(other, below & (F.col("c2") == F.col("occurrence_class_id")), "left_semi").select("mask").withColumn("_open", F.lit(True))
-    inner = c.join(F.broadcast(other), below, "left_semi").select("mask").withColumn("_inner", F.lit(True))
-    out = c.join(open_, "mask", "left").join(inner, "mask", "left")
-    return out.withColumn("is_closed", F.col("_open").isNull()).withColumn("is_maximal", F.col("_inner").isNull()).drop("_open", "_inner")
+    inner = catalog.select(F.col("mask").alias("m2"), ids.alias("c2")).select("m2", "c2", F.explode(submasks(F.col("m2"), len(pairs_of(conditions)))).alias("mask")).where("mask <> m2 AND bit_count(mask) >= 2")
+    inner = inner.groupBy("mask").agg(F.collect_set("c2").alias("_above"))
+    out = c.join(inner, "mask", "left")
+    closed = ~F.coalesce(F.array_contains("_above", F.col("occurrence_class_id")), F.lit(False))
+    return out.withColumn("is_closed", closed).withColumn("is_maximal", F.col("_above").isNull()).drop("_above")
 
 
 def shape_summary(catalog: DataFrame, fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:

@@ -13,7 +13,8 @@ from affinis.plans import sqlbase as S
 from affinis.plans.register import registered, shared
 from affinis.sources.bridge import CONDITIONS, MINIMUM_PAIRED_STATES
 
-FRACTIONS = (0.20, 0.30, 0.40)
+#: Support levels of the catalog, and the one whose motifs are tested further.
+FRACTIONS, PRIMARY = (0.10, 0.20, 0.30), 0.20
 NAMES = [f"{round(f * 100):02d}pct" for f in FRACTIONS]
 #: Sign flips of the screening and of the confirmatory tests, and fixed-edge null graphs of each population.
 FLIPS, BANK, NULLS, SEED = 9_999, 99_999, 1_000, 20240904
@@ -82,6 +83,18 @@ def frequent_motifs(spark, d):
     return motifs.frequent(G.population_graphs(spark, d).select("mask"), 8)
 
 
+S.cte("pedges", "patterns un", "SELECT mask, '[' || string_agg('[\"' || a || '\",\"' || b || '\"]', ',' ORDER BY edge_idx) || ']' AS edge_list FROM patterns JOIN un ON mask & bit <> 0 GROUP BY mask")
+
+
+@registered(S.query("pgraphs patterns pedges", "SELECT edge_list, node_count, edge_count, support_count FROM (SELECT p.mask, node_count, edge_count, count(*) AS support_count FROM patterns p JOIN pgraphs g ON g.mask & p.mask = p.mask GROUP BY ALL HAVING count(*) >= 8) JOIN pedges USING (mask)"))
+def grown_motifs(spark, d):
+    """The motifs of frequent_motifs by growth, whose patterns are lists of edges and need no mask of all pairs."""
+    g = G.population_graphs(spark, d)
+    edges = F.transform(motifs.motif_edges(F.col("mask")), lambda e: F.struct(e[0].alias("a"), e[1].alias("b")))
+    found = motifs.grown(g.select("graph_id", edges.alias("edges")), 8)
+    return found.select(F.to_json(F.transform("edges", lambda e: F.array(e["a"], e["b"]))).alias("edge_list"), "node_count", "edge_count", "support_count")
+
+
 @registered(S.query("catalog", f"SELECT mask, {', '.join(_COUNTS)}, {S.r('support_fraction')} AS support_fraction FROM catalog"))
 def motif_support(spark, d):
     return catalog(spark, d).select("mask", *_COUNTS, r("support_fraction").alias("support_fraction"))
@@ -152,14 +165,14 @@ def occurrence_probability(spark, d):
 
 
 _RES = f"SELECT geography_code, {{m}}, lower & mask = mask AS lower_occurs, higher & mask = mask AS higher_occurs, CASE WHEN lower & mask = mask THEN 1 ELSE 0 END - {_chance('bit_count(o1)', 'bit_count(lower)', 'bit_count(mask)')} AS lower_residual, CASE WHEN higher & mask = mask THEN 1 ELSE 0 END - {_chance('bit_count(o2)', 'bit_count(higher)', 'bit_count(mask)')} AS higher_residual FROM {{f}} JOIN spairs ON opp & mask = mask"
-S.cte("primary_motifs", "named", "SELECT motif_id, mask, node_count, edge_count, support_count FROM named WHERE support_30pct")
+S.cte("primary_motifs", "named", "SELECT motif_id, mask, node_count, edge_count, support_count FROM named WHERE support_20pct")
 S.cte("res0", "primary_motifs spairs", _RES.format(m="motif_id", f="primary_motifs"))
 S.cte("res", "res0", "SELECT *, lower_residual - higher_residual AS difference FROM res0")
 
 
 @shared
 def primary(spark: SparkSession, d: str) -> DataFrame:
-    return settle(motifs.named(catalog(spark, d)).where("support_30pct").select("motif_id", "mask", "node_count", "edge_count", "support_count"))
+    return settle(motifs.named(catalog(spark, d)).where("support_20pct").select("motif_id", "mask", "node_count", "edge_count", "support_count"))
 
 
 def residual_table(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +209,7 @@ S.cte("maxt_bh", "maxt", "SELECT *, least(1, min(p * m / rn) OVER (ORDER BY p, m
 def maxt_permutation(spark, d):
     p = pairs(spark, d)
     res = settle(inference.residuals(p, primary(spark, d).select("motif_id", "mask")))
-    signs = settle(inference.hash_signs(spark, p, FLIPS, SEED))
+    signs = inference.HashSigns(inference.state_list(p), FLIPS, SEED)
     cols = ["permutation_p_value", "permutation_max_t_p_value", "permutation_bh_q_value", "permutation_p_value_mcse", "permutation_max_t_p_value_mcse"]
     return inference.permutation_test(res, signs, FLIPS, ["motif_id"]).select("motif_id", *[r(c).alias(c) for c in cols])
 
@@ -234,7 +247,7 @@ def sign_flip_test(spark, d):
     p = pairs(spark, d)
     h = hypotheses(spark)
     res = settle(inference.residuals(p, h.select("hypothesis_id", "mask")))
-    signs = settle(inference.hash_signs(spark, p, BANK, SEED))
+    signs = inference.HashSigns(inference.state_list(p), BANK, SEED)
     a = inference.directional_test(res, h.drop("mask"), signs, BANK, MINIMUM_PAIRED_STATES, 0.05, True).withColumn("analysis_set", F.lit("primary"))
     b = inference.directional_test(res.where("geography_code <= 9"), h.drop("mask"), signs, BANK, MINIMUM_PAIRED_STATES, 0.05, False).withColumn("analysis_set", F.lit("matched"))
     cols = ["effect_lower_minus_higher", "studentized_statistic", "one_sided_p_value", "holm_adjusted_p_value", "p_value_mcse"]
@@ -253,13 +266,13 @@ def sign_bank(spark, d):
 
 S.cte("ngraphs", "graphs_all reg", "SELECT g.graph_id, g.geography_code, g.ses_category, g.mask, g.opportunity FROM graphs_all g JOIN reg USING (graph_id) WHERE rule_id = 'phi_014' AND eligibility_status = 'eligible'")
 S.cte("npairs", "ngraphs", _SP.format("ngraphs"))
-S.cte("vocab", "redundant", "SELECT motif_id, mask, occurrence_class_id, is_occurrence_representative, support_fraction AS discovery_support_fraction FROM redundant WHERE support_30pct")
+S.cte("vocab", "redundant", "SELECT motif_id, mask, occurrence_class_id, is_occurrence_representative, support_fraction AS discovery_support_fraction FROM redundant WHERE support_20pct")
 S.cte("vrep0", "vocab npairs", f"SELECT v.*, n, s, ds FROM vocab v LEFT JOIN (SELECT motif_id, count(*) AS n, {S.big('sum(CASE WHEN lower & mask = mask THEN 1 ELSE 0 END + CASE WHEN higher & mask = mask THEN 1 ELSE 0 END)')} AS s, count(*) FILTER (lower & mask = mask OR higher & mask = mask) AS ds FROM vocab JOIN npairs ON opp & mask = mask GROUP BY 1) USING (motif_id)")
 S.cte("vrep", "vrep0", f"SELECT *, frac - discovery_support_fraction AS diff, n1 >= {MINIMUM_PAIRED_STATES} AND coalesce(frac >= CAST(0.20 AS DOUBLE), false) AS replicated FROM (SELECT *, coalesce(n, 0) AS n1, s / CAST(2 * n AS DOUBLE) AS frac FROM vrep0)")
 
 
 def replication(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cat = settle(full_catalog(spark, d).where("support_30pct"))
+    cat = settle(full_catalog(spark, d).where("support_20pct"))
     words = cat.select("motif_id", "mask", "occurrence_class_id", "is_occurrence_representative", F.col("support_fraction").alias("discovery_support_fraction"))
     new = G.all_graphs(spark, d).where("rule_id = 'phi_014'")
     new = new.join(G.registry(spark, d).where("eligibility_status = 'eligible'").select("graph_id"), "graph_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinis.functions.columns import r
-from affinis.operators import association, graphs, motifs, protocol, reports
+from affinis.operators import association, graphs, inference, motifs, protocol, reports
 from affinis.operators.tables import settle, shared_folder
 from affinis.plans import graph_queries as G
 from affinis.plans import motif_queries as M
@@ -200,9 +200,9 @@ def frozen_graphs(spark, d):
     return protocol.frozen_violations(R.stable_table(spark, d), R.EFFECT, R.STABLE)
 
 
-@registered(S.query("named patterns", "SELECT count(*) FILTER (motif_id NOT LIKE 'motif_%') AS wrong_ids, count(*) FILTER (mask NOT IN (SELECT mask FROM patterns)) AS unconnected, count(*) FILTER (support_fraction < CAST(0.2 AS DOUBLE)) AS below_support, count(*) - count(DISTINCT motif_id) AS doubled_ids FROM named"))
+@registered(S.query("named patterns", f"SELECT count(*) FILTER (motif_id NOT LIKE 'motif_%') AS wrong_ids, count(*) FILTER (mask NOT IN (SELECT mask FROM patterns)) AS unconnected, count(*) FILTER (support_fraction < CAST({M.PRIMARY} AS DOUBLE)) AS below_support, count(*) - count(DISTINCT motif_id) AS doubled_ids FROM named"))
 def protocol_motifs(spark, d):
-    return protocol.motif_violations(M.full_catalog(spark, d).select("motif_id", "mask", "support_fraction"), 0.2)
+    return protocol.motif_violations(M.full_catalog(spark, d).select("motif_id", "mask", "support_fraction"), M.PRIMARY)
 
 
 @registered(S.query("redundant", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unknown, count(*) - count(DISTINCT motif_id) AS in_two_families FROM redundant"))
@@ -230,8 +230,20 @@ def provenance_check(spark, d):
     return protocol.provenance_violations(words, rep.select("motif_id", "replication_support_fraction"), "motif_id", {"replication_support_fraction": "discovery_support_fraction"})
 
 
-@registered(S.query("hyp", "SELECT CAST(0 AS BIGINT) AS doubled_ids, false AS wrong_order, CAST(0 AS BIGINT) AS wrong_signs, CAST(0 AS BIGINT) AS unknown_motifs, CAST(0 AS BIGINT) AS other_edges FROM hyp LIMIT 1"))
+@registered(
+    S.query(
+        "hyp hres named",
+        """SELECT count(*) - count(DISTINCT hypothesis_id) AS doubled_ids, count(DISTINCT family_order) < count(*) OR min(family_order) <> 1 OR max(family_order) <> count(*) AS wrong_order,
+  count(*) FILTER (NOT coalesce(direction_sign = CASE WHEN e > 0 THEN 1 WHEN e < 0 THEN -1 END, false)) AS wrong_signs, count(*) FILTER (motif_id IS NULL) AS unknown_motifs,
+  count(*) FILTER (n.edge_count <> bit_count(h.mask)) AS other_edges
+FROM hyp h LEFT JOIN (SELECT hypothesis_id, avg(difference) AS e FROM hres GROUP BY 1) x USING (hypothesis_id) LEFT JOIN named n ON n.mask = h.mask""",
+    )
+)
 def protocol_hypotheses(spark, d):
+    """The hypotheses against the given data: their motifs must be in the mined catalog, and their side the one that has more."""
     named = motifs.named(M.hypotheses(spark))
-    side = F.when(F.col("direction_sign") == 1, "lower").otherwise("higher")
-    return protocol.hypothesis_violations(named.withColumn("expected_enrichment", side), named.select("motif_id", "edge_list"))
+    res = inference.residuals(M.pairs(spark, d), M.hypotheses(spark).select("hypothesis_id", "mask"))
+    e = res.groupBy("hypothesis_id").agg(F.avg("difference").alias("e"))
+    side = F.when(F.col("e") > 0, "lower").when(F.col("e") < 0, "higher")
+    asked = named.join(e, "hypothesis_id", "left").withColumn("expected_enrichment", side)
+    return protocol.hypothesis_violations(asked, motifs.named(M.catalog(spark, d)).select("motif_id", "edge_list"))

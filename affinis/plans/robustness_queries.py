@@ -134,11 +134,11 @@ def replicate_masks(spark, d):
     return replicate_graphs(spark, d).select("graph_id", "replicate", "raw_mask", "mask")
 
 
-S.cte("boot_rep", "named frozen spairs", f"SELECT m.motif_id, r.rep, count(f.graph_id) AS support FROM (SELECT * FROM named WHERE support_30pct) m CROSS JOIN (SELECT unnest(range(1, {B + 1})) AS rep) r LEFT JOIN (SELECT f.*, opp FROM frozen f JOIN spairs USING (geography_code)) f ON f.rep = r.rep AND f.mask & m.mask = m.mask AND f.opp & m.mask = m.mask GROUP BY ALL")
+S.cte("boot_rep", "named frozen spairs", f"SELECT m.motif_id, r.rep, count(f.graph_id) AS support FROM (SELECT * FROM named WHERE support_20pct) m CROSS JOIN (SELECT unnest(range(1, {B + 1})) AS rep) r LEFT JOIN (SELECT f.*, opp FROM frozen f JOIN spairs USING (geography_code)) f ON f.rep = r.rep AND f.mask & m.mask = m.mask AND f.opp & m.mask = m.mask GROUP BY ALL")
 
 
 def frozen_support(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    m = settle(motifs.named(M.catalog(spark, d)).where("support_30pct"))
+    m = settle(motifs.named(M.catalog(spark, d)).where("support_20pct"))
     return settle(inference.replicate_support(replicate_graphs(spark, d), m, B)), m
 
 
@@ -152,16 +152,16 @@ def boot_motif_support(spark, d):
     return out.select("motif_id", "node_count", "edge_count", "support_count", *[r(k).alias(k) for k in _BS])
 
 
-S.cte("sstab", "boot_rep named", "SELECT motif_id, node_count, support_count_30pct, avg(CASE WHEN support >= support_count_30pct THEN 1 ELSE 0 END) AS p FROM boot_rep JOIN named USING (motif_id) GROUP BY ALL")
+S.cte("sstab", "boot_rep named", "SELECT motif_id, node_count, support_count_20pct, avg(CASE WHEN support >= support_count_20pct THEN 1 ELSE 0 END) AS p FROM boot_rep JOIN named USING (motif_id) GROUP BY ALL")
 
 
-@registered(S.query("sstab", f"SELECT node_count, count(*) AS baseline_motif_count, min(support_count_30pct) AS minimum_support_count, max(support_count_30pct) AS maximum_support_count, {S.r('median(p)')} AS median_probability, {S.r('min(p)')} AS minimum_probability, {S.r('avg(CASE WHEN p >= CAST(0.8 AS DOUBLE) THEN 1 ELSE 0 END)')} AS fraction_probability_ge_80 FROM sstab GROUP BY 1"))
+@registered(S.query("sstab", f"SELECT node_count, count(*) AS baseline_motif_count, min(support_count_20pct) AS minimum_support_count, max(support_count_20pct) AS maximum_support_count, {S.r('median(p)')} AS median_probability, {S.r('min(p)')} AS minimum_probability, {S.r('avg(CASE WHEN p >= CAST(0.8 AS DOUBLE) THEN 1 ELSE 0 END)')} AS fraction_probability_ge_80 FROM sstab GROUP BY 1"))
 def stability_summary(spark, d):
     rep, m = frozen_support(spark, d)
     s = inference.support_stability(rep, m, M.FRACTIONS)
-    p = F.col("p_boot_support_30pct")
+    p = F.col("p_boot_support_20pct")
     return s.groupBy("node_count").agg(
-        F.count("*").alias("baseline_motif_count"), F.min("support_count_30pct").alias("minimum_support_count"), F.max("support_count_30pct").alias("maximum_support_count"),
+        F.count("*").alias("baseline_motif_count"), F.min("support_count_20pct").alias("minimum_support_count"), F.max("support_count_20pct").alias("maximum_support_count"),
         r(F.median(p)).alias("median_probability"), r(F.min(p)).alias("minimum_probability"), r(F.avg((p >= 0.8).cast("int"))).alias("fraction_probability_ge_80"),
     )
 
@@ -181,32 +181,50 @@ def vocabulary_stability(spark, d):
 
 
 S.cte("able", "patterns spairs", f"SELECT mask, count(*) AS n FROM patterns JOIN spairs ON opp & mask = mask GROUP BY 1 HAVING count(*) >= {MINIMUM_PAIRED_STATES}")
-S.cte("thrown", "frozen spairs", "SELECT rep, f.raw_mask & f.opportunity & opp AS g, count(*) AS c FROM frozen f JOIN spairs USING (geography_code) GROUP BY ALL")
-S.cte("remined", "thrown able", "SELECT rep, mask FROM thrown JOIN able ON g & mask = mask GROUP BY rep, mask, n HAVING sum(c) >= ceil(CAST(0.3 AS DOUBLE) * 2 * n)")
-S.cte("found_again", "remined catalog", f"SELECT t.rep, count(m.mask) AS found, count(*) FILTER (m.mask IN (SELECT mask FROM catalog WHERE support_30pct)) AS kept FROM (SELECT unnest(range(1, {B + 1})) AS rep) t LEFT JOIN remined m ON m.rep = t.rep GROUP BY t.rep")
-_DISC = "SELECT rep, n, found, kept, kept / nullif(CAST(n AS DOUBLE), 0) AS retention, kept / nullif(CAST(found + n - kept AS DOUBLE), 0) AS jac FROM found_again CROSS JOIN (SELECT count(*) AS n FROM catalog WHERE support_30pct)"
-S.cte("disc", "found_again catalog", _DISC)
 
+def _remined(name: str, mask: str) -> None:
+    """CTE {name}: motifs found and kept in each replicate, mined anew in the graphs of `mask`."""
+    S.cte(f"{name}_g", "frozen spairs", f"SELECT rep, {mask} & f.opportunity & opp AS g, count(*) AS c FROM frozen f JOIN spairs USING (geography_code) GROUP BY ALL")
+    S.cte(f"{name}_m", f"{name}_g able", f"SELECT rep, mask FROM {name}_g JOIN able ON g & mask = mask GROUP BY rep, mask, n HAVING sum(c) >= ceil(CAST({M.PRIMARY} AS DOUBLE) * 2 * n)")
+    S.cte(f"{name}_f", f"{name}_m catalog", f"SELECT t.rep, count(m.mask) AS found, count(*) FILTER (m.mask IN (SELECT mask FROM catalog WHERE support_20pct)) AS kept FROM (SELECT unnest(range(1, {B + 1})) AS rep) t LEFT JOIN {name}_m m ON m.rep = t.rep GROUP BY t.rep")
+    S.cte(name, f"{name}_f catalog", f"SELECT rep, n, found, kept, kept / nullif(CAST(n AS DOUBLE), 0) AS retention, kept / nullif(CAST(found + n - kept AS DOUBLE), 0) AS jac FROM {name}_f CROSS JOIN (SELECT count(*) AS n FROM catalog WHERE support_20pct)")
 
-def rediscovered(spark: SparkSession, d: str) -> DataFrame:
-    """Motifs mined anew in each replicate's threshold graphs, with the catalog's opportunity-aware thresholds."""
+
+_remined("disc", "f.raw_mask")
+_remined("disc_frozen", "f.mask")
+
+
+def rediscovered(spark: SparkSession, d: str, frozen: bool = False) -> DataFrame:
+    """Motifs mined anew in each replicate's graphs, with the catalog's opportunity-aware thresholds.
+
+    Graphs are those of the replicate's threshold alone, or (frozen) of its edges among the stable ones.
+    """
     from math import ceil
 
-    g = replicate_graphs(spark, d, False)
+    g = replicate_graphs(spark, d, frozen)
     masked = g.select("replicate", F.col("mask").bitwiseAND(F.col("paired_opportunity")).alias("mask"))
-    floor = ceil(0.3 * 2 * MINIMUM_PAIRED_STATES)
+    floor = ceil(M.PRIMARY * 2 * MINIMUM_PAIRED_STATES)
     found = settle(motifs.frequent(masked, floor, ("replicate",)))
     pairs = M.pairs(spark, d)
     able = motifs.evaluability(pairs, found.select("mask").distinct()).select("mask", "paired_state_count")
-    kept = found.join(able, "mask").where((F.col("paired_state_count") >= MINIMUM_PAIRED_STATES) & (F.col("support_count") >= F.ceil(0.3 * 2 * F.col("paired_state_count"))))
-    return inference.discovery_stability(settle(kept), settle(M.catalog(spark, d).where("support_30pct")), B)
+    kept = found.join(able, "mask").where((F.col("paired_state_count") >= MINIMUM_PAIRED_STATES) & (F.col("support_count") >= F.ceil(F.lit(M.PRIMARY) * 2 * F.col("paired_state_count"))))
+    return inference.discovery_stability(settle(kept), settle(M.catalog(spark, d).where("support_20pct")), B)
 
 
-@registered(S.query("disc", f"SELECT CAST(rep AS INTEGER) AS replicate, n AS baseline_motif_count, found AS replicate_discovered_motif_count, kept AS retained_baseline_motif_count, found - kept AS novel_motif_count, {S.r('CASE WHEN n > 0 THEN retention ELSE 1 END')} AS discovery_set_retention, {S.r('CASE WHEN found + n - kept > 0 THEN jac ELSE 1 END')} AS discovery_set_jaccard FROM disc"))
+def _found_sql(name: str) -> str:
+    return f"SELECT CAST(rep AS INTEGER) AS replicate, n AS baseline_motif_count, found AS replicate_discovered_motif_count, kept AS retained_baseline_motif_count, found - kept AS novel_motif_count, {S.r('CASE WHEN n > 0 THEN retention ELSE 1 END')} AS discovery_set_retention, {S.r('CASE WHEN found + n - kept > 0 THEN jac ELSE 1 END')} AS discovery_set_jaccard FROM {name}"
+
+
+@registered(S.query("disc", _found_sql("disc")))
 def discovery_stability(spark, d):
     return rediscovered(spark, d).withColumns({"discovery_set_retention": r("discovery_set_retention"), "discovery_set_jaccard": r("discovery_set_jaccard")})
 
 
+@registered(S.query("disc_frozen", _found_sql("disc_frozen")))
+def discovery_frozen(spark, d):
+    return rediscovered(spark, d, True).withColumns({"discovery_set_retention": r("discovery_set_retention"), "discovery_set_jaccard": r("discovery_set_jaccard")})
+
+
 _DS = {"median_discovered_motif_count": "median(found)", "median_baseline_retention": "median(retention)", "q025_baseline_retention": "quantile_cont(retention, 0.025)", "q975_baseline_retention": "quantile_cont(retention, 0.975)", "median_discovery_set_jaccard": "median(jac)", "median_novel_motif_count": "median(found - kept)"}
 
 

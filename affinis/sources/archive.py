@@ -56,6 +56,20 @@ def cached(spark: SparkSession, root: str, name: str, key: dict, build: Callable
     return spark.read.parquet(path)
 
 
+def resolved(spark: SparkSession, archives: list[str], root: str, name: str, key: dict, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """(table, where it came from): of the first archive that holds it whole, else this run's own cache, else built and cached.
+
+    archives: folders of frozen runs, in order of preference; a table is whole where its _SUCCESS is.
+    """
+    for folder in archives:
+        path = f"{folder.rstrip('/')}/{name}"
+        if _exists(spark, f"{path}/_SUCCESS"):
+            return spark.read.parquet(path), path
+    own = f"{root.rstrip('/')}/{name}/key={digest(key)}"
+    origin = own if _exists(spark, f"{own}/_SUCCESS") else "built"
+    return cached(spark, root, name, key, build), origin
+
+
 def resumed(spark: SparkSession, root: str, name: str, key: dict, column: str, values: list, build: Callable[[list], DataFrame], group: int = 8) -> DataFrame:
     """A table written by groups of a column's values (states, say): a run that failed goes on after the last group it finished.
 

@@ -9,7 +9,7 @@ import struct
 from collections.abc import Iterator
 from html import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.operators.graphs import mask_edges
@@ -146,6 +146,22 @@ def attributed_graphml(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph_id", F.concat(head, body, F.lit("</graph></graphml>")).alias("xml"))
 
 
+def write_graph_files(graphs: DataFrame, path: str, column: str, names: str = "graph_id") -> None:
+    """One text file a graph: path/<names>=<id>/part-... of `column`, written by Spark's own commit.
+
+    A graph is one row; rows of one id are an error. Graphs written before are replaced, others stay. A task that
+    fails or runs twice leaves nothing behind, as files move to their folder when the job commits.
+    """
+    n = F.count("*").over(Window.partitionBy(names))
+    once = F.when(n > 1, F.raise_error(F.concat(F.lit("two graphs of one id: "), F.col(names))).cast("string")).otherwise(F.col(column))
+    graphs.select(names, once.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(names).text(path)
+
+
+def read_graph_files(spark: SparkSession, path: str, names: str = "graph_id") -> DataFrame:
+    """(graph id, text) of write_graph_files()."""
+    return spark.read.option("wholetext", True).text(path).select(F.col(names).cast("string").alias(names), F.rtrim("value", F.lit("\n")).alias("value"))
+
+
 # --- survey transport files (SAS XPORT, version 5) ---------------------------------------------------------
 
 
@@ -184,33 +200,78 @@ class Transport:
             yield tuple(ibm_double(row[v["offset"] : v["offset"] + v["width"]]) if v["numeric"] else row[v["offset"] : v["offset"] + v["width"]].decode("latin-1").rstrip() or None for v in chosen)
 
 
-def read_transport(spark: SparkSession, path: str, names: list[str] | None = None, block_rows: int = 20_000, head_bytes: int = 1 << 22) -> DataFrame:
-    """A transport file, chosen columns only.
+#: A transport file is a whole number of cards of 80 bytes; Spark reads up to MOST_CARDS of them as one record.
+CARD, MOST_CARDS = 80, 800
 
-    The header is read by the driver; observations have a fixed width, so each task seeks to its own block
-    of rows. The file must be in a folder that all executors see; convert it to Parquet once.
-    """
-    import os
 
-    local = path.removeprefix("file://")
-    with open(local, "rb") as f:
-        layout = Transport(f.read(head_bytes))
+def _record_bytes(spark: SparkSession, path: str) -> int:
+    """The largest whole number of cards, MOST_CARDS at most, that divides the file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    if size % CARD:
+        raise ValueError(f"not a transport file: {size} bytes are no whole number of cards")
+    return CARD * next(d for d in range(MOST_CARDS, 0, -1) if size // CARD % d == 0)
+
+
+def _header(records, size: int, most: int = 1 << 23) -> Transport:
+    """The layout in the file's leading bytes, read in growing pieces until the observations begin."""
+    n = max(1, (1 << 16) // size)
+    while True:
+        head = b"".join(records.take(n))
+        if b"HEADER RECORD*******OBS " in head or len(head) < n * size or len(head) >= most:
+            return Transport(head)
+        n *= 4
+
+
+def read_transport(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """A transport file, chosen columns only, read through Spark from wherever the file lies.
+
+    Spark splits the file into records of whole cards; an observation belongs to the split where it begins. Of each
+    split the length and the first bytes, one observation's, go through the driver, so that every task knows where
+    its observations begin and how its last one ends. Convert to Parquet once.
+    """
+    size = _record_bytes(spark, path)
+    records = spark.sparkContext.binaryRecords(path, size)
+    layout = _header(records, size)
     names = list(dict.fromkeys(names or [v["variable"] for v in layout.variables]))
     unknown = set(names) - {v["variable"] for v in layout.variables}
     if unknown:
         raise KeyError(f"no such variables: {sorted(unknown)}")
     numeric = {v["variable"]: v["numeric"] for v in layout.variables}
     schema = ", ".join(f"`{n}` {'double' if numeric[n] else 'string'}" for n in names)
-    total = (os.path.getsize(local) - layout.first) // layout.width
-    blocks = -(-total // block_rows)
-
-    def run(frames):
-        import pandas as pd
-
-        for df in frames:
-            for block in df.id:
-                with open(local, "rb") as f:
-                    f.seek(layout.first + int(block) * block_rows * layout.width)
-                    yield pd.DataFrame(list(layout.rows(f.read(block_rows * layout.width), names)), columns=names).astype({n: "float64" for n in names if numeric[n]})
-
-    return spark.range(0, blocks, 1, max(1, min(int(blocks), 4096))).mapInPandas(run, schema)
+    width = layout.width
+    splits = sorted(records.mapPartitionsWithIndex(lambda i, rows: [_beginning(i, rows, width)]).collect())
+    start, after, at = {}, {}, 0
+    for i, n, _ in splits:
+        start[i], at = at, at + n
+    rest = b""
+    for i, _, head in reversed(splits):
+        after[i], rest = rest, (head + rest)[:width]
+    shipped = spark.sparkContext.broadcast((start, after))
+
+    def rows(i: int, found: Iterator[bytes]) -> Iterator[tuple]:
+        base = shipped.value[0][i]  # the file's byte that the buffer begins with
+        begin = layout.first + max(0, -(-(base - layout.first) // width)) * width  # of the next observation
+        buffer = b""
+        for record in found:
+            buffer += record
+            n = max(0, base + len(buffer) - begin) // width
+            if n:
+                yield from layout.rows(buffer[begin - base : begin - base + n * width], names)
+                begin += n * width
+            keep = min(begin - base, len(buffer))
+            base, buffer = base + keep, buffer[keep:]
+        if buffer:  # an observation that ends in a later split
+            yield from layout.rows((buffer + shipped.value[1][i])[:width], names)
+
+    return spark.createDataFrame(records.mapPartitionsWithIndex(rows), schema)
+
+
+def _beginning(i: int, rows: Iterator[bytes], width: int) -> tuple[int, int, bytes]:
+    """(split, its bytes, the first of them)."""
+    n, head = 0, b""
+    for record in rows:
+        n += len(record)
+        if len(head) < width:
+            head += record
+    return i, n, head[:width]

@@ -72,7 +72,7 @@ def transport(path, rows):
 def test_transport_file(spark, tmp_path):
     rows = [(1.5, "a"), (None, "bc"), (-0.1, ""), (0.0, "z"), (123456.789, "q")]
     transport(tmp_path / "t.xpt", rows)
-    df = files.read_transport(spark, f"file://{tmp_path}/t.xpt", block_rows=2)
+    df = files.read_transport(spark, f"file://{tmp_path}/t.xpt")
     got = [(None if r.X is None or math.isnan(r.X) else r.X, r.S) for r in df.collect()]
     assert [g[1] for g in got] == ["a", "bc", None, "z", "q"] and [g[0] for g in got][1] is None
     assert [g[0] for g in got if g[0] is not None] == pytest.approx([1.5, -0.1, 0.0, 123456.789])
@@ -211,6 +211,7 @@ def test_settings_from_files(spark, tmp_path):
     paths = [f"file://{tmp_path}/{n}.json" for n in GOOD]
     s = settings.load(spark, *paths)
     assert s == settings.Settings(**GOOD) and s.output_path("audit") == f"out/audit/year=2024/run={s.digest}" and s.interim_path() == f"mid/year=2024/run={s.digest}"
+    assert {k: v for k, v in s.manifest("audit").items() if k in ("population_definition", "edge_threshold", "multiple_testing_rule", "gspan_support", "software_version")} == {"population_definition": "state × edu", "edge_threshold": None, "multiple_testing_rule": "none: edges by effect size alone", "gspan_support": [0.1, 0.2], "software_version": settings.VERSION}
     assert s.manifest("audit", rows=3)["config_digest"] == s.digest and s.manifest("audit", rows=3)["rows"] == 3
     with pytest.raises(ValueError, match="no source for 2023"):
         settings.load(spark, *paths, year=2023)
@@ -233,3 +234,86 @@ def test_provenance_and_hypotheses(spark):
     t = spark.createDataFrame([("alpha", "0.05"), ("replicates", "500"), ("ses", "edu")], "field string, value string")
     got = {tuple(r) for r in protocol.target_violations(t, {"alpha": (0, 0.01), "replicates": (2, 1000)}, {"ses": "edu", "year": 2023}).collect()}
     assert got == {("alpha", "beyond its limits"), ("year", "absent")}
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 500])
+@pytest.mark.parametrize("cards", [1, 800])
+def test_transport_rows_that_cross_splits(spark, tmp_path, monkeypatch, n, cards):
+    monkeypatch.setattr(files, "MOST_CARDS", cards)
+    rows = [(float(i) - 3.5, "abc"[: i % 4]) for i in range(n)]
+    transport(tmp_path / "t.xpt", rows)
+    got = [(r.X, r.S) for r in files.read_transport(spark, f"file://{tmp_path}/t.xpt").collect()]
+    assert got == [(x, s or None) for x, s in rows]
+    size = (tmp_path / "t.xpt").stat().st_size
+    for splits in (3, 40):  # as many splits as bytes allow, so that some observations span several
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        conf.set("mapreduce.input.fileinputformat.split.maxsize", str(max(80, size // splits)))
+        try:
+            assert [(r.X, r.S) for r in files.read_transport(spark, f"file://{tmp_path}/t.xpt").collect()] == got
+        finally:
+            conf.unset("mapreduce.input.fileinputformat.split.maxsize")
+    (tmp_path / "u.xpt").write_bytes((tmp_path / "t.xpt").read_bytes() + b"x")
+    with pytest.raises(ValueError, match="no whole number of cards"):
+        files.read_transport(spark, f"file://{tmp_path}/u.xpt")
+
+
+def test_one_file_a_graph(spark, tmp_path):
+    path = f"file://{tmp_path}/graphs"
+    g = spark.createDataFrame([(f"2024_0{i}", json.dumps({"n": i, "text": "a\nb é"})) for i in range(5)], "graph_id string, json string").repartition(3)
+    files.write_graph_files(g, path, "json")
+    assert {p.name: [f.read_text() for f in p.glob("part-*")] for p in (tmp_path / "graphs").glob("graph_id=*")} == {f"graph_id={r.graph_id}": [r.json + "\n"] for r in g.collect()}
+    assert sorted(map(tuple, files.read_graph_files(spark, path).collect())) == sorted(map(tuple, g.collect()))
+    files.write_graph_files(spark.createDataFrame([("2024_03", "new")], g.schema), path, "json")
+    assert {r.graph_id: r.value for r in files.read_graph_files(spark, path).collect()} == {r.graph_id: r.json for r in g.collect()} | {"2024_03": "new"}
+    before = sorted(p.name for p in (tmp_path / "graphs").rglob("*"))
+    with pytest.raises(Exception, match="two graphs of one id"):
+        files.write_graph_files(spark.createDataFrame([("2024_09", "a"), ("2024_09", "b")], g.schema), path, "json")
+    assert [x for x in sorted(p.name for p in (tmp_path / "graphs").rglob("*")) if not x.startswith((".", "_"))] == [x for x in before if not x.startswith((".", "_"))]
+
+
+def test_caches_are_tried_in_order(spark, tmp_path):
+    made = []
+    build = lambda: made.append(1) or spark.range(3)
+    call = lambda: archive.resolved(spark, [f"file://{tmp_path}/a", f"file://{tmp_path}/b"], f"file://{tmp_path}/own", "people", {"k": 1}, build)
+    table, origin = call()
+    assert (table.count(), origin, len(made)) == (3, "built", 1)
+    table, origin = call()
+    assert table.count() == 3 and "/own/people/key=" in origin and len(made) == 1
+    spark.range(7).write.parquet(f"file://{tmp_path}/b/people")
+    assert call()[0].count() == 7 and call()[1].endswith("/b/people")
+    (tmp_path / "a" / "people").mkdir(parents=True)  # without _SUCCESS it isn't whole
+    assert call()[1].endswith("/b/people")
+
+
+def test_frozen_and_shared_settings():
+    s = settings.Settings(**copy.deepcopy(GOOD))
+    assert list(settings.violations(s)) == []
+    paths = settings.FROZEN["phase3_gspan"]
+    frozen = copy.deepcopy(GOOD['graph']) | {"estimator": {"name": "phase3_gspan"}, "phase3": {"primary_ses_definition": "other"}}
+    for path, value in paths.items():
+        node = frozen
+        *way, last = path.split(".")[1:]
+        for name in way:
+            node = node.setdefault(name, {})
+        node[last] = value
+    analysis = copy.deepcopy(GOOD['analysis'])
+    analysis["phase25"] = {"primary_ses_definition": analysis["socioeconomic"]["active_definition"], "geography_codes": [1]}
+    made = lambda: settings.Settings(analysis, GOOD['conditions'], frozen)
+    assert any("is not that of its populations" in v for v in settings.violations(made()))
+    frozen["phase3"]["primary_ses_definition"] = analysis["phase25"]["primary_ses_definition"]
+    assert list(settings.frozen_violations(made())) == [] and not any("populations" in v for v in settings._across(made()))
+    for path, value in paths.items():
+        *way, last = path.split(".")[1:]
+        node = frozen
+        for name in way:
+            node = node[name]
+        node[last] = (not value) if isinstance(value, bool) else "x" if isinstance(value, str) else [0.5] if isinstance(value, list) else value + 1
+        assert len(list(settings.frozen_violations(made()))) == 1
+        del node[last]
+        assert len(list(settings.frozen_violations(made()))) == 1
+        node[last] = value
+    frozen["estimator"]["name"] = "none such"
+    assert "unknown estimator none such" in list(settings.violations(made()))
+    del analysis["phase25"]
+    frozen["estimator"]["name"] = "phase3_gspan"
+    assert any("needs the settings phase25" in v for v in settings.violations(made()))
