@@ -5,9 +5,9 @@
    points whose counts are added up; a chunk starts with the last two code points kept of the one before.
 2. Document frequencies are counted over all training documents: each task adds up one array of DIM counts,
    and the arrays are summed by place, so what reaches the driver has a fixed size.
-3. The classifier is fitted on at most SAMPLE training documents per language, chosen by hash of their id;
-   follow-the-regularised-leader with L1 and L2 penalties on four of five of them, then one temperature,
-   fitted to the rest by likelihood.
+3. The classifier is fitted on at most SAMPLE training documents per language, those of the smallest hashes of their
+   id; follow-the-regularised-leader with L1 and L2 penalties on four of five of a language's documents, its first
+   among them, then one temperature, fitted to the rest by likelihood.
 4. Every text is scored in Arrow batches.
 
 The training set is given by the caller; the language of a document never goes into its own prediction.
@@ -20,11 +20,12 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 1 << 15
@@ -158,14 +159,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         if place >= 0:
             df[place] = n
     idf = np.log((1 + seen.get(-1, 0)) / (1 + df)) + 1
-    below = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1 << 40, (1 << 40) * sample // r["count"])))])
+    # somewhat more than `sample` of each language by their hash, then exactly the first ones: no language yields to another
+    wide = lambda n: min(1 << 40, (1 << 40) * (sample + 8 * math.isqrt(sample) + 64) // n)
+    below = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(wide(r["count"])))])
     chosen = docs.where(F.col("o") < F.coalesce(F.try_element_at(below, F.col("lang")), F.lit(0)))
-    rows = chosen.mapInArrow(_features, "lang string, o long, place binary, n binary").orderBy("o", "lang").limit(sample * len(sizes)).collect()
-    ready = [(np.frombuffer(r.place, np.int32), np.frombuffer(r.n, np.int32), r.lang) for r in rows]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", F.xxhash64("text")))
+    chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample).select("text", "lang", "o")
+    rows = sorted(chosen.mapInArrow(_features, "lang string, o long, place binary, n binary").collect(), key=lambda r: (r.o, r.lang, bytes(r.place)))
+    ready, turn, held = [(np.frombuffer(r.place, np.int32), np.frombuffer(r.n, np.int32), r.lang) for r in rows], {}, []
+    for r in rows:  # every fifth of a language is for calibration, its first four are not
+        turn[r.lang] = turn.get(r.lang, 0) + 1
+        held.append(turn[r.lang] % 5 == 0)
     languages = sorted({r.lang for r in rows})
     if not languages:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), idf)
-    return fit([x for i, x in enumerate(ready) if i % 5], [x for i, x in enumerate(ready) if i % 5 == 0] if len(ready) > 20 else [], languages, idf)
+    return fit([x for x, h in zip(ready, held, strict=True) if not h], [x for x, h in zip(ready, held, strict=True) if h], languages, idf)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

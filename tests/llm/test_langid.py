@@ -101,3 +101,27 @@ def test_many_languages_ties_and_repeated_rows(spark):
     pred = langid.predict(df, model, ["doc_id"]).collect()
     assert np.mean([r.lang_pred == f"l{r.doc_id % 250:03}" for r in pred if r.doc_id < 1000]) > 0.9  # the temperature is fitted to one in five
     assert len({(r.lang_pred, r.score) for r in pred if r.doc_id == 5000}) == 1
+
+
+def test_a_language_with_one_document_is_learned_whatever_its_id(spark):
+    en, es = "the quick brown fox jumps over the lazy dog and then some", "el perro come la comida de la casa y luego duerme un rato"
+    ru = "съешь же ещё этих мягких французских булок да выпей чаю"
+    many = [(i, f"{en} {i}", "en") for i in range(1000, 1030)] + [(i, f"{es} {i}", "es") for i in range(2000, 2030)]
+    ids = [i for i in range(60) if not spark.range(1).select(langid.held_out(langid.F.lit(i))).first()[0]][:20]
+    for i in ids[:3]:
+        m = langid.train(spark.createDataFrame([*many, (i, ru, "ru")], "doc_id long, text string, lang string"))
+        assert m.languages == ["en", "es", "ru"] and m.predict(langid.Grams()(ru))[0] == "ru"
+    # every place among the samples: ids stand in for hashes, so the rest need no model of their own
+    for i in ids[3:]:
+        assert langid.train(spark.createDataFrame([(i, ru, "ru"), *many[:2], *many[-2:]], "doc_id long, text string, lang string"), 2).languages == ["en", "es", "ru"]
+
+
+def test_the_sample_is_bounded_for_each_language(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda samples, held, languages, idf: seen.append((samples, held, languages)))
+    docs = [(i, f"text number {i}", f"l{i % 3}") for i in range(300)] + [(1000 + i, f"rare text {i}", f"r{i}") for i in range(30)]
+    langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), 20)
+    samples, held, languages = seen[0]
+    count = lambda rows: {x: sum(r[2] == x for r in rows) for x in languages}
+    assert len(languages) == 33 and all(count(samples)[f"r{i}"] == 1 for i in range(30))
+    assert all((count(samples)[f"l{i}"], count(held)[f"l{i}"]) == (16, 4) for i in range(3))
