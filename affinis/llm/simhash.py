@@ -41,6 +41,7 @@ CHUNK = 20_000
 #: Node pairs held at once while a trie is walked.
 SLICE = 200_000
 STREAM_ROWS = 50_000
+EDGES_A_FILE = 1 << 20
 #: Buckets above a chunk whose list may be broadcast (16 bytes each); a longer list is joined by shuffle.
 BROADCAST_BUCKETS = 500_000
 
@@ -198,20 +199,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds; a round's edges are cut off from the one before. The
     smallest neighbour of each node is found by an aggregate (combined on the map side) and then joined to
-    its edges, so a hub's edges may be split over tasks.
+    its edges, so a hub's edges may be split over tasks. A round's tables are written in as few files as
+    EDGES_A_FILE rows each allow.
     """
 
+    def kept(rows: DataFrame, most: int) -> DataFrame:
+        return cut(rows.coalesce(max(1, -(-most // EDGES_A_FILE))))
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a")) if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
         out = both.join(least, "u")
         out = out.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if large else out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
         return out.where("a <> b").distinct()
 
     e = cut(edges.where("a <> b").distinct())
+    n = e.count()
     stamp = None
     while True:
-        e = cut(star(cut(star(e, True)), False))
+        e = kept(star(kept(star(e, True), 2 * n), False), 2 * n)  # no round adds edges beyond these
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == stamp:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
