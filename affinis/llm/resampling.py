@@ -196,7 +196,7 @@ def feature_table(docs: DataFrame, sizes: int = SIZES, buckets: int = BUCKETS, p
         parts = max(least, min(MOST_PARTS, -(-size // PART)))
     rows = slim.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = rows.mapInArrow(_by_run(parts, sizes), _FIELDS)
-    return cut(blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_dictionaries(buckets), _FIELDS))
+    return cut(blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_dictionaries(buckets), _FIELDS))
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
