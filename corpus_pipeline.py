@@ -4,7 +4,8 @@ Each stage works on all rows the one before it kept; all but the last return the
 Encoding (the last) returns doc_id, source, lang, n_tokens, ids_sha256 and decoded_sha256 of each text.
 
 Defined results per stage are those of its operator's docstring: texts that are null or empty have no words
-and are rejected by the quality rules; repeated rows of a doc_id stay or go together until the mixture.
+and are rejected by the quality rules; rows of one doc_id with different texts are documents of their own until the
+mixture, rows equal in both are one.
 """
 
 from __future__ import annotations

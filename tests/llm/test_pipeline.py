@@ -120,3 +120,11 @@ def test_repeated_ids_null_ids_and_long_texts(spark, tmp_path, monkeypatch):
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "4", "6", "None"]
     digest = {r.decoded_sha256 for r in got}
     assert digest == {hashlib.sha256(t.encode()).hexdigest() for t in (text("a"), text("b"), text("c"), text("d", 60_000), text("e") + " <EMAIL>")}
+
+
+def test_a_text_survives_another_text_of_its_id_that_has_a_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "MIX_SHARE", 1.0)
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(80))
+    rows = [(3, text("a"), "en", "s", 9, 0, "x"), (7, text("a"), "en", "s", 9, 0, "x"), (7, text("b"), "en", "s", 9, 0, "x")]
+    got = through(spark, tmp_path, rows)
+    assert sorted((r.doc_id, r.decoded_sha256) for r in got) == sorted((i, hashlib.sha256(text(t).encode()).hexdigest()) for i, t in ((3, "a"), (7, "b")))
