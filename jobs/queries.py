@@ -22,14 +22,11 @@ def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: r(c, n) for c, n in digits.items()})
 
 
-BANK_DIGITS = {"association": 8, "p_phi_gt_zero": 8, "p_phi_ge_threshold": 8, "bootstrap_phi_median": 7, "bootstrap_phi_025": 7, "bootstrap_phi_975": 7}
-
-
 def job1_stability_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "job1-stability-bank")
     for _ in range(2):  # the second run finds every state finished
         out = stability_bank.run(spark, sf_dir, folder, settings("stability_bank"))
-    return _rounded(out, BANK_DIGITS)
+    return out
 
 
 AUDIT_DIGITS = {"weight": 2, "kish_effective_n": 6, "value": 8}
@@ -46,7 +43,7 @@ _JOINED = "(graph_id, source_condition, target_condition)"
 JOB1 = S.query(
     "pairs boot stab",
     f"""SELECT CAST(split_part(p.graph_id, '_', 2) AS INTEGER) AS state_code, graph_id, source_condition, target_condition, {S.r("p.association")} AS association, p.pair_eligible, p.exclusion_reason,
-  {S.r("b.p0")} AS p_phi_gt_zero, {S.r("b.p1")} AS p_phi_ge_threshold, {S.r("med", 7)} AS bootstrap_phi_median, {S.r("lo", 7)} AS bootstrap_phi_025, {S.r("hi", 7)} AS bootstrap_phi_975,
+  {S.r("b.p0")} AS p_phi_gt_zero, {S.r("b.p1")} AS p_phi_ge_threshold, {S.r("med")} AS bootstrap_phi_median, {S.r("lo")} AS bootstrap_phi_025, {S.r("hi")} AS bootstrap_phi_975,
   b.valid AS bootstrap_replicates_valid, b.sel AS bootstrap_selection_mask, CASE WHEN b.valid > 0 THEN 'ok' ELSE 'no_valid_replicate' END AS bootstrap_status, s.edge_present
 FROM pairs p JOIN boot b USING {_JOINED} JOIN stab s USING {_JOINED}""",
 )
