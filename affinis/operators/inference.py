@@ -378,14 +378,39 @@ def fixed_edge_null(graphs: DataFrame, replicates: int, seed: int, conditions: i
 
 
 def replicate_support(graphs: DataFrame, motifs: DataFrame, replicates: int) -> DataFrame:
-    """(motif_id, replicate, support): graphs (replicate, mask, paired opportunity) that have the motif; zeros stay."""
+    """(motif_id, replicate, support): graphs (replicate, mask, paired opportunity) that have the motif; zeros stay.
+
+    A replicate's graphs, one a population, are tested as an array against the motifs', a bounded catalog that is
+    broadcast; nothing is joined, and a replicate without graphs has zeros.
+    """
     spark = graphs.sparkSession
-    m = motifs.select("motif_id", F.col("mask").alias("motif_mask"))
-    hits = graphs.join(F.broadcast(m), contains(F.col("mask").bitwiseAND(F.col("paired_opportunity")), F.col("motif_mask")))
-    counts = hits.groupBy("motif_id", "replicate").agg(F.count("*").alias("support"))
-    reps = spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"))
-    every = m.select("motif_id").crossJoin(F.broadcast(reps))
-    return every.join(counts, ["motif_id", "replicate"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    rows = motifs.select("motif_id", "mask").toArrow().combine_chunks()  # a catalog has at most as many motifs as there are patterns
+    shipped = spark.sparkContext.broadcast((rows.column(0).combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column(1).to_numpy()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, masks = shipped.value
+        now, support = None, np.zeros(len(masks), np.int64)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(masks), now, np.int32)), pa.array(support)], ["motif_id", "replicate", "support"])
+
+        for batch in batches:
+            replicate, held = (batch.column(i).to_numpy() for i in (0, 1))
+            edges = np.flatnonzero(np.r_[True, replicate[1:] != replicate[:-1]][: len(replicate)])
+            for first, stop in zip(edges, np.r_[edges[1:], len(replicate)], strict=True):
+                if replicate[first] != now:
+                    yield from done()
+                    now, support = replicate[first], np.zeros(len(masks), np.int64)
+                for m in held[first:stop]:
+                    support += (masks & m) == masks
+        yield from done()
+
+    # every replicate has a row, of a graph that holds nothing
+    every = spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), F.lit(0).cast("long").alias("mask"))
+    held = graphs.select(F.col("replicate").cast("int"), F.col("mask").bitwiseAND(F.col("paired_opportunity")).alias("mask")).where(F.col("replicate").between(1, replicates))
+    sorted_ = held.union(every).repartition("replicate").sortWithinPartitions("replicate")
+    return sorted_.mapInArrow(count, "motif_id string, replicate int, support long")
 
 
 def null_summary(rep: DataFrame, motifs: DataFrame, replicates: int) -> DataFrame:

@@ -121,3 +121,19 @@ def test_one_job_and_blocks_of_rows_agree(spark, monkeypatch):
     t0 = {m: np.abs(inference._t_rounded(np.array([n[m]]), np.array([[x.sum()]]), np.array([(x * x).sum()])))[0, 0] for m, x in d.items()}
     top = np.max(list(t.values()), axis=0)
     assert got == sorted((m, int((t[m] >= t0[m]).sum()), int((top >= t0[m]).sum())) for m in d)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_replicate_support_equals_a_count(spark, batch):
+    rng = np.random.default_rng(6)
+    rows = [(int(rep), int(rng.integers(1 << 8)), int(rng.integers(1 << 8))) for rep in (1, 2, 4) for _ in range(9)] + [(99, 255, 255)]
+    names = [(f"m{i}", int(m)) for i, m in enumerate(rng.integers(1, 1 << 5, 12))]
+    graphs = spark.createDataFrame(rows, "replicate int, mask long, paired_opportunity long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.motif_id, r.replicate): r.support for r in inference.replicate_support(graphs, spark.createDataFrame(names, "motif_id string, mask long"), 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(n, rep): sum(r == rep and m & o & x == x for r, m, o in rows) for n, x in names for rep in range(1, 6)}
+    none = spark.createDataFrame([], "motif_id string, mask long")
+    assert inference.replicate_support(graphs, none, 5).collect() == []
