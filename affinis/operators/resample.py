@@ -308,7 +308,11 @@ def hash_swaps(states: DataFrame, permutations: int, seed: int) -> DataFrame:
 
 
 def _rewired(edges: list[tuple[int, int]], allowed: set[tuple[int, int]], target: int, rng: np.random.Generator) -> tuple[set[tuple[int, int]], int, int]:
-    """Swap ends of random pairs of edges until `target` swaps are done or attempts run out; degrees never change."""
+    """Swap ends of random pairs of edges until `target` swaps are done or attempts run out; degrees never change.
+
+    Fixed rules, which define the null: four different ends, new pairs eligible and not there yet, and at most 30
+    attempts a swap wanted, 100 at least.
+    """
     now, have = list(edges), set(edges)
     done = tried = 0
     limit = max(100, 30 * target)

@@ -124,9 +124,17 @@ def ses_registry(spark, d):
     return recode.ses_registry(spark, recode.variable_dictionary(bridge.raw_respondents(spark, d)))
 
 
-@registered("SELECT * FROM (VALUES " + ", ".join(f"('{x}', 'condition:{c}')" for c, x in zip(bridge.CONDITIONS, bridge.RAW, strict=True)) + f", ('ses_code', 'ses:{bridge.DEFINITION}'), ('state_code', 'survey:state'), ('survey_weight', 'survey:weight'), ('survey_strata', 'survey:strata'), ('survey_psu', 'survey:psu')) t(variable, analysis_roles)")
+_ROLES = {x: f"condition:{c}" for c, x in zip(bridge.CONDITIONS, bridge.RAW, strict=True)} | {"ses_code": f"ses:{bridge.DEFINITION}", "state_code": "survey:state", "survey_weight": "survey:weight", "survey_strata": "survey:strata", "survey_psu": "survey:psu"}
+
+
+@registered(S.query("raw", " UNION ALL ".join(f"SELECT '{v}' AS variable, '{role}' AS analysis_roles, count(*) FILTER ({v} IS NULL) AS n_missing FROM raw" for v, role in _ROLES.items())))
 def analysis_roles(spark, d):
-    return recode.analysis_roles(spark)
+    """Each variable's roles, and how many respondents lack it."""
+    from affinis.operators import audit
+
+    roles = recode.analysis_roles(spark)
+    missing = audit.missingness(bridge.raw_respondents(spark, d), {"raw_variable": list(_ROLES)})
+    return roles.join(missing.select(F.col("item").alias("variable"), "n_missing"), "variable", "left").select("variable", "analysis_roles", "n_missing")
 
 
 @registered(S.query("raw", f"SELECT respondent_id, {S.VALID} AS valid_weight FROM raw"))
@@ -292,9 +300,11 @@ def pct_rank(spark, d):
 # --- graphs ----------------------------------------------------------------------------------------------
 
 
-@registered(S.query("universe", "SELECT edge_idx, a, b, bit FROM universe"))
+@registered(S.query("universe pairs", "SELECT edge_idx, u.a, u.b, bit, count(graph_id) AS populations, count(*) FILTER (pair_eligible) AS eligible_populations FROM universe u LEFT JOIN pairs p ON p.source_condition = u.a AND p.target_condition = u.b GROUP BY ALL"))
 def edge_universe(spark, d):
-    return graphs.edge_universe(spark)
+    """All pairs in order, with the populations that estimate them and those where they may be edges."""
+    found = pair_table(spark, d).groupBy(F.col("source_condition").alias("a"), F.col("target_condition").alias("b")).agg(F.count("*").alias("populations"), F.count_if("pair_eligible").alias("eligible_populations"))
+    return graphs.edge_universe(spark).join(found, ["a", "b"], "left").select("edge_idx", "a", "b", "bit", F.coalesce("populations", F.lit(0)).alias("populations"), F.coalesce("eligible_populations", F.lit(0)).alias("eligible_populations"))
 
 
 @registered(S.query("graphs_all", "SELECT graph_id, rule_id, geography_code, ses_category, mask FROM graphs_all"))

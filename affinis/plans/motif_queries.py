@@ -73,9 +73,11 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return settle(motifs.state_pairs(G.population_graphs(spark, d)))
 
 
-@registered(S.query("patterns", "SELECT node_count, edge_count, count(*) AS n, bit_xor(mask) AS xor_of_masks FROM patterns GROUP BY ALL"))
+@registered(S.query("patterns pgraphs", "SELECT node_count, edge_count, count(*) AS n, bit_xor(mask) AS xor_of_masks FROM patterns WHERE mask & (SELECT bit_or(opportunity) FROM pgraphs) = mask GROUP BY ALL"))
 def connected_patterns(spark, d):
-    return motifs.connected_masks(spark).groupBy("node_count", "edge_count").agg(F.count("*").alias("n"), F.bit_xor("mask").alias("xor_of_masks"))
+    """Patterns whose pairs may all be edges somewhere, by size."""
+    able = G.population_graphs(spark, d).agg(F.coalesce(F.bit_or("opportunity"), F.lit(0).cast("long")).alias("able"))
+    return motifs.connected_masks(spark).crossJoin(F.broadcast(able)).where(F.col("mask").bitwiseAND(F.col("able")) == F.col("mask")).groupBy("node_count", "edge_count").agg(F.count("*").alias("n"), F.bit_xor("mask").alias("xor_of_masks"))
 
 
 @registered(S.query("pgraphs patterns", "SELECT p.mask, node_count, edge_count, count(*) AS support_count FROM patterns p JOIN pgraphs g ON g.mask & p.mask = p.mask GROUP BY ALL HAVING count(*) >= 8"))

@@ -87,7 +87,7 @@ def graphml(graphs: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
     return df.select("graph_id", F.concat(head, F.coalesce(F.array_join("e", ""), F.lit("")), F.lit("</graph></graphml>")).alias("xml"))
 
 
-#: Attributes of nodes and edges in graph files; those of the last list are left out where they are null.
+#: Attributes of nodes and edges in graph files; those of the last list are left out where they are null.
 NODE_ATTRIBUTES = ["prevalence", "n_valid", "n_cases"]
 EDGE_ATTRIBUTES = ["association", "estimator", "n_complete", "cooccurring_cases"]
 OPTIONAL_ATTRIBUTES = [
