@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from affinis.operators import glm, resample
 
@@ -87,3 +88,50 @@ def test_refits_start_where_the_mean_leads():
     W[:, 0] = 0
     W[:, 1] = y
     assert (glm.refits(X, y, W)[1] == glm.irls(X, y, W)[3]).all()
+
+
+def shuffled_rows(spark, action):
+    """Rows that the stages of an action wrote to shuffles."""
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    listed = lambda: store.stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None)
+    ids = {listed().apply(i).stageId() for i in range(listed().size())}
+    action()
+    after = listed()
+    return sum(after.apply(i).shuffleWriteRecords() for i in range(after.size()) if after.apply(i).stageId() not in ids)
+
+
+def odd_people(spark):
+    rows = person_rows() + [("g0", 1, None, 3, 2.0, 1.0, 1.0, 0.0), ("g1", 1, 2, None, 2.0, 1.0, 0.0, 0.0), ("g2", 2, 1, 4, -1.0, 1.0, 1.0, 1.0), (None, 1, 2, 77, 1.0, 1.0, 1.0, 1.0), ("none", 2, None, 1, 1.0, 1.0, 0.0, 1.0)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_draws_are_counted_without_a_row_each(spark):
+    df = odd_people(spark)
+    want = resample.psu_draws(df, 27, 5).groupBy("state_code", "survey_strata", "replicate").agg(F.count("*").alias("p"), F.sum("times").alias("d"))
+    got = resample.draw_counts(df, 27, 5)
+    # psu_draws() joins PSUs by number, so one without an id is drawn, but no stratum without one
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 27 * 8
+    few, many = (shuffled_rows(spark, resample.draw_counts(df, n, 5).collect) for n in (20, 400))
+    assert 0 < few and many - few == 8 * 38  # a row a block of ten replicates of a stratum
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_phi_of_hashed_draws_made_in_tasks(spark, batch):
+    people = odd_people(spark).repartition(3)
+    df = people.where("graph_id IS NOT NULL")
+    read = lambda d: {(r.graph_id, r.source_condition, r.target_condition, r.replicate): r.phi for r in d.collect()}
+    want = read(resample.replicate_phi(df, resample.psu_draws(people, 23, 5), ["A", "B", "C"]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = read(resample.hash_phi(df, people, 23, 5, ["A", "B", "C"], 10))  # three chunks
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 4 * 3 * 23 and len(want) == 3 * 3 * 23
+    assert all(v is None for k, v in got.items() if k[0] == "none")
+    assert all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+def test_shuffle_of_phi_does_not_grow_with_replicates(spark):
+    df = spark.createDataFrame(person_rows(), SCHEMA)
+    few, many = (shuffled_rows(spark, resample.hash_phi(df, df, n, 5, ["A", "B", "C"]).collect) for n in (20, 200))
+    assert 0 < few == many
