@@ -49,9 +49,8 @@ def run(spark: SparkSession, tables: str, output: str, config: dict) -> DataFram
 
     def build(states: DataFrame) -> DataFrame:
         own = settle(people.join(F.broadcast(states), "state_code", "left_semi"))
-        members = settle(population.with_graph_id(own))
-        draws = settle(resample.psu_draws(own, config["replicates"], config["seed"]))
-        boot = resample.bootstrap_summary(resample.replicate_phi(members, draws), config["minimum_effect"], config["replicates"])
+        members = population.with_graph_id(own)
+        boot = resample.bootstrap_summary(resample.hash_phi(members, own, config["replicates"], config["seed"]), config["minimum_effect"], config["replicates"])
         phi = association.edge_table(members, limits, config["minimum_effect"])
         out = resample.stable(phi, boot, config["minimum_effect"], config["stability"]).join(F.broadcast(found), "graph_id")
         # sums of weights depend on their order in the last bits: rounded, any grouping of states gives the same bytes
