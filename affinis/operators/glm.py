@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.columns import bh, valid_weight, wilson
 from affinis.operators.association import PAIR_KEYS, masked
-from affinis.operators.resample import CHUNK, DESIGN, over_replicates, random_draws
+from affinis.operators.resample import CHUNK, DESIGN, numbered, over_replicates, random_draws
 from affinis.operators.tables import settle
 
 ITERATIONS, TOLERANCE = 25, 1e-8
@@ -131,7 +131,14 @@ class Domain:
         self.inside = ((seen >> exposure) & (seen >> outcome) & 1 == 1) & (age != "") & (sex != "")
         self.x, self.y = ((case >> i & 1).astype(float) for i in (exposure, outcome))
         self.age, self.sex = age, sex
-        self.ages, self.sexes = sorted(set(age[self.inside])), sorted(set(sex[self.inside]))
+
+    @cached_property
+    def ages(self) -> list[str]:
+        return sorted(set(self.age[self.inside]))
+
+    @cached_property
+    def sexes(self) -> list[str]:
+        return sorted(set(self.sex[self.inside]))
 
     def design(self, ages: list[str], sexes: list[str]) -> np.ndarray:
         return design_matrix(self.x, (self.age, ages), (self.sex, sexes))
@@ -171,9 +178,14 @@ def _columns(df: pd.DataFrame) -> list[np.ndarray]:
 def _influence(models: list[dict], columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(patterns x models of the slope's influence per unit of weight, whether the pattern is in the model's domain)."""
     out, inside = np.zeros((len(columns[0]), len(models))), np.zeros((len(columns[0]), len(models)), bool)
+    designs: dict[tuple, np.ndarray] = {}  # models of the same levels differ in the exposure's column only
     for j, m in enumerate(models):
         d = Domain(columns, m["exposure"], m["outcome"])
-        X = d.design(m["ages"], m["sexes"])
+        levels = (*m["ages"], "", *m["sexes"])
+        if levels not in designs:
+            designs[levels] = d.design(m["ages"], m["sexes"])
+        X = designs[levels]
+        X[:, 1] = d.x
         mu = 1 / (1 + np.exp(-np.clip(X @ np.array(m["beta"]), -30, 30)))
         out[:, j], inside[:, j] = np.where(d.inside, m["scale"] * (d.y - mu) * (X @ np.array(m["row"])), 0.0), d.inside
     return out, inside
@@ -241,8 +253,8 @@ def _design_totals(rows: DataFrame, shipped) -> DataFrame:
                 if g != graph:
                     yield from done()
                     graph, totals = g, _Totals(len(shipped.value[g]))
-                pattern, at = np.unique(part[PATTERN].astype(str).agg("|".join, axis=1).to_numpy(object).astype(str), return_inverse=True)
-                one = part.iloc[np.unique(at, return_index=True)[1]]
+                first_of, at = numbered([pa.array(part[c]) for c in PATTERN])
+                one = part.iloc[first_of]
                 value, inside = _influence(shipped.value[g], _columns(one))
                 psu = pd.factorize(pd.MultiIndex.from_frame(part[["survey_strata", "survey_psu"]]))[0]
                 first = np.flatnonzero(np.r_[True, psu[1:] != psu[:-1]])

@@ -135,3 +135,15 @@ def test_shuffle_of_phi_does_not_grow_with_replicates(spark):
     df = spark.createDataFrame(person_rows(), SCHEMA)
     few, many = (shuffled_rows(spark, resample.hash_phi(df, df, n, 5, ["A", "B", "C"]).collect) for n in (20, 200))
     assert 0 < few == many
+
+
+def test_influence_makes_a_design_once_for_models_of_the_same_levels(monkeypatch):
+    rng = np.random.default_rng(8)
+    columns = [rng.integers(0, 8, 60), np.full(60, 7), rng.choice(["1", "2", "3"], 60).astype(object), rng.choice(["F", "M"], 60).astype(object)]
+    pairs = [(a, b) for a in range(3) for b in range(3) if a != b]
+    models = [{"exposure": a, "outcome": b, "beta": rng.normal(size=5), "row": rng.normal(size=5), "scale": 1.0, "ages": ["1", "2", "3"], "sexes": ["F", "M"]} for a, b in pairs]
+    alone = [glm._influence([m], columns)[0][:, 0] for m in models]
+    made = []
+    plain = glm.design_matrix
+    monkeypatch.setattr(glm, "design_matrix", lambda *a: made.append(1) or plain(*a))
+    assert (glm._influence(models, columns)[0].T == alone).all() and len(made) == 1
